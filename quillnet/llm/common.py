@@ -52,7 +52,7 @@ def small_enough(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def join_bounded(big: DataFrame, small: DataFrame, on: str, how: str, max_rows: int = 2_000_000) -> DataFrame:
+def join_bounded(big: DataFrame, small: DataFrame, on: str | list[str], how: str, max_rows: int = 2_000_000) -> DataFrame:
     """Broadcasts small if it has at most max_rows (narrow) rows, else leaves a shuffled join to Spark."""
     return big.join(F.broadcast(small) if small_enough(small, max_rows) else small, on, how)
 

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillnet.llm.decontaminate import decontaminate
+from quillnet.llm.embeddings import embedding_links
+from quillnet.llm.jaccard import jaccard_components
+from quillnet.llm.licenses import scan_licenses
 from quillnet.llm.packing import pack_documents
 from quillnet.llm.tokens import encoded_lengths, length_histogram
 from quillnet.session import table
@@ -34,8 +37,25 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(encoded_lengths(docs, carry=[]))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan_licenses(docs, carry=["doc_id"]).drop("blocks")
+
+
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_components(docs, k=4, similarity=(85, 100))
+
+
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(table(spark, sf_dir, "embeddings"), threshold=0.93).drop("embedding", "label")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_packing": op3_packing,
+    "op4_licenses": op4_licenses,
     "op5_token_counts": op5_token_counts,
+    "op6_jaccard": op6_jaccard,
+    "op10_embeddings": op10_embeddings,
 }
