@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from quillnet.llm.decontaminate import decontaminate
 from quillnet.llm.embeddings import embedding_links
 from quillnet.llm.jaccard import jaccard_components
+from quillnet.llm.language import held_out, identify_languages
 from quillnet.llm.licenses import scan_licenses
 from quillnet.llm.packing import pack_documents
 from quillnet.llm.tokens import encoded_lengths, length_histogram
+from quillnet.llm.toxicity import score_toxicity, trains
+from quillnet.llm.urls import filter_urls
 from quillnet.session import table
 
 
@@ -51,11 +54,32 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"), threshold=0.93).drop("embedding", "label")
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = identify_languages(docs, docs.where(~held_out() & F.col("doc_id").isNotNull()), carry=["doc_id"])
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = score_toxicity(docs, docs.where(trains()), table(spark, sf_dir, "labels"), carry=["doc_id"])
+    held = F.coalesce(~trains() & F.col("doc_id").isNotNull(), F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_language": op2_language,
     "op3_packing": op3_packing,
     "op4_licenses": op4_licenses,
     "op5_token_counts": op5_token_counts,
     "op6_jaccard": op6_jaccard,
+    "op8_urls": op8_urls,
+    "op9_toxicity": op9_toxicity,
     "op10_embeddings": op10_embeddings,
 }
