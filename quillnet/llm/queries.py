@@ -11,6 +11,7 @@ from quillnet.llm.jaccard import jaccard_components
 from quillnet.llm.language import held_out, identify_languages
 from quillnet.llm.licenses import scan_licenses
 from quillnet.llm.packing import pack_documents
+from quillnet.llm.quality import score_quality
 from quillnet.llm.tokens import encoded_lengths, length_histogram
 from quillnet.llm.toxicity import score_toxicity, trains
 from quillnet.llm.urls import filter_urls
@@ -72,6 +73,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    found = score_quality(docs, docs.where(trains()), table(spark, sf_dir, "labels"), carry=["doc_id"])
+    held = F.coalesce(~trains() & F.col("doc_id").isNotNull(), F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "content_score", "metadata_score", "score", "predicted")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_language": op2_language,
@@ -79,6 +87,7 @@ QUERIES = {
     "op4_licenses": op4_licenses,
     "op5_token_counts": op5_token_counts,
     "op6_jaccard": op6_jaccard,
+    "op7_quality": op7_quality,
     "op8_urls": op8_urls,
     "op9_toxicity": op9_toxicity,
     "op10_embeddings": op10_embeddings,

@@ -8,8 +8,8 @@ seen leans on the same backoff as in the other. What no class has seen says noth
 Counts come from every labelled training row; they are gathered by n-gram and grow with the input. Scoring needs only the log
 ratio of the two models for each n-gram; ratios are kept in 2^23 hashed cells at most, which bounds what is broadcast.
 
-A document is compared as a whole and in windows of consecutive words, each time per letter; a logistic model of the mean and
-the largest window, learned on a bounded sample of training rows that the language models did not see, gives the score.
+A document is compared as a whole, in windows of words and of letters, and word by word, normalised by length; a logistic
+model of these ratios, learned on a bounded sample of training rows that the language models did not see, gives the score.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from quillnet.session import cut
 
 CELL_BITS = 23
 DISCOUNT = 0.75
+N_FEATURES = 9
 MAX_CALIBRATION_ROWS = 20_000
 _SYMBOL: list[np.ndarray] = []
 _TABLE: dict[int, np.ndarray] = {}
@@ -153,25 +154,33 @@ class Ratios:
         return _TABLE[self.key]
 
 
-def evidence(table: np.ndarray, text: str | None, window: int = 4) -> list[float]:
-    """[mean, largest single word, largest window, log words] of per-letter log ratios; zeros for a text without words."""
+def evidence(table: np.ndarray, text: str | None, window: int = 4, letters: int = 5) -> list[float]:
+    """What the log ratios say of a text: per letter (all, largest window of words, largest run of letters, largest word), per
+    word (mean), its three most toxic words, and the logarithm of its number of words. Zeros for a text without words."""
     codes, starts = letter_codes(text)
     if not len(starts):
-        return [0.0, 0.0, 0.0, 0.0]
+        return [0.0] * N_FEATURES
     at = (codes.astype(np.uint64) * _HASH >> np.uint64(62 - CELL_BITS)) & np.uint64((1 << CELL_BITS) - 1)
     ratio = table[at].astype(np.float64)
     word = np.add.reduceat(ratio, starts)
     size = np.diff(np.append(starts, len(codes)))
+    run = np.concatenate([[0.0], np.cumsum(ratio)])
+    bounds = np.append(starts, len(codes))
     k = min(window, len(word))
-    run = lambda x: np.cumsum(np.concatenate([[0], x]))
-    a, n = run(word), run(size)
-    windows = (a[k:] - a[:-k]) / (n[k:] - n[:-k])
-    return [float(ratio.mean()), float(word.max()), float(windows.max()), float(np.log1p(len(word)))]
-
-
-def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> np.ndarray:
-    """Logistic regression by Newton's method; the last weight is the bias."""
-    x = np.column_stack([x, np.ones(len(x))])
+    windows = (run[bounds[k:]] - run[bounds[:-k]]) / (bounds[k:] - bounds[:-k])
+    k = min(letters, len(ratio))
+    top = np.partition(word, -3)[-3:] if len(word) > 3 else np.concatenate([np.zeros(3 - min(3, len(word))), word])[-3:]
+    top = np.sort(top)
+    return [
+        float(ratio.mean()), float(windows.max()), float((run[k:] - run[:-k]).max() / k), float((word / size).max()), float(word.mean()),
+        float(top[2]), float(top[1]), float(top[0]), float(np.log1p(len(word))),
+    ]
+
+
+def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 1e-2) -> np.ndarray:
+    """Logistic regression by Newton's method on standardised features; weights for them as they are, then the bias."""
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    x = np.column_stack([(x - mean) / scale, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -179,7 +188,7 @@ def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2) ->
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    return np.append(w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum())
 
 
 def score_toxicity(
@@ -228,13 +237,13 @@ def score_toxicity(
     if len(set(y.tolist())) == 2:
         weights = _fit(np.array([r["x"] for r in found]), y)
     else:
-        weights = np.array([0.0, 0.5, 0.0, 0.0, -3.0])
+        weights = np.array([0.0] * 5 + [0.5] + [0.0] * 3 + [-3.0])
 
     def score(batches):
         for batch in batches:
             b = BlobReader(batch)
             table = ratios.value.table()
-            x = np.array([evidence(table, t) for t in b.list(text_at)]).reshape(-1, 4)
+            x = np.array([evidence(table, t) for t in b.list(text_at)]).reshape(-1, N_FEATURES)
             s = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays(
                 [*b.keep(carry), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], [*carry, *new]
