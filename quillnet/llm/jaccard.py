@@ -222,6 +222,8 @@ def _link(members: list[tuple], num: int, den: int):
 
     side: with two blocks only pairs of different sides count, else side is 0 for all.
     """
+    if len(members) < 2:
+        return
     members.sort(key=lambda r: (r[1], r[0]))
     sets = [np.frombuffer(r[3], "<u8") for r in members]
     n = np.array([r[1] for r in members])
