@@ -159,7 +159,7 @@ def _count(table: pa.Table) -> pa.Table:
     order = np.argsort(b, kind="stable")
     h, doc, b, df = h[order], doc[order], b[order], df[order]
     which, begin = np.unique(b, return_index=True)
-    stop = np.append(begin[1:], len(b))
+    stop = np.append(begin[1:], len(b))[: len(begin)]
     spans = list(zip(begin.tolist(), stop.tolist(), strict=True))
     return pa.table(
         {

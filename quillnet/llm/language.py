@@ -67,7 +67,12 @@ def learn_profiles(
     keyed = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang")
     )
-    order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    # A cut of the hash leaves some times max_train_docs of each language; only these are ranked.
+    share = F.least(F.lit(1.0), 4.0 * max_train_docs / F.col("n"))
+    sizes = keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    draw = F.xxhash64("id").bitwiseAND(0x7FFFFFFF) / F.lit(float(1 << 31))
+    keyed = keyed.join(sizes, "lang").where(draw < share)
+    order = W.partitionBy("lang").orderBy(draw, "id")
     chosen = keyed.withColumn("k", F.row_number().over(order)).where(F.col("k") <= max_train_docs).select("id").distinct()
     rows = docs.where(F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")

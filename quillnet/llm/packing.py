@@ -155,12 +155,14 @@ def pack_sequences(
     length_col: str = "length",
     near_full: int = 4,
     max_items: int = 200_000,
+    min_items: int = 20_000,
     fan_in: int = 8,
     max_rounds: int = 12,
 ) -> DataFrame:
     """Adds sequence_id and offset to items of 1 to ``limit`` tokens; offsets of a sequence run gapless from 0.
 
-    A bin closes when less than ``near_full`` tokens, or less than the shortest item of all, is left in it. Null lengths,
+    A bin closes when less than ``near_full`` tokens, or less than the shortest item of all, is left in it. Small
+    partitions are joined until they hold ``min_items``: the more a task sees, the fuller its bins. Null lengths,
     and lengths outside 1 to limit, get a null sequence. Columns named sequence_id or offset are replaced.
     """
     cols = [c for c in items.columns if c not in ("sequence_id", "offset")]
@@ -178,6 +180,8 @@ def pack_sequences(
     live = items.where(fits & (n < limit)).select(n.cast("int").alias("fill"), F.array(packed).alias("members"))
     if live.rdd.getNumPartitions() < -(-left // max_items):
         live = live.repartition(-(-left // max_items))
+    elif live.rdd.getNumPartitions() > -(-left // min_items):
+        live = live.coalesce(max(1, -(-left // min_items)))
     tasks, closed = live.rdd.getNumPartitions(), []
     for k in range(max_rounds):
         done = cut(_round(live, limit, near, member.simpleString()).withColumn("round", F.lit(k)))

@@ -22,12 +22,17 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: A text that holds one of these is not split.
+_WHOLE = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ", "\x85 ", "\xa0 ", "\u1680 ", "\u2028 ", "\u2029 ", "\u202f ", "\u205f ", "\u3000 ", "<|")
+_WHOLE += tuple(chr(c) + " " for c in range(0x2000, 0x200B))
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
     The tokenizer's pieces never cross a space that follows a non-space, so a text is split at single spaces and every
-    distinct chunk is encoded once for as long as the bounded cache holds it. A text with two spaces in a row, or one at
-    its end, is encoded as a whole.
+    distinct chunk is encoded once for as long as the bounded cache holds it. A text in which a space follows white space, or
+    that ends with a space or a run of white space, is encoded as a whole.
     """
 
     def __init__(self, path: str, max_cached: int = 400_000):
@@ -51,7 +56,7 @@ class Encoder:
         new_first: set[str] = set()
         new_later: set[str] = set()
         for text in texts:
-            if not text or "  " in text or text[-1] == " " or "<|" in text:
+            if not text or text[-1] == " " or text[-2:].isspace() or any(run in text for run in _WHOLE):
                 split.append(None)
                 continue
             chunks = text.split(" ")
