@@ -71,7 +71,7 @@ def learn_profiles(
     share = F.least(F.lit(1.0), 4.0 * max_train_docs / F.col("n"))
     sizes = keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     draw = F.xxhash64("id").bitwiseAND(0x7FFFFFFF) / F.lit(float(1 << 31))
-    keyed = keyed.join(sizes, "lang").where(draw < share)
+    keyed = join_bounded(keyed, sizes, "lang", "inner", 100_000).where(draw < share)
     order = W.partitionBy("lang").orderBy(draw, "id")
     chosen = keyed.withColumn("k", F.row_number().over(order)).where(F.col("k") <= max_train_docs).select("id").distinct()
     rows = docs.where(F.col(lang_col).isNotNull()).select(
