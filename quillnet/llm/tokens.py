@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from quillnet.llm.common import BlobReader, fresh, map_batches, with_fields
+from quillnet.session import cut
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -122,15 +123,16 @@ def length_histogram(lengths: DataFrame, col: str = "n_tokens", stride: int = 40
     quantile (share of documents of this length or less). ``at_limit`` answers other limits and ``quantile`` any rank.
 
     Partial counts are added before the one small shuffle by length. Suffix sums come in two levels, over strides of
-    lengths and then within each stride, so that no task needs the whole histogram. Null lengths count nowhere; an empty
-    input gives no rows.
+    lengths and then within each stride, so that no task needs the whole histogram. The counts, one row for each distinct
+    length, are written once, since both levels read them and the texts must be encoded only once. Null lengths count
+    nowhere; an empty input gives no rows.
     """
-    hist = (
+    counted = (
         lengths.where(F.col(col).isNotNull())
         .groupBy(F.col(col).cast("long").alias("n_tokens"))
         .agg(F.count(F.lit(1)).alias("n_docs"))
-        .withColumn("_s", F.floor(F.col("n_tokens") / stride))
     )
+    hist = cut(counted).withColumn("_s", F.floor(F.col("n_tokens") / stride))
     strides = hist.groupBy("_s").agg(
         F.sum("n_docs").alias("_d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("_t")
     )
