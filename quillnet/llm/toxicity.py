@@ -140,9 +140,9 @@ def log_ratios(counts: DataFrame, discount: float = DISCOUNT) -> DataFrame:
 class Ratios:
     """The broadcast ratios; a worker unpacks them once."""
 
-    def __init__(self, rows):
-        self.cells = np.array([r["cell"] for r in rows], np.uint32)
-        self.ratios = np.array([r["ratio"] for r in rows], np.float32)
+    def __init__(self, learned: DataFrame):
+        found = learned.select(F.col("cell").cast("int"), F.col("ratio").cast("float")).toArrow()
+        self.cells, self.ratios = found["cell"].to_numpy(), found["ratio"].to_numpy()
         self.key = hash((self.cells.tobytes(), self.ratios.tobytes()))
 
     def table(self) -> np.ndarray:
@@ -221,7 +221,7 @@ def score_toxicity(
     fold = F.pmod(F.xxhash64("id"), F.lit(5)) == 0
     counts = cut(letter_counts(rows.where(~fold), "text", "label"))
     learned = log_ratios(counts).where(F.abs("ratio") > 1e-3)
-    ratios = spark.sparkContext.broadcast(Ratios(learned.collect()))
+    ratios = spark.sparkContext.broadcast(Ratios(learned))
 
     def describe(batches):
         for batch in batches:
