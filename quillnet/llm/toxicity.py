@@ -3,17 +3,21 @@
 Each class (toxic, ordinary) has an interpolated Kneser-Ney model of order 5 over the letters of words:
 P_c(s | ctx) = max(n_c(ctx s) - D, 0) / n_c(ctx) + D t_c(ctx) / n_c(ctx) * P(s | shorter ctx). The shorter-context
 distributions are Kneser-Ney continuation models whose counts both classes share, so an expression that one class has hardly
-seen leans on the same backoff as in the other. What no class has seen says nothing.
+seen leans on the same backoff as in the other.
 
-Counts come from every labelled training row; they are gathered by n-gram and grow with the input. Scoring needs only the log
-ratio of the two models for each n-gram; ratios are kept in 2^23 hashed cells at most, which bounds what is broadcast.
+Scoring needs only the log ratio of the two models. It is kept for every counted n-gram by its five letters as they are, and
+for every context: an n-gram that neither class has counted has the ratio of D t_c(ctx) / n_c(ctx), as the shared backoff is
+the same in both, and 0 after a context that neither has counted. These tables grow with the corpus; beyond
+``block_entries`` they are sent in blocks, and rows pass through one block after the other.
 
 A document is compared as a whole, in windows of words and of letters, and word by word, normalised by length; a logistic
-model of these ratios, learned on a bounded sample of training rows that the language models did not see, gives the score.
+model of these ratios gives the score. It is learned on a bounded sample of training rows, by models of all others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,148 +28,230 @@ from quillnet.llm.common import BlobReader, bucket, fresh, join_bounded, map_bat
 from quillnet.llm.language import _letters
 from quillnet.session import cut
 
-CELL_BITS = 23
 DISCOUNT = 0.75
 N_FEATURES = 9
 MAX_CALIBRATION_ROWS = 20_000
-_SYMBOL: list[np.ndarray] = []
-_TABLE: dict[int, np.ndarray] = {}
-_HASH = np.uint64(2654435761)
-
+MIN_CALIBRATION_ROWS = 10
+BLOCK_ENTRIES = 1 << 21
+CHUNK_LETTERS = 1 << 20
+#: A letter takes 21 bits. No letter has them all set: in the place of the last letter they mark a context.
+BITS, ANY = 21, (1 << 21) - 1
+KEY = ["hi", "lo"]
+_NONE = np.empty(0, np.int64)
 
-def _symbols() -> np.ndarray:
-    """Code point -> 0 (no letter), 1 to 26 (a to z), or one of 27 to 63."""
-    if not _SYMBOL:
-        c = np.arange(0x110000)
-        s = np.where(_letters(), 27 + c % 37, 0)
-        s[97:123] = np.arange(1, 27)
-        _SYMBOL.append(s.astype(np.uint64))
-    return _SYMBOL[0]
 
+def letter_codes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(four letters before, letter) for every letter of every word and its end, and each word's first place.
 
-def letter_codes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """30-bit codes of (four symbols before, symbol) for every symbol of every word and its end, and each word's first place.
-
-    What precedes a word is not seen from within it.
+    hi holds the first two of the five, lo the others, 21 bits each; 0 is no letter. What precedes a word is not seen from
+    within it.
     """
     if not text:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    s = _symbols()[np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)]
-    s = np.concatenate([np.zeros(1, np.uint64), s, np.zeros(1, np.uint64)])
+        return _NONE, _NONE, _NONE
+    c = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
+    s = np.where(_letters()[c], c, 0).astype(np.int64)
+    s = np.concatenate([np.zeros(1, np.int64), s, np.zeros(1, np.int64)])
     s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
     if len(s) < 3:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    padded = np.concatenate([np.zeros(3, np.uint64), s])
+        return _NONE, _NONE, _NONE
+    padded = np.concatenate([np.zeros(3, np.int64), s])
     n = len(s) - 1
-    before = [padded[3 - k : 3 - k + n] for k in range(4)]
-    code, open_word = s[1:].copy(), np.ones(n, bool)
+    before, open_word = [], np.ones(n, bool)
     for k in range(4):
-        code |= np.where(open_word, before[k], 0).astype(np.uint64) << np.uint64(6 * (k + 1))
-        open_word = open_word & (before[k] != 0)
-    return code.astype(np.int64), np.flatnonzero(s[:-1] == 0)
+        symbol = padded[3 - k : 3 - k + n]
+        before.append(np.where(open_word, symbol, 0))
+        open_word = open_word & (symbol != 0)
+    return before[3] << BITS | before[2], before[1] << 2 * BITS | before[0] << BITS | s[1:], np.flatnonzero(s[:-1] == 0)
+
 
+def _counted(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different (hi, lo), and how often each stands there."""
+    his, at = np.unique(hi, return_inverse=True)
+    los, low = np.unique(lo, return_inverse=True)
+    keys, n = np.unique(at * len(los) + low, return_counts=True)
+    return his[keys // len(los)], los[keys % len(los)], n
 
-def letter_counts(rows: DataFrame, text_col: str, label_col: str) -> DataFrame:
-    """(code, toxic, ordinary): how often each 5-gram stands in rows of either class."""
+
+def letter_counts(rows: DataFrame, text_col: str, label_col: str, part_col: str) -> DataFrame:
+    """(hi, lo, toxic, ordinary, toxic_0, ordinary_0): how often each 5-gram stands in rows of either class, in all and in those of
+    part 0."""
+    names = ("toxic", "ordinary", "toxic_0", "ordinary_0")
 
     def count(batches):
         for batch in batches:
             b = BlobReader(batch)
-            by: dict[int, list] = {0: [], 1: []}
-            for text, label in zip(b.list("text"), b.list("label"), strict=True):
-                by[label].append(letter_codes(text)[0])
-            for label, parts in by.items():
-                if parts:
-                    codes, n = np.unique(np.concatenate(parts), return_counts=True)
-                    zero = np.zeros(len(codes), np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(codes), pa.array(n if label else zero), pa.array(zero if label else n)], ["code", "toxic", "ordinary"]
-                    )
+            by: dict[tuple[int, int], list] = {}
+            for text, label, part in zip(b.list("text"), b.list("label"), b.list("part"), strict=True):
+                by.setdefault((label, part), []).append(letter_codes(text)[:2])
+            for (label, part), found in by.items():
+                hi, lo, n = _counted(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                zero = np.zeros(len(n), np.int64)
+                mine = (label == 1, label == 0, label == 1 and part == 0, label == 0 and part == 0)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hi, lo, *(n if m else zero for m in mine))], [*KEY, *names])
 
     counted = map_batches(
-        rows.select(F.col(text_col).alias("text"), F.col(label_col).alias("label")), count, "code long, toxic long, ordinary long"
+        rows.select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.col(part_col).alias("part")),
+        count,
+        ", ".join(f"{c} long" for c in (*KEY, *names)),
     )
-    return counted.groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    return counted.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in names])
+
+
+def _suffix(order: int) -> list:
+    """The last symbols of a 5-gram, as its key."""
+    hi, lo = F.col("hi"), F.col("lo")
+    return [
+        (hi.bitwiseAND(ANY) if order == 4 else F.lit(0).cast("long")).alias("hi"),
+        (lo if order > 2 else lo.bitwiseAND((1 << BITS * order) - 1)).alias("lo"),
+    ]
 
 
-def log_ratios(counts: DataFrame, discount: float = DISCOUNT) -> DataFrame:
-    """(cell, ratio): log P_toxic - log P_ordinary of every counted 5-gram, by hashed cell (count-weighted where cells meet)."""
-    seen = counts.select("code", "toxic", "ordinary")
-    suffix = lambda bits: F.col("code").bitwiseAND((1 << bits) - 1)
+def log_ratios(counts: DataFrame, toxic: str = "toxic", ordinary: str = "ordinary", discount: float = DISCOUNT) -> DataFrame:
+    """(hi, lo, ratio): log P_toxic - log P_ordinary of every counted 5-gram; with ANY for its last letter, that of any which does
+    not stand here after the other four."""
+    seen = counts.select(*KEY, F.col(toxic).alias("toxic"), F.col(ordinary).alias("ordinary")).where("toxic + ordinary > 0")
+    ctx_of = F.col("lo").bitwiseOR(ANY).alias("ctx")
 
     # Shared backoff: continuation counts of orders 4 to 1, each interpolated with the next shorter one.
-    levels, grams = [], seen.select("code")
+    levels, grams = [], seen.select(*KEY)
     for order in (4, 3, 2, 1):
-        grams = grams.groupBy(suffix(6 * order).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+        grams = grams.groupBy(*_suffix(order)).agg(F.count(F.lit(1)).alias("n"))
         levels.append((order, grams))
     p = None
     for order, grams in reversed(levels):
-        ctx = grams.withColumn("ctx", F.shiftright("code", 6))
-        per = ctx.groupBy("ctx").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("types"))
-        known = ctx.join(per, "ctx")
+        ctx = grams.withColumn("ctx", ctx_of)
+        per = ctx.groupBy("hi", "ctx").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("types"))
+        known = ctx.join(per, ["hi", "ctx"])
         if p is None:
-            p = known.select("code", (F.col("n") / F.col("all")).alias("p"))
+            p = known.select(*KEY, (F.col("n") / F.col("all")).alias("p"))
             continue
-        lower = p.select(F.col("code").alias("_low"), F.col("p").alias("_p"))
-        known = known.withColumn("_low", suffix(6 * (order - 1))).join(lower, "_low")
+        lower = p.select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.col("p").alias("_p"))
+        hi, lo = _suffix(order - 1)
+        known = known.select("*", hi.alias("_hi"), lo.alias("_lo")).join(lower, ["_hi", "_lo"])
         p = known.select(
-            "code",
+            *KEY,
             (F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("all") + discount * F.col("types") / F.col("all") * F.col("_p")).alias("p"),
         )
-    shared = cut(p)
-    ctx = seen.withColumn("ctx", F.shiftright("code", 6))
-    per = ctx.groupBy("ctx").agg(
+    shared = cut(p.select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.col("p").alias("_p")))
+    ctx = seen.withColumn("ctx", ctx_of)
+    per = ctx.groupBy("hi", "ctx").agg(
         *[F.sum(c).alias(f"{c}_all") for c in ("toxic", "ordinary")],
         *[F.count(F.when(F.col(c) > 0, 1)).alias(f"{c}_types") for c in ("toxic", "ordinary")],
     )
-    known = ctx.join(per, "ctx").withColumn("_low", suffix(24)).join(
-        shared.select(F.col("code").alias("_low"), F.col("p").alias("_p")), "_low"
-    )
+    hi, lo = _suffix(4)
+    known = ctx.join(per, ["hi", "ctx"]).select("*", hi.alias("_hi"), lo.alias("_lo")).join(shared, ["_hi", "_lo"])
 
     def model(c: str):
         n, all_, types = F.col(c), F.col(f"{c}_all"), F.col(f"{c}_types")
         own = (F.greatest(n - discount, F.lit(0.0)) + discount * types * F.col("_p")) / F.greatest(all_, F.lit(1))
         return F.when(all_ > 0, own).otherwise(F.col("_p"))
 
-    ratio = F.log(model("toxic")) - F.log(model("ordinary"))
-    cell = F.shiftright(F.col("code") * F.lit(int(_HASH)), 62 - CELL_BITS).bitwiseAND((1 << CELL_BITS) - 1)
-    weight = F.col("toxic") + F.col("ordinary")
-    return (
-        known.select(cell.alias("cell"), weight.alias("w"), (ratio * weight).alias("r"))
-        .groupBy("cell")
-        .agg((F.sum("r") / F.sum("w")).alias("ratio"))
-    )
-
-
-class Ratios:
-    """The broadcast ratios; a worker unpacks them once."""
-
-    def __init__(self, learned: DataFrame):
-        found = learned.select(F.col("cell").cast("int"), F.col("ratio").cast("float")).toArrow()
-        self.cells, self.ratios = found["cell"].to_numpy(), found["ratio"].to_numpy()
-        self.key = hash((self.cells.tobytes(), self.ratios.tobytes()))
-
-    def table(self) -> np.ndarray:
-        if self.key not in _TABLE:
-            _TABLE.clear()
-            t = np.zeros(1 << CELL_BITS, np.float32)
-            t[self.cells] = self.ratios
-            _TABLE[self.key] = t
-        return _TABLE[self.key]
-
-
-def evidence(table: np.ndarray, text: str | None, window: int = 4, letters: int = 5) -> list[float]:
-    """What the log ratios say of a text: per letter (all, largest window of words, largest run of letters, largest word), per
-    word (mean), its three most toxic words, and the logarithm of its number of words. Zeros for a text without words."""
-    codes, starts = letter_codes(text)
+    def backoff(c: str):
+        all_ = F.col(f"{c}_all")
+        return F.when(all_ > 0, discount * F.col(f"{c}_types") / F.greatest(all_, F.lit(1))).otherwise(F.lit(1.0))
+
+    def ratio(f):
+        return (F.log(f("toxic")) - F.log(f("ordinary"))).alias("ratio")
+
+    return known.select(*KEY, ratio(model)).unionByName(per.select("hi", F.col("ctx").alias("lo"), ratio(backoff)))
+
+
+class Block:
+    """Log ratios by (hi, lo): an open-addressed table of at least twice as many places."""
+
+    def __init__(self, hi: np.ndarray, lo: np.ndarray, ratio: np.ndarray):
+        self.hi, self.lo, self.ratio = hi, lo, ratio
+        self.bits = (2 * len(hi)).bit_length()
+        self.at = np.full(1 << self.bits, -1, np.int32)
+        left, at = np.arange(len(hi), dtype=np.int32), self._place(hi, lo)
+        while len(left):
+            free = self.at[at] < 0
+            self.at[at[free]] = left[free]
+            lost = self.at[at] != left
+            left, at = left[lost], (at[lost] + 1) & (len(self.at) - 1)
+
+    def _place(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        h = lo.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + hi.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
+
+    def find(self, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ratio of every key, and whether it is there."""
+        ratio, there = np.zeros(len(hi), np.float32), np.zeros(len(hi), bool)
+        todo, at = np.arange(len(hi)), self._place(hi, lo)
+        while len(todo) and len(self.hi):
+            i = self.at[at]
+            same = (i >= 0) & (self.hi[i] == hi[todo]) & (self.lo[i] == lo[todo])
+            ratio[todo[same]], there[todo[same]] = self.ratio[i[same]], True
+            on = (i >= 0) & ~same
+            todo, at = todo[on], (at[on] + 1) & (len(self.at) - 1)
+        return ratio, there
+
+    def ratios(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        out, there = self.find(hi, lo)
+        rest = np.flatnonzero(~there)
+        out[rest] = self.find(hi[rest], lo[rest] | ANY)[0]
+        return out
+
+
+def _block_of(hi, context, n: int):
+    """The block of a context, of numbers and columns alike; no product passes 63 bits."""
+    return (hi % 1_000_003 * 7919 + context % 1_000_003) % n
+
+
+def send(learned: DataFrame, block_entries: int = BLOCK_ENTRIES) -> list:
+    """Broadcasts the log ratios in blocks of about block_entries; all n-grams of a context are in one block."""
+    learned = cut(learned.select(*KEY, F.col("ratio").cast("float").alias("ratio")))
+    n = max(1, -(-learned.count() // block_entries))
+    sent = []
+    for k in range(n):
+        mine = learned.where(_block_of(F.col("hi"), F.col("lo").bitwiseOR(ANY), n) == k) if n > 1 else learned
+        found = mine.toArrow()
+        sent.append(learned.sparkSession.sparkContext.broadcast(Block(*(found[c].to_numpy() for c in (*KEY, "ratio")))))
+    return sent
+
+
+def ratios_of(sent: list, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """The log ratio of every 5-gram. Of several blocks, a worker holds one at a time."""
+    if len(sent) == 1:
+        return sent[0].value.ratios(hi, lo)
+    out, block = np.zeros(len(hi), np.float32), _block_of(hi, lo | ANY, len(sent))
+    for k, one in enumerate(sent):
+        mine = np.flatnonzero(block == k)
+        out[mine] = one.value.ratios(hi[mine], lo[mine])
+        one.__dict__.pop("_value", None)
+    return out
+
+
+def described(sent: list, texts: Iterable[str | None]) -> Iterator[list[float]]:
+    """The evidence of every text; some texts are looked up together."""
+    held: list = []
+    letters = 0
+
+    def look_up():
+        ratio = ratios_of(sent, *(np.concatenate([h[k] for h in held]) for k in (0, 1))).astype(np.float64)
+        ends = np.cumsum([len(h[0]) for h in held])
+        return [evidence(r, h[2]) for r, h in zip(np.split(ratio, ends[:-1]), held, strict=True)]
+
+    for text in texts:
+        held.append(letter_codes(text))
+        letters += len(held[-1][0])
+        if letters >= CHUNK_LETTERS:
+            yield from look_up()
+            held, letters = [], 0
+    if held:
+        yield from look_up()
+
+
+def evidence(ratio: np.ndarray, starts: np.ndarray, window: int = 4, letters: int = 5) -> list[float]:
+    """What the log ratios of a text's letters say: per letter (all, largest window of words, largest run of letters, largest
+    word), per word (mean), its three most toxic words, and the logarithm of its number of words. Zeros for a text without words."""
     if not len(starts):
         return [0.0] * N_FEATURES
-    at = (codes.astype(np.uint64) * _HASH >> np.uint64(62 - CELL_BITS)) & np.uint64((1 << CELL_BITS) - 1)
-    ratio = table[at].astype(np.float64)
     word = np.add.reduceat(ratio, starts)
-    size = np.diff(np.append(starts, len(codes)))
+    size = np.diff(np.append(starts, len(ratio)))
     run = np.concatenate([[0.0], np.cumsum(ratio)])
-    bounds = np.append(starts, len(codes))
+    bounds = np.append(starts, len(ratio))
     k = min(window, len(word))
     windows = (run[bounds[k:]] - run[bounds[:-k]]) / (bounds[k:] - bounds[:-k])
     k = min(letters, len(ratio))
@@ -200,6 +286,7 @@ def score_toxicity(
     label_col: str = "toxic",
     carry: list[str] | None = None,
     max_calibration_rows: int = MAX_CALIBRATION_ROWS,
+    block_entries: int = BLOCK_ENTRIES,
 ) -> DataFrame:
     """Adds score (0 to 1) and predicted (1 if score >= 0.5) to every row of docs, from its text alone.
 
@@ -219,15 +306,13 @@ def score_toxicity(
         train.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()), known, "id", "inner"
     )
     fold = F.pmod(F.xxhash64("id"), F.lit(5)) == 0
-    counts = cut(letter_counts(rows.where(~fold), "text", "label"))
-    learned = log_ratios(counts).where(F.abs("ratio") > 1e-3)
-    ratios = spark.sparkContext.broadcast(Ratios(learned))
+    counts = cut(letter_counts(rows.where(~fold).withColumn("part", F.lit(0)), "text", "label", "part"))
+    sent = send(log_ratios(counts), block_entries)
 
     def describe(batches):
         for batch in batches:
             b = BlobReader(batch)
-            table = ratios.value.table()
-            x = [evidence(table, t) for t in b.list("text")]
+            x = list(described(sent, b.list("text")))
             yield pa.RecordBatch.from_arrays([*b.keep(["label"]), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
 
     chosen = known.where(fold).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(max_calibration_rows)
@@ -242,8 +327,7 @@ def score_toxicity(
     def score(batches):
         for batch in batches:
             b = BlobReader(batch)
-            table = ratios.value.table()
-            x = np.array([evidence(table, t) for t in b.list(text_at)]).reshape(-1, N_FEATURES)
+            x = np.array(list(described(sent, b.list(text_at)))).reshape(-1, N_FEATURES)
             s = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays(
                 [*b.keep(carry), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], [*carry, *new]
