@@ -11,7 +11,8 @@ the same in both, and 0 after a context that neither has counted. These tables g
 ``block_entries`` they are sent in blocks, and rows pass through one block after the other.
 
 A document is compared as a whole, in windows of words and of letters, and word by word, normalised by length; a logistic
-model of these ratios gives the score. It is learned on a bounded sample of training rows, by models of all others.
+model of these ratios gives the score. It is learned on a bounded sample of training rows, as models of all other rows describe
+them; documents are then scored by models of all labelled training rows, the sample too.
 """
 
 from __future__ import annotations
@@ -33,7 +34,10 @@ N_FEATURES = 9
 MAX_CALIBRATION_ROWS = 20_000
 MIN_CALIBRATION_ROWS = 10
 BLOCK_ENTRIES = 1 << 21
-CHUNK_LETTERS = 1 << 20
+#: So many letters are counted at once.
+COUNT_LETTERS = 1 << 20
+#: So many letters are looked up together: with one block, and where every block is loaded for them.
+CHUNK_LETTERS = (1 << 16, 1 << 20)
 #: A letter takes 21 bits. No letter has them all set: in the place of the last letter they mark a context.
 BITS, ANY = 21, (1 << 21) - 1
 KEY = ["hi", "lo"]
@@ -66,6 +70,17 @@ def letter_codes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _counted(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The different (hi, lo), and how often each stands there."""
+    held = np.zeros(ANY, bool)
+    held[lo & ANY] = held[0] = True
+    letters, rank = np.flatnonzero(held), np.cumsum(held) - 1
+    width = len(letters).bit_length()
+    if 5 * width < 64:  # few letters: one number for all five
+        packed = np.zeros(len(hi), np.int64)
+        for code, shift in ((hi, BITS), (hi, 0), (lo, 2 * BITS), (lo, BITS), (lo, 0)):
+            packed = packed << width | rank[code >> shift & ANY]
+        packed, n = np.unique(packed, return_counts=True)
+        a, b, c, d, e = (letters[packed >> width * k & ((1 << width) - 1)] for k in (4, 3, 2, 1, 0))
+        return a << BITS | b, c << 2 * BITS | d << BITS | e, n
     his, at = np.unique(hi, return_inverse=True)
     los, low = np.unique(lo, return_inverse=True)
     keys, n = np.unique(at * len(los) + low, return_counts=True)
@@ -77,17 +92,25 @@ def letter_counts(rows: DataFrame, text_col: str, label_col: str, part_col: str)
     part 0."""
     names = ("toxic", "ordinary", "toxic_0", "ordinary_0")
 
+    def counts_of(by: dict[tuple[int, int], list]) -> Iterator[pa.RecordBatch]:
+        for (label, part), found in by.items():
+            hi, lo, n = _counted(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            zero = np.zeros(len(n), np.int64)
+            mine = (label == 1, label == 0, label == 1 and part == 0, label == 0 and part == 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hi, lo, *(n if m else zero for m in mine))], [*KEY, *names])
+
     def count(batches):
         for batch in batches:
             b = BlobReader(batch)
-            by: dict[tuple[int, int], list] = {}
+            by, letters = {}, 0
             for text, label, part in zip(b.list("text"), b.list("label"), b.list("part"), strict=True):
-                by.setdefault((label, part), []).append(letter_codes(text)[:2])
-            for (label, part), found in by.items():
-                hi, lo, n = _counted(*(np.concatenate(x) for x in zip(*found, strict=True)))
-                zero = np.zeros(len(n), np.int64)
-                mine = (label == 1, label == 0, label == 1 and part == 0, label == 0 and part == 0)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hi, lo, *(n if m else zero for m in mine))], [*KEY, *names])
+                codes = letter_codes(text)[:2]
+                by.setdefault((label, part), []).append(codes)
+                letters += len(codes[0])
+                if letters >= COUNT_LETTERS:
+                    yield from counts_of(by)
+                    by, letters = {}, 0
+            yield from counts_of(by)
 
     counted = map_batches(
         rows.select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.col(part_col).alias("part")),
@@ -236,7 +259,7 @@ def described(sent: list, texts: Iterable[str | None]) -> Iterator[list[float]]:
     for text in texts:
         held.append(letter_codes(text))
         letters += len(held[-1][0])
-        if letters >= CHUNK_LETTERS:
+        if letters >= CHUNK_LETTERS[len(sent) > 1]:
             yield from look_up()
             held, letters = [], 0
     if held:
@@ -291,8 +314,9 @@ def score_toxicity(
     """Adds score (0 to 1) and predicted (1 if score >= 0.5) to every row of docs, from its text alone.
 
     train: documents whose labels may be learned from; labels: (id_col, label_col) rows, of which 0 and 1 count, and 1 wins
-    where an id has both. Four fifths of the labelled training rows (by crc32 of the id) teach the models, the rest
-    calibrate; with few rows all do both. Null and wordless texts get the score of no evidence, at most 0.5 less a hair if no
+    where an id has both. All labelled training rows teach the models that score. The calibration is on max_calibration_rows
+    ids at most, of a fifth of the labels, described by models of all rows but theirs; with fewer than MIN_CALIBRATION_ROWS rows
+    of a class there, or none of a class in the others, it is on rows of all labels, described by models of all. Null and wordless texts get the score of no evidence, at most 0.5 less a hair if no
     class can be told apart. Repeated rows are scored each; columns that bear a new name are replaced.
     """
     spark = docs.sparkSession
@@ -302,25 +326,36 @@ def score_toxicity(
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(
         F.max(label_col).cast("int").alias("label")
     )
-    rows = join_bounded(
-        train.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()), known, "id", "inner"
-    )
-    fold = F.pmod(F.xxhash64("id"), F.lit(5)) == 0
-    counts = cut(letter_counts(rows.where(~fold).withColumn("part", F.lit(0)), "text", "label", "part"))
-    sent = send(log_ratios(counts), block_entries)
+    texts = train.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
 
-    def describe(batches):
-        for batch in batches:
-            b = BlobReader(batch)
-            x = list(described(sent, b.list("text")))
-            yield pa.RecordBatch.from_arrays([*b.keep(["label"]), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
+    def some(of: DataFrame) -> DataFrame:
+        return of.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(max_calibration_rows)
+
+    chosen = cut(some(known.where(F.pmod(F.xxhash64("id"), F.lit(5)) == 0)))
+    part = F.coalesce("part", F.lit(0)).alias("part")
+    parted = join_bounded(known, chosen.select("id", F.lit(1).alias("part")), "id", "left").select("id", "label", part)
+    counts = cut(letter_counts(join_bounded(texts, parted, "id", "inner"), "text", "label", "part"))
+    sent = send(log_ratios(counts), block_entries)
 
-    chosen = known.where(fold).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(max_calibration_rows)
-    sample = join_bounded(train.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), chosen, "id", "inner")
-    found = map_batches(sample.select("label", "text"), describe, "label int, x array<double>").collect()
-    y = np.array([r["label"] for r in found], float)
+    def described_rows(by: list, which: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        def describe(batches):
+            for batch in batches:
+                b = BlobReader(batch)
+                x = list(described(by, b.list("text")))
+                yield pa.RecordBatch.from_arrays([*b.keep(["label"]), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
+
+        sample = join_bounded(texts, which, "id", "inner")
+        found = map_batches(sample.select("label", "text"), describe, "label int, x array<double>").collect()
+        return np.array([r["x"] for r in found]).reshape(-1, N_FEATURES), np.array([r["label"] for r in found], float)
+
+    y = np.empty(0)
+    others = counts.agg(F.sum("toxic_0"), F.sum("ordinary_0")).first()
+    if all(others):
+        x, y = described_rows(send(log_ratios(counts, "toxic_0", "ordinary_0"), block_entries), chosen)
+    if min((y == 0).sum(), (y == 1).sum()) < MIN_CALIBRATION_ROWS:
+        x, y = described_rows(sent, some(known))
     if len(set(y.tolist())) == 2:
-        weights = _fit(np.array([r["x"] for r in found]), y)
+        weights = _fit(x, y)
     else:
         weights = np.array([0.0] * 5 + [0.5] + [0.0] * 3 + [-3.0])
 

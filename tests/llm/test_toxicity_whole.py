@@ -63,3 +63,32 @@ def test_letters_beyond_ascii_are_told_apart(spark, docs):
     labels = spark.createDataFrame([(k, int(k >= 30)) for k in range(60)], "doc_id long, toxic int")
     r = {x["doc_id"]: x["score"] for x in score_toxicity(docs(calm, rude), docs(*[calm] * 30, *[rude] * 30), labels).collect()}
     assert r[0] < 0.5 < r[1]
+
+
+def _fifth(spark, n):
+    """Whether each of n ids is in the fifth that may calibrate."""
+    return {r[0]: r[1] == 0 for r in spark.range(n).selectExpr("id", "pmod(xxhash64(id), 5)").collect()}
+
+
+def test_every_labelled_row_teaches(spark, docs):
+    # Toxic zorgblat and ordinary mibquent stand only in rows of the calibrating fifth, a quarter of them.
+    fifth = _fifth(spark, 600)
+    rare = {k for n, k in enumerate(k for k in fifth if fifth[k]) if n // 2 % 4 == 0}
+    rude = {k for k in fifth if k % 2}
+    word = lambda k: ("zorgblat" if k in rare else "grumfix") if k in rude else ("mibquent" if k in rare else "door")
+    labels = spark.createDataFrame([(k, int(k in rude)) for k in range(600)], "doc_id long, toxic int")
+    asked = docs(*[f"the cat sat near {w}" for w in ("zorgblat", "grumfix", "mibquent", "door")])
+    taught = docs(*[f"the cat sat near {word(k)}" for k in range(600)])
+    r = {x["doc_id"]: x["score"] for x in score_toxicity(asked, taught, labels).collect()}
+    assert {k: v > 0.5 for k, v in r.items()} == {0: True, 1: True, 2: False, 3: False}, r
+
+
+def test_few_rows_do_both(spark, docs):
+    # No toxic row is in the calibrating fifth, or all are.
+    fifth = _fifth(spark, 200)
+    for inside in (False, True):
+        rude = [k for k in fifth if fifth[k] == inside][:8]
+        texts = ["awful zorgblat" if k in rude else "the cat sat near the door" for k in range(200)]
+        labels = spark.createDataFrame([(k, int(k in rude)) for k in range(200)], "doc_id long, toxic int")
+        r = {x["doc_id"]: x["score"] for x in score_toxicity(docs("awful zorgblat", "the cat sat"), docs(*texts), labels).collect()}
+        assert r[0] > 0.9 and r[1] < 0.1
