@@ -1,10 +1,11 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A template is met by a block when the block holds at least a share ``containment`` of the template's distinct words.
+The blocks of a template are all windows of the text's word sequence, over line breaks, of the template's own number of words
+and a tenth more. A template is met by a block that holds at least a share ``containment`` of its distinct words.
 Words are ordered by how many documents hold them, rarest first, counted over the whole corpus. A block that meets
 template T shares at least o = ceil(containment |T|) words with it, so it holds one of T's |T| - o + 1 rarest words (prefix
 filter), has o words or more (length filter), and what follows a shared prefix word still allows o shared words (positional
-filter). Only blocks that pass are counted out. Phrases are templates of containment 1 whose block is the whole document;
+filter). These filters are asked of the whole text first: only the windows of templates that pass are counted out. Phrases are templates of containment 1 whose block is the whole document;
 their words must also stand in a row.
 
 Templates are a parameter of bounded size; corpus statistics cover every document.
@@ -13,7 +14,9 @@ Templates are a parameter of bounded size; corpus statistics cover every documen
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -74,6 +77,8 @@ class TemplateIndex:
         self.rank = {w: i for i, w in enumerate(every)}
         self.sets = [(label, sorted(s, key=self.rank.__getitem__), s, math.ceil(c * len(s) - 1e-9)) for label, s, c in sets]
         self.n_templates = len(templates)
+        lengths = [len(words_of(text.encode())) for _, text in templates]
+        self.widths = [n + math.ceil(n / 10) for n in lengths]
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
         for t, (_, order, _, need) in enumerate(self.sets):
             for i, w in enumerate(order[: len(order) - need + 1]):
@@ -95,15 +100,49 @@ class TemplateIndex:
                     out.add(t)
         return out
 
-    def met(self, block: set[bytes]) -> list[tuple[int, float]]:
-        """Templates that a block meets, with their containment; one whose words another met one has too is left out."""
+    def met(self, words: list[bytes], held: set[bytes]) -> list[tuple[int, int, float]]:
+        """(first word, template, containment) of the best window of every stretch of text whose windows meet a template.
+
+        Where a window's shared words are all those of another met template's that overlaps it, holds more words and is held no
+        less, it is left out.
+        """
         found = []
-        for t in self.candidates(block, False):
-            _, order, words, need = self.sets[t]
-            shared = len(words & block)
-            if shared >= need:
-                found.append((t, shared / len(order)))
-        return [(t, c) for t, c in found if not any(self.sets[t][2] < self.sets[u][2] for u, d in found if d >= c)]
+        for t in self.candidates(held, False):
+            _, order, own, need = self.sets[t]
+            if len(own & held) >= need:
+                at = [k for k, w in enumerate(words) if w in own]
+                found += [(a, z, t, n / len(order)) for a, z, n in _windows(words, at, self.widths[t], need)]
+        found.sort()
+        firsts, reach, out = [f[0] for f in found], max(self.widths, default=0), []
+        for a, z, t, c in found:
+            near = found[bisect_left(firsts, a - reach) : bisect_right(firsts, z)]
+            if not any(self.sets[t][2] < self.sets[u][2] and d >= c and a <= last for _, last, u, d in near):
+                out.append((a, t, c))
+        return out
+
+
+def _windows(words: list[bytes], at: list[int], width: int, need: int) -> list[tuple[int, int, int]]:
+    """(first, last, different words) of windows of width words that hold need different words of those at the given places.
+
+    Of windows that overlap, the one with most; of those with as many, the shortest.
+    """
+    out: list[tuple[int, int, int]] = []
+    inside: Counter = Counter()
+    first = 0
+    for k, place in enumerate(at):
+        inside[words[place]] += 1
+        while at[first] <= place - width or inside[words[at[first]]] > 1:
+            inside[words[at[first]]] -= 1
+            if not inside[words[at[first]]]:
+                del inside[words[at[first]]]
+            first += 1
+        if len(inside) >= need:
+            now = (at[first], place, len(inside))
+            if not out or out[-1][1] < now[0]:
+                out.append(now)
+            elif (now[2], now[0] - place) > (out[-1][2], out[-1][0] - out[-1][1]):
+                out[-1] = now
+    return out
 
 
 def _places(words: list[bytes], phrase: list[bytes]) -> list[int]:
@@ -127,7 +166,7 @@ def scan_licenses(
 ) -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels, score and blocks to every row.
 
-    Blocks are the lines of a text. blocks: (line, label, containment) of every met template. score: the largest containment
+    blocks: (line, label, containment) of every place where a template is met; line is that of its first word. score: the largest containment
     found, 0 if none. Null and empty texts: no words, no labels, score 0, null first_word and last_word. Repeated rows are
     returned each; columns that bear a new name are replaced.
     """
@@ -159,14 +198,12 @@ def scan_licenses(
                             places += at
                             base.add(label)
                             score = 1.0
-                    for k, line in enumerate(text.split(b"\n")):
-                        block = set(words_of(line))
-                        if ix.prefix_words.isdisjoint(block):
-                            continue
-                        for t, c in ix.met(block):
-                            blocks.append({"line": k, "label": ix.sets[t][0], "containment": c})
-                            labels.add(ix.sets[t][0])
-                            score = max(score, c)
+                    if met := ix.met(words, held):
+                        upto = list(accumulate(len(words_of(line)) for line in text.split(b"\n")))
+                    for first, t, c in met:
+                        blocks.append({"line": bisect_right(upto, first), "label": ix.sets[t][0], "containment": c})
+                        labels.add(ix.sets[t][0])
+                        score = max(score, c)
                 cols["n_words"].append(len(words))
                 cols["n_base"].append(len(places))
                 cols["first_word"].append(min(places, default=None))
