@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillnet.llm.common import BlobReader, fresh, map_batches, with_fields
-from quillnet.llm.tokens import _encoded, tokenizer_path
+from quillnet.llm.tokens import _some, encoder, tokenizer_path
 from quillnet.session import cut
 
 END_ID = 2
@@ -46,8 +46,9 @@ def pieces(
 
     def encode(batches):
         for batch in batches:
-            for i, part in _encoded(batch, text, path):
+            for i, texts in _some(batch, text):
                 rows, piece, start, ids = [], [], [], []
+                part = encoder(path).encode(texts)
                 for k, coded in enumerate(part):
                     coded += end
                     n = len(coded) // 4
@@ -107,7 +108,7 @@ def best_fit(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
     return into, room - np.array(left, np.int64)
 
 
-BIN = "fill int, closed boolean, task int, bin int, members array<{}>"
+BIN = "fill int, closed boolean, task int, bin int, members array<{}>, offsets array<long>"
 
 
 def _round(items: DataFrame, limit: int, near: int, member: str) -> DataFrame:
@@ -131,10 +132,15 @@ def _round(items: DataFrame, limit: int, near: int, member: str) -> DataFrame:
         flat = members.flatten()
         step = 20_000
         ends = np.concatenate([[0], np.cumsum(counts)])
+        lengths = flat.field("length").to_numpy().astype(np.int64)
+        before = np.cumsum(lengths) - lengths
+        offsets = pa.array(before - np.repeat(before[np.minimum(ends[:-1], len(before) - 1)], counts))
         for a in range(0, len(fill), step):
             z = min(len(fill), a + step)
             part = flat.slice(ends[a], ends[z] - ends[a])
-            listed = pa.ListArray.from_arrays(pa.array((ends[a : z + 1] - ends[a]).astype(np.int32)), part)
+            bounds = pa.array((ends[a : z + 1] - ends[a]).astype(np.int32))
+            listed = pa.ListArray.from_arrays(bounds, part)
+            places = pa.ListArray.from_arrays(bounds, offsets.slice(ends[a], ends[z] - ends[a]))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(fill[a:z], pa.int32()),
@@ -142,8 +148,9 @@ def _round(items: DataFrame, limit: int, near: int, member: str) -> DataFrame:
                     pa.array(np.full(z - a, task), pa.int32()),
                     pa.array(np.arange(a, z), pa.int32()),
                     listed,
+                    places,
                 ],
-                ["fill", "closed", "task", "bin", "members"],
+                ["fill", "closed", "task", "bin", "members", "offsets"],
             )
 
     return map_batches(items.select("fill", "members"), pack, BIN.format(member))
@@ -163,7 +170,8 @@ def pack_sequences(
 
     A bin closes when less than ``near_full`` tokens, or less than the shortest item of all, is left in it. Small
     partitions are joined until they hold ``min_items``: the more a task sees, the fuller its bins. Null lengths,
-    and lengths outside 1 to limit, get a null sequence. Columns named sequence_id or offset are replaced.
+    and lengths outside 1 to limit, get a null sequence. Columns named sequence_id or offset are replaced; an empty table gives
+    no rows, and rows that repeat are items each.
     """
     cols = [c for c in items.columns if c not in ("sequence_id", "offset")]
     n = F.col(length_col)
@@ -197,12 +205,8 @@ def pack_sequences(
     for more in closed[1:]:
         bins = bins.unionByName(more)
     sequence = F.shiftleft(F.col("round").cast("long") + 1, 58) + F.shiftleft(F.col("task").cast("long"), 31) + F.col("bin")
-    placed = bins.select(sequence.alias("sequence_id"), F.posexplode("members").alias("_k", "_m"), "members").select(
-        *[F.col(f"_m.{names[c]}").alias(c) for c in cols],
-        "sequence_id",
-        F.aggregate(
-            F.slice("members", F.lit(1), F.col("_k")), F.lit(0).cast("long"), lambda s, m: s + m["length"]
-        ).alias("offset"),
+    placed = bins.select(sequence.alias("sequence_id"), F.explode(F.arrays_zip("members", "offsets")).alias("_m")).select(
+        *[F.col(f"_m.members.{names[c]}").alias(c) for c in cols], "sequence_id", F.col("_m.offsets").alias("offset")
     )
     full = items.where(fits & (n == limit)).select(
         *cols, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset")
@@ -218,8 +222,12 @@ def pack_documents(
 ) -> DataFrame:
     """Pieces of all documents with their places: carry, piece, start, length, ids_crc32, sequence_id, offset.
 
-    The ids themselves are not carried through the rounds; ``write_sequences`` brings them to their places.
+    The ids themselves are not carried through the rounds; ``write_sequences`` brings them to their places. A null or empty
+    text is one piece of the end id alone; repeated rows are packed each; an empty table gives no rows. Columns that bear
+    the name of a new one are replaced.
     """
+    new = ("piece", "start", "ids", "length", "ids_crc32", "sequence_id", "offset")
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in new]
     made = pieces(docs, limit, text_col=text_col, carry=carry, path=path)
     keep = [c for c in made.columns if c != "ids"]
     digests = made.select(

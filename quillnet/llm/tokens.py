@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from array import array
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,58 +25,74 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-#: A text that holds one of these is not split.
-_WHOLE = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ", "\x85 ", "\xa0 ", "\u1680 ", "\u2028 ", "\u2029 ", "\u202f ", "\u205f ", "\u3000 ", "<|")
-_WHOLE += tuple(chr(c) + " " for c in range(0x2000, 0x200B))
+#: The pattern by which byte-level BPE splits a text before merging; a fixed value.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_LONG_SPACE = re.compile(r"\s{1000}")
+
+
+def _byte_letters() -> dict[str, int]:
+    """Byte-level BPE writes each byte as one letter: printable Latin-1 as it is, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids.
+    """Encodes texts to little-endian unsigned 32-bit ids, as the tokenizer file says.
 
-    The tokenizer's pieces never cross a space that follows a non-space, so a text is split at single spaces and every
-    distinct chunk is encoded once for as long as the bounded cache holds it. A text in which a space follows white space, or
-    that ends with a space or a run of white space, is encoded as a whole.
+    Where the file is plain byte-level BPE with ids in the order of its merges, its own vocabulary is handed to a faster BPE
+    library, which gives the same ids: every merged token is then the only way to its bytes. Texts that hold an added token's
+    string or a run of 1,000 spaces, which that library's splitter cannot take, go to the tokenizer itself, and so do
+    all texts of any other file.
     """
 
-    def __init__(self, path: str, max_cached: int = 400_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.max_cached = max_cached
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        self.added = [x["content"] for x in said.get("added_tokens", [])]
+        self.fast = self._fast(said)
+
+    def _fast(self, said: dict):
+        model, split = said["model"], said.get("pre_tokenizer") or {}
+        plain = (
+            model.get("type") == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"]
+            and said.get("normalizer") is None and said.get("post_processor") is None
+            and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        )
+        if not plain:
+            return None
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        ids, letters = [model["vocab"].get(m) for m in merges], _byte_letters()
+        if None in ids or any(a >= b for a, b in zip(ids, ids[1:], strict=False)) or len(ids) + 256 != len(model["vocab"]):
+            return None
+        import tiktoken
+
+        ranks = {bytes(letters[c] for c in token): k for token, k in model["vocab"].items()}
+        return tiktoken.Encoding("file", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def _odd(self, text: str) -> bool:
+        if any(a in text for a in self.added):
+            return True
+        probes = text[::500] if len(text) >= 1000 else ""
+        spaces = any(c.isspace() for c in probes)
+        return spaces and _LONG_SPACE.search(text) is not None
+
+    def ids(self, text: str | None) -> list[int]:
+        if not text:
+            return []
+        if self.fast is None or self._odd(text):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.fast(text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.first) + len(self.later) > self.max_cached:
-            self.first, self.later = {}, {}
-        first, later = self.first, self.later
-        split: list[list[str] | None] = []
-        new_first: set[str] = set()
-        new_later: set[str] = set()
-        for text in texts:
-            if not text or text[-1] == " " or text[-2:].isspace() or any(run in text for run in _WHOLE):
-                split.append(None)
-                continue
-            chunks = text.split(" ")
-            split.append(chunks)
-            if chunks[0] not in first:
-                new_first.add(chunks[0])
-            rest = set(chunks[1:])
-            new_later.update(rest.difference(later))
-        fresh_first, fresh_later = sorted(new_first), sorted(new_later)
-        first.update(zip(fresh_first, self._ids(fresh_first), strict=True))
-        later.update(zip(fresh_later, self._ids([" " + c for c in fresh_later]), strict=True))
-        whole = iter(self._ids([t for t, c in zip(texts, split, strict=True) if c is None and t]))
-        get = later.__getitem__
-        return [
-            (next(whole) if t else b"") if c is None else first[c[0]] + b"".join(map(get, c[1:]))
-            for t, c in zip(texts, split, strict=True)
-        ]
+        return [array("I", self.ids(t)).tobytes() for t in texts]
+
+    def lengths(self, texts: list[str | None]) -> list[int]:
+        return [len(self.ids(t)) for t in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -87,12 +105,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _encoded(batch: pa.RecordBatch, column: str, path: str, step: int = 256):
-    """The encoded texts of a batch, a few hundred at a time."""
+def _some(batch: pa.RecordBatch, column: str, step: int = 256):
+    """The texts of a batch, a few hundred at a time."""
     texts = batch.column(batch.schema.names.index(column))
-    coder = encoder(path)
     for i in range(0, len(texts), step):
-        yield i, coder.encode(texts.slice(i, step).to_pylist())
+        yield i, texts.slice(i, step).to_pylist()
 
 
 def encoded_lengths(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, path: str | None = None) -> DataFrame:
@@ -103,7 +120,7 @@ def encoded_lengths(docs: DataFrame, text_col: str = "text", carry: list[str] |
 
     def count(batches):
         for batch in batches:
-            n = [len(x) // 4 for _, part in _encoded(batch, text, path) for x in part]
+            n = [k for _, texts in _some(batch, text) for k in encoder(path).lengths(texts)]
             yield pa.RecordBatch.from_arrays(
                 [*BlobReader(batch).keep(carry), pa.array(n, pa.int64())], [*carry, "n_tokens"]
             )

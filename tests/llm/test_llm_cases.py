@@ -50,7 +50,12 @@ def test_encoder_is_exact():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    e, rng = Encoder(tokenizer_path(), max_cached=300), random.Random(3)
+    e, rng = Encoder(tokenizer_path()), random.Random(3)
+    assert e.fast is not None
+    # Every token is reached from its own bytes: then merging by rank is merging by the file's list.
+    assert all([x.id for x in t.model.tokenize(s)] == [k] for s, k in t.get_vocab().items() if s != "<|endoftext|>")
+    for odd in (" " * 40_000, "a" + "\n" * 30_000 + "b", "x" * 50_000 + "<|endoftext|>", "\t" * 1500 + "é" * 3000):
+        assert e.ids(odd) == t.encode(odd, add_special_tokens=False).ids
     parts = ["a", "The", "don't", "é", "ß", "12", "3.5", "\n", "\t", " ", "  ", "   ", "\u00a0", "!!", "漢字", "<|endoftext|>", "\r\n", "x_y", "'s", "\u3000"]
     for _ in range(300):
         texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(12))) for _ in range(5)]
@@ -63,6 +68,11 @@ def test_encoder_is_exact():
 def test_packing_cases(spark, docs):
     r = pack_documents(docs(*ODD), limit=64, carry=["doc_id"]).collect()
     assert {x["doc_id"] for x in r} == set(range(8)) and max(x["length"] for x in r) == 64
+    clash = docs("a b", None).select("*", F.lit("x").alias("length"), F.lit("y").alias("ids_crc32"), F.lit(0).alias("Piece"))
+    assert sorted(x["length"] for x in pack_documents(clash).collect()) == [1, 3]
+    assert pack_documents(docs("a").limit(0)).count() == 0
+    big = pack_documents(docs("word " * 1_000_000), carry=["doc_id"]).collect()
+    assert sum(x["length"] for x in big) == 1_000_002 and all(x["length"] == 1024 for x in big if x["piece"])
     items = spark.createDataFrame([(1, 5, "x"), (2, None, "x"), (3, 0, "x"), (4, 99, "x"), (5, 10, "x")], "k int, length int, offset string")
     got = {x["k"]: x for x in pack_sequences(items, 10).collect()}
     assert [got[k]["sequence_id"] is None for k in (1, 2, 3, 4, 5)] == [False, True, True, True, False]
