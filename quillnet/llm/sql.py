@@ -94,6 +94,30 @@ ORACLES = {
 
 _RULES = ", ".join(f"('{r.text}', '{r.host}', '{r.path}', '{r.verdict}')" for r in RULES)
 
+
+
+def _level(k: int) -> str:
+    """Level k of the tree: rare children become *, and children whose blocked shares do not differ become one branch."""
+    return f"""
+c{k} AS (SELECT host, t, segs[{k}] AS c, sum(n) AS n, sum(l) AS l, sum(b) AS b FROM r{k - 1} WHERE len(segs) >= {k} GROUP BY ALL),
+g{k} AS MATERIALIZED (SELECT *, CASE WHEN count(*) OVER w > 10 AND n * 10 < sum(n) OVER w THEN '*' ELSE c END AS g FROM c{k} WINDOW w AS (PARTITION BY host, t)),
+s{k} AS (SELECT host, t, g, sum(l) AS l, sum(b) AS b, CASE WHEN sum(l) > 0 THEN sum(b) / sum(l)::DOUBLE END AS p FROM g{k} GROUP BY ALL),
+o{k} AS (SELECT *, lag(l) OVER w AS l0, lag(p) OVER w AS p0, (lag(b) OVER w + b) / nullif(lag(l) OVER w + l, 0)::DOUBLE AS q FROM s{k}
+         WINDOW w AS (PARTITION BY host, t ORDER BY p NULLS FIRST, g)),
+u{k} AS (SELECT *, sum(CASE WHEN l > 0 AND (coalesce(l0, 0) = 0 OR abs(p - p0) > 1.96::DOUBLE * sqrt(q * (1 - q) * (1.0::DOUBLE / l0 + 1.0::DOUBLE / l))) THEN 1 ELSE 0 END)
+         OVER (PARTITION BY host, t ORDER BY p NULLS FIRST, g) AS branch FROM o{k}),
+m{k} AS (SELECT host, t, branch, CASE WHEN count(*) = 1 THEN min(g) ELSE '{{' || string_agg(g, '|' ORDER BY g) || '}}' END AS name, sum(l) AS bl, sum(b) AS bb
+         FROM u{k} GROUP BY ALL),
+r{k} AS MATERIALIZED (
+  SELECT r.host, segs, r.n, r.l, r.b, r.t || '/' || name AS t, list_append(chain, {{'l': bl::DOUBLE, 'b': bb::DOUBLE}}) AS chain
+  FROM r{k - 1} r JOIN g{k} ON r.host = g{k}.host AND r.t = g{k}.t AND segs[{k}] = c JOIN u{k} ON u{k}.host = r.host AND u{k}.t = r.t AND u{k}.g = g{k}.g
+  JOIN m{k} ON m{k}.host = r.host AND m{k}.t = r.t AND m{k}.branch = u{k}.branch WHERE len(segs) >= {k}
+  UNION ALL SELECT * FROM r{k - 1} WHERE len(segs) < {k})"""
+
+
+#: Levels written out in SQL; the operator goes as deep as the paths do.
+_LEVELS = 8
+
 OP8 = rf"""
 WITH x AS (SELECT page_id, url, row_number() OVER () AS r, coalesce(position('://' IN url), 0) AS i FROM pages),
 y AS (SELECT page_id, r, CASE WHEN i > 0 THEN url[i + 3:] ELSE '' END AS rest FROM x),
@@ -101,24 +125,18 @@ p AS (SELECT page_id, r, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}',
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM y),
 f AS (SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v FROM p, (VALUES {_RULES}) q(rule, h, pre, v)
       WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY r),
-s AS (SELECT p.*, rule, v, regexp_replace(split_part(path, '/', 2), '{VARIABLE}', '*') AS s1,
-             regexp_replace(split_part(path, '/', 3), '{VARIABLE}', '*') AS s2 FROM p LEFT JOIN f USING (r)),
-c1 AS (SELECT host, s1, count(*) AS n FROM s GROUP BY ALL),
-t1 AS (SELECT host, s1, CASE WHEN count(*) OVER w > 10 AND n * 10 < sum(n) OVER w THEN '*' ELSE s1 END AS t1 FROM c1 WINDOW w AS (PARTITION BY host)),
-a AS (SELECT s.*, t1 FROM s JOIN t1 USING (host, s1)),
-c2 AS (SELECT host, t1, s2, count(*) AS n FROM a GROUP BY ALL),
-t2 AS (SELECT host, t1, s2, CASE WHEN count(*) OVER w > 10 AND n * 10 < sum(n) OVER w THEN '*' ELSE s2 END AS t2 FROM c2 WINDOW w AS (PARTITION BY host, t1)),
-b AS (SELECT a.*, t2, CASE WHEN len(string_split(host, '.')) > 1 THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE host END AS site FROM a JOIN t2 USING (host, t1, s2)),
-g AS (SELECT CASE WHEN count(rule) > 0 THEN count(*) FILTER (v = 'block') / count(rule)::DOUBLE ELSE 0 END AS pg FROM b),
-sp AS (SELECT site, (count(*) FILTER (v = 'block') + (SELECT pg FROM g) * 10) / (count(rule) + 10.0::DOUBLE) AS ps FROM b GROUP BY site),
-h AS (SELECT host, count(rule) AS lh, count(*) FILTER (v = 'block') AS bh, (count(*) FILTER (v = 'block') + any_value(ps) * 10) / (count(rule) + 10.0::DOUBLE) AS ph
-      FROM b JOIN sp USING (site) GROUP BY host),
-br AS (SELECT host, t1, count(rule) AS l1, count(*) FILTER (v = 'block') AS b1 FROM b GROUP BY ALL),
-al AS (SELECT *, l1 = 0 OR abs(b1 / l1::DOUBLE - bh / lh::DOUBLE) <= 1.96::DOUBLE * sqrt(bh / lh::DOUBLE * (1 - bh / lh::DOUBLE) / l1) AS alike FROM br JOIN h USING (host)),
-pm AS (SELECT host, t1, CASE WHEN alike THEN (sum(b1) FILTER (alike) OVER w + ph * 10) / (sum(l1) FILTER (alike) OVER w + 10.0::DOUBLE) ELSE (b1 + ph * 10) / (l1 + 10.0::DOUBLE) END AS p1
-       FROM al WINDOW w AS (PARTITION BY host)),
-lf AS (SELECT host, t1, t2, (count(*) FILTER (v = 'block') + any_value(p1) * 10) / (count(rule) + 10.0::DOUBLE) AS purity FROM b JOIN pm USING (host, t1) GROUP BY ALL)
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN purity >= 0.8::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
-FROM b JOIN lf USING (host, t1, t2)
+d AS MATERIALIZED (SELECT p.*, rule, v, list_transform(string_split(path[2:], '/'), lambda s: regexp_replace(s, '{VARIABLE}', '*')) AS segs FROM p LEFT JOIN f USING (r)),
+r0 AS MATERIALIZED (
+  SELECT host, segs, count(*) AS n, count(rule) AS l, count(*) FILTER (v = 'block') AS b, '' AS t, []::STRUCT(l DOUBLE, b DOUBLE)[] AS chain FROM d GROUP BY host, segs),
+{",".join(_level(k) for k in range(1, _LEVELS + 1))},
+z AS (SELECT *, CASE WHEN len(string_split(host, '.')) > 1 THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE host END AS site FROM r{_LEVELS}),
+pa AS (SELECT coalesce(sum(b) / nullif(sum(l), 0)::DOUBLE, 0) AS p FROM z),
+ps AS (SELECT site, (sum(b) + (SELECT p FROM pa) * 10) / (sum(l) + 10.0::DOUBLE) AS p FROM z GROUP BY site),
+ph AS (SELECT host, (sum(b) + any_value(p) * 10) / (sum(l) + 10.0::DOUBLE) AS p FROM z JOIN ps USING (site) GROUP BY host),
+lf AS (SELECT host, t, any_value(p) AS p, any_value(chain[:-2]) AS chain, sum(l) AS l, sum(b) AS b FROM z JOIN ph USING (host) GROUP BY host, t),
+pu AS (SELECT host, t, (b + list_reduce(list_prepend({{'l': 0.0::DOUBLE, 'b': p}}, chain), lambda a, s: {{'l': 0.0::DOUBLE, 'b': (s.b + a.b * 10) / (s.l + 10.0::DOUBLE)}}).b * 10) / (l + 10.0::DOUBLE) AS purity FROM lf),
+tp AS (SELECT z.host, segs, purity FROM z JOIN pu USING (host, t))
+SELECT page_id, d.host, path, rule, coalesce(v, CASE WHEN purity >= 0.8::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
+FROM d JOIN tp ON d.host = tp.host AND d.segs = tp.segs
 """
 ORACLES["op8_urls"] = OP8

@@ -2,11 +2,14 @@
 
 1. Segments that are numbers, or hexadecimal ids, become ``*``. Pages are then counted by (host, segments), before anything
    else is grouped, so a host with a third of all pages is a few counts.
-2. From the root down, a child that is rare under a parent of many children becomes ``*`` (its parent takes any value there).
-3. Rules label pages. A branch whose share of blocked pages does not differ from its host's (two-proportion z) is
-   merged with the other such branches of the host.
-4. A template's purity is its share of blocked pages, smoothed by that of its branch, which is smoothed by its host's, then
-   its site's (last two labels), then all pages'. Templates of purity ``min_purity`` or more are rejected.
+2. The tree is built from the root down, one pass over the counts for each level, as deep as the deepest path. Under every
+   template, a child that is rare among many becomes ``*`` (the template takes any value there).
+3. Rules label pages. Children of one template are then compared by their shares of blocked pages, in the order of these
+   shares: where two neighbours do not differ (two-proportion z), they are one branch, written ``{a|b}``, and so are all children
+   without labels. What follows them is counted together from there on. A template has at most some twenty children at this point.
+4. A template's purity is its own share of blocked pages, smoothed by that of its parent, which is smoothed by its own
+   parent's, and so on up to the host, its site (last two labels) and all pages. Templates of purity ``min_purity`` or more are
+   rejected.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quillnet.session import cut
 
@@ -64,6 +68,42 @@ def _matched(rules: list[Rule], host: Column, path: Column) -> Column:
     return out
 
 
+def _segments(path: Column, max_depth: int) -> Column:
+    """The path's segments without their variable parts; what follows max_depth - 1 of them is one last segment."""
+    parts = F.split(F.substring(path, 2, 1 << 30), "/")
+    last = F.when(F.size(parts) > max_depth, F.array(F.array_join(F.slice(parts, max_depth, 1 << 30), "/")))
+    parts = F.concat(F.slice(parts, 1, max_depth - 1), F.coalesce(last, F.slice(parts, max_depth, 1)))
+    return F.transform(parts, lambda x: F.regexp_replace(x, VARIABLE, "*"))
+
+
+def _branches(level: DataFrame, max_children: int, z: float) -> DataFrame:
+    """(host, template, child) -> (name, l, b): the branch to which a child belongs, its labelled and blocked pages."""
+    parent = ["host", "template"]
+    children = cut(level.groupBy(*parent, "child").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]))
+    wide = children.groupBy(*parent).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("all"))
+    rare = (F.col("k") > max_children) & (F.col("n") * max_children < F.col("all"))
+    named = children.join(wide, parent).select(
+        *parent, "child", "labelled", "blocked", F.when(rare, "*").otherwise(F.col("child")).alias("kind")
+    )
+    named = cut(named)
+    kinds = named.groupBy(*parent, "kind").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    # At most 2 * max_children + 1 kinds for each template from here on.
+    share = F.try_divide("b", "l")
+    order = W.partitionBy(*parent).orderBy(share, "kind")
+    l0, b0 = F.lag("l").over(order), F.lag("b").over(order)
+    both = (b0 + F.col("b")) / (l0 + F.col("l"))
+    apart = F.abs(share - b0 / l0) > z * F.sqrt(both * (1 - both) * (F.lit(1.0) / l0 + F.lit(1.0) / F.col("l")))
+    starts = F.when((F.col("l") > 0) & ((F.coalesce(l0, F.lit(0)) == 0) | apart), 1).otherwise(0)
+    kinds = kinds.select(*parent, "kind", "l", "b", starts.alias("starts"), share.alias("share"))
+    kinds = kinds.withColumn("branch", F.sum("starts").over(order))
+    branch = kinds.groupBy(*parent, "branch").agg(
+        F.sort_array(F.collect_set("kind")).alias("kinds"), F.sum("l").alias("l"), F.sum("b").alias("b")
+    )
+    name = F.when(F.size("kinds") == 1, F.col("kinds")[0]).otherwise(F.concat(F.lit("{"), F.array_join("kinds", "|"), F.lit("}")))
+    branch = branch.select(*parent, F.explode("kinds").alias("kind"), name.alias("name"), "l", "b")
+    return named.join(branch, [*parent, "kind"]).select(*parent, "child", "name", "l", "b")
+
+
 def filter_urls(
     pages: DataFrame,
     rules: list[Rule] | None = None,
@@ -72,83 +112,75 @@ def filter_urls(
     max_children: int = 10,
     weight: float = 10.0,
     z: float = 1.96,
+    max_depth: int = 32,
 ) -> DataFrame:
     """Adds host, path, rule, template, purity and verdict (allow or block) to every row.
 
     host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from there up to ``?``, ``#`` or the
     end; both empty for a null url or one without ``://``. A rule's verdict stands; else the template's. Without labelled
-    pages every purity is 0. Repeated rows are judged each; columns that bear a new name are replaced.
+    pages every purity is 0. All segments count; those from max_depth on are one segment together, so that a
+    path's depth bounds the passes. Repeated rows are judged each; an empty table gives no rows; columns that bear a new name are
+    replaced, others may have any name.
     """
     rules = RULES if rules is None else rules
     new = ("host", "path", "rule", "template", "purity", "verdict")
-    keep = [c for c in pages.columns if c not in new]
-    url = F.col("_url")
-    parsed = pages.select(*keep, F.col(url_col).alias("_url")).select(
-        *keep, F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path")
+    keep = [c for c in pages.columns if c.lower() not in new]
+    own = F.struct(*keep) if keep else F.lit(None)
+    url = F.col("url")
+    parsed = pages.select(own.alias("page"), F.col(url_col).alias("url")).select(
+        "page", F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path")
     )
-    segment = lambda k: F.regexp_replace(F.split_part(F.col("path"), F.lit("/"), F.lit(k)), VARIABLE, "*")
     parsed = parsed.select(
-        "*", _matched(rules, F.col("host"), F.col("path")).alias("_m"), segment(2).alias("_s1"), segment(3).alias("_s2")
+        "*", _matched(rules, F.col("host"), F.col("path")).alias("found"), _segments(F.col("path"), max_depth).alias("segments")
     )
-    key = ["host", "_s1", "_s2"]
-    counts = cut(
-        parsed.groupBy(*key).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count("_m").alias("labelled"),
-            F.count(F.when(F.col("_m.verdict") == "block", 1)).alias("blocked"),
-        )
+    key = ["host", "segments"]
+    counts = parsed.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("found").alias("labelled"),
+        F.count(F.when(F.col("found.verdict") == "block", 1)).alias("blocked"),
     )
-    tree = counts
-    for parent, child, to in ((["host"], "_s1", "_t1"), (["host", "_t1"], "_s2", "_t2")):
-        children = tree.groupBy(*parent, child).agg(F.sum("n").alias("_n"))
-        wide = children.groupBy(*parent).agg(F.count(F.lit(1)).alias("_k"), F.sum("_n").alias("_all"))
-        rare = (F.col("_k") > max_children) & (F.col("_n") * max_children < F.col("_all"))
-        names = children.join(wide, parent).select(*parent, child, F.when(rare, "*").otherwise(F.col(child)).alias(to))
-        tree = tree.join(names, [*parent, child])
-    tree = cut(tree.withColumn("_site", F.substring_index("host", ".", -2)))
+    chain = F.array().cast("array<struct<l:bigint,b:bigint>>")
+    tree = cut(counts.select("*", F.lit("").alias("template"), chain.alias("chain")))
+    depth = tree.agg(F.max(F.size("segments"))).first()[0] or 0
+    for k in range(depth):
+        child = F.try_element_at("segments", F.lit(k + 1))
+        deep = tree.withColumn("child", child)
+        there = deep.where(F.size("segments") > k)
+        below = there.join(_branches(there, max_children, z), ["host", "template", "child"]).select(
+            *key, "n", "labelled", "blocked",
+            F.concat("template", F.lit("/"), "name").alias("template"),
+            F.array_append("chain", F.struct("l", "b")).alias("chain"),
+        )
+        tree = cut(below.unionByName(deep.where(F.size("segments") <= k).drop("child")))
+    tree = tree.withColumn("site", F.substring_index("host", ".", -2))
 
     def votes(by: list[str], a: str, b: str) -> DataFrame:
         return tree.groupBy(*by).agg(F.sum("labelled").alias(a), F.sum("blocked").alias(b))
 
-    def smoothed(a: str, b: str, prior: Column) -> Column:
-        return (F.col(b) + prior * weight) / (F.col(a) + weight)
+    def smoothed(a: Column, b: Column, prior: Column) -> Column:
+        return (b + prior * weight) / (a + weight)
 
-    total = tree.agg(F.sum("labelled").alias("_la"), F.sum("blocked").alias("_ba"))
-    base = F.coalesce(F.try_divide("_ba", "_la"), F.lit(0.0))
+    total = tree.agg(F.sum("labelled").alias("la"), F.sum("blocked").alias("ba"))
+    base = F.coalesce(F.try_divide("ba", "la"), F.lit(0.0))
     hosts = (
-        votes(["_site", "host"], "_lh", "_bh")
-        .join(votes(["_site"], "_ls", "_bs"), "_site")
+        votes(["site", "host"], "lh", "bh")
+        .join(votes(["site"], "ls", "bs"), "site")
         .join(F.broadcast(total))
-        .select("host", "_lh", "_bh", smoothed("_lh", "_bh", smoothed("_ls", "_bs", base)).alias("_ph"))
-    )
-    share = F.try_divide("_bh", "_lh")
-    spread = F.sqrt(F.try_divide(share * (1 - share), F.col("_l1")))
-    alike = (F.col("_l1") == 0) | (F.abs(F.try_divide("_b1", "_l1") - share) <= z * spread)
-    branches = votes(["host", "_t1"], "_l1", "_b1").join(hosts, "host").withColumn("_alike", alike)
-    merged = branches.where("_alike").groupBy("host").agg(F.sum("_l1").alias("_lm"), F.sum("_b1").alias("_bm"))
-    branches = branches.join(merged, "host", "left").select(
-        "host",
-        "_t1",
-        F.when(F.col("_alike"), "*").otherwise(F.col("_t1")).alias("_branch"),
-        F.when(F.col("_alike"), smoothed("_lm", "_bm", F.col("_ph")))
-        .otherwise(smoothed("_l1", "_b1", F.col("_ph")))
-        .alias("_p1"),
+        .select("host", smoothed(F.col("lh"), F.col("bh"), smoothed(F.col("ls"), F.col("bs"), base)).alias("prior"))
     )
-    leaves = votes(["host", "_t1", "_t2"], "_l2", "_b2").join(branches, ["host", "_t1"])
-    judged = leaves.select(
-        "host",
-        "_t1",
-        "_t2",
-        F.concat_ws("/", "host", "_branch", "_t2").alias("template"),
-        smoothed("_l2", "_b2", F.col("_p1")).alias("purity"),
+    leaves = tree.groupBy("host", "template").agg(
+        F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.first(F.slice("chain", 1, F.size("chain") - 1)).alias("above")
     )
-    templates = tree.select(*key, "_t1", "_t2").join(judged, ["host", "_t1", "_t2"]).select(*key, "template", "purity")
-    return parsed.join(cut(templates), key).select(
-        *keep,
+    above = F.aggregate("above", F.col("prior"), lambda p, s: smoothed(s["l"], s["b"], p))
+    leaves = leaves.join(hosts, "host").select("host", "template", smoothed(F.col("l"), F.col("b"), above).alias("purity"))
+    templates = tree.select(*key, "template").join(leaves, ["host", "template"])
+    judged = parsed.join(cut(templates), key)
+    return judged.select(
+        *[F.col("page")[c].alias(c) for c in keep],
         "host",
         "path",
-        F.col("_m.rule").alias("rule"),
-        "template",
+        F.col("found.rule").alias("rule"),
+        F.concat("host", "template").alias("template"),
         "purity",
-        F.coalesce(F.col("_m.verdict"), F.when(F.col("purity") >= min_purity, "block").otherwise("allow")).alias("verdict"),
+        F.coalesce(F.col("found.verdict"), F.when(F.col("purity") >= min_purity, "block").otherwise("allow")).alias("verdict"),
     )
