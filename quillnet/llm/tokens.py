@@ -115,7 +115,7 @@ def _some(batch: pa.RecordBatch, column: str, step: int = 256):
 def encoded_lengths(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, path: str | None = None) -> DataFrame:
     """The carried columns of every row, and n_tokens: the number of ids of its whole text (0 for null)."""
     path = path or tokenizer_path()
-    carry = [c for c in (docs.columns if carry is None else carry) if c != "n_tokens"]
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() != "n_tokens"]
     text = fresh(docs, "_text")
 
     def count(batches):

@@ -5,13 +5,17 @@ P_c(s | ctx) = max(n_c(ctx s) - D, 0) / n_c(ctx) + D t_c(ctx) / n_c(ctx) * P(s |
 distributions are Kneser-Ney continuation models whose counts both classes share, so an expression that one class has hardly
 seen leans on the same backoff as in the other.
 
+A second pair of models reads whole words and their beginnings: P_c(s | all letters before s in its word), where both classes
+back off to the counts that they share for the same beginning. Its log ratios add up, along a word, to that of the
+word; so a long word made of ordinary letter runs, or a stem that takes many endings, is seen as one expression.
+
 Scoring needs only the log ratio of the two models. It is kept for every counted n-gram by its five letters as they are, and
-for every context: an n-gram that neither class has counted has the ratio of D t_c(ctx) / n_c(ctx), as the shared backoff is
+for every context (words' beginnings by 104 bits of hash): an n-gram that neither class has counted has the ratio of D t_c(ctx) / n_c(ctx), as the shared backoff is
 the same in both, and 0 after a context that neither has counted. These tables grow with the corpus; beyond
 ``block_entries`` they are sent in blocks, and rows pass through one block after the other.
 
-A document is compared as a whole, in windows of words and of letters, and word by word, normalised by length; a logistic
-model of these ratios gives the score. It is learned on a bounded sample of training rows, as models of all other rows describe
+A document is compared as a whole, in windows of words and of letters, and word by word, normalised by length, by both pairs
+of models; a logistic model of these ratios gives the score. It is learned on a bounded sample of training rows, as models of all other rows describe
 them; documents are then scored by models of all labelled training rows, the sample too.
 """
 
@@ -30,7 +34,9 @@ from quillnet.llm.language import _letters
 from quillnet.session import cut
 
 DISCOUNT = 0.75
-N_FEATURES = 9
+N_FEATURES = 14
+#: A word of this log ratio is plainly toxic: some twenty times likelier in toxic texts.
+PLAINLY = 3.0
 MAX_CALIBRATION_ROWS = 20_000
 MIN_CALIBRATION_ROWS = 10
 BLOCK_ENTRIES = 1 << 21
@@ -41,6 +47,9 @@ CHUNK_LETTERS = (1 << 16, 1 << 20)
 #: A letter takes 21 bits. No letter has them all set: in the place of the last letter they mark a context.
 BITS, ANY = 21, (1 << 21) - 1
 KEY = ["hi", "lo"]
+#: Keys of the words' model have this bit of hi set, and 42 more bits of the hash in lo, where the letter stands last.
+WORD_KEY = 1 << 62
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.empty(0, np.int64)
 
 
@@ -68,8 +77,33 @@ def letter_codes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return before[3] << BITS | before[2], before[1] << 2 * BITS | before[0] << BITS | s[1:], np.flatnonzero(s[:-1] == 0)
 
 
+def word_codes(hi: np.ndarray, lo: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of (all letters before it in its word, letter), for the letters that letter_codes tells."""
+    if not len(starts):
+        return _NONE, _NONE
+    letter = (lo & ANY).astype(np.uint64)
+    size = np.diff(np.append(starts, len(lo)))
+    place = np.arange(len(lo), dtype=np.uint64) - np.repeat(starts.astype(np.uint64), size)
+    out = []
+    for salt in (np.uint64(0x632BE59BD9B4E019), np.uint64(0xD6E8FEB86659FD93)):
+        h = (letter + salt) * _MULTIPLIER ^ (place * salt)
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        before = np.cumsum(h, dtype=np.uint64) - h
+        before -= np.repeat(before[starts], size)
+        before = (before ^ before >> np.uint64(31)) * _MULTIPLIER
+        out.append(before ^ before >> np.uint64(32))
+    one = (out[0] >> np.uint64(2)).astype(np.int64) | WORD_KEY
+    return one, (out[1] >> np.uint64(22)).astype(np.int64) << BITS | (lo & ANY)
+
+
 def _counted(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The different (hi, lo), and how often each stands there."""
+    if len(hi) and hi[0] >= WORD_KEY:  # hashes
+        order = np.lexsort((lo, hi))
+        hi, lo = hi[order], lo[order]
+        first = np.flatnonzero(np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]))
+        return hi[first], lo[first], np.diff(np.append(first, len(hi)))
     held = np.zeros(ANY, bool)
     held[lo & ANY] = held[0] = True
     letters, rank = np.flatnonzero(held), np.cumsum(held) - 1
@@ -88,12 +122,12 @@ def _counted(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def letter_counts(rows: DataFrame, text_col: str, label_col: str, part_col: str) -> DataFrame:
-    """(hi, lo, toxic, ordinary, toxic_0, ordinary_0): how often each 5-gram stands in rows of either class, in all and in those of
+    """(hi, lo, toxic, ordinary, toxic_0, ordinary_0): how often each 5-gram, and each letter after the beginning of a word, stands in rows of either class, in all and in those of
     part 0."""
     names = ("toxic", "ordinary", "toxic_0", "ordinary_0")
 
     def counts_of(by: dict[tuple[int, int], list]) -> Iterator[pa.RecordBatch]:
-        for (label, part), found in by.items():
+        for (label, part, _), found in by.items():
             hi, lo, n = _counted(*(np.concatenate(x) for x in zip(*found, strict=True)))
             zero = np.zeros(len(n), np.int64)
             mine = (label == 1, label == 0, label == 1 and part == 0, label == 0 and part == 0)
@@ -104,9 +138,10 @@ def letter_counts(rows: DataFrame, text_col: str, label_col: str, part_col: str)
             b = BlobReader(batch)
             by, letters = {}, 0
             for text, label, part in zip(b.list("text"), b.list("label"), b.list("part"), strict=True):
-                codes = letter_codes(text)[:2]
-                by.setdefault((label, part), []).append(codes)
-                letters += len(codes[0])
+                codes = letter_codes(text)
+                by.setdefault((label, part, 0), []).append(codes[:2])
+                by.setdefault((label, part, 1), []).append(word_codes(*codes))
+                letters += 2 * len(codes[0])
                 if letters >= COUNT_LETTERS:
                     yield from counts_of(by)
                     by, letters = {}, 0
@@ -130,9 +165,10 @@ def _suffix(order: int) -> list:
 
 
 def log_ratios(counts: DataFrame, toxic: str = "toxic", ordinary: str = "ordinary", discount: float = DISCOUNT) -> DataFrame:
-    """(hi, lo, ratio): log P_toxic - log P_ordinary of every counted 5-gram; with ANY for its last letter, that of any which does
-    not stand here after the other four."""
-    seen = counts.select(*KEY, F.col(toxic).alias("toxic"), F.col(ordinary).alias("ordinary")).where("toxic + ordinary > 0")
+    """(hi, lo, ratio): log P_toxic - log P_ordinary of every counted 5-gram and letter of a word; with ANY for the last letter, that
+    of any which does not stand here after what comes before."""
+    every = counts.select(*KEY, F.col(toxic).alias("toxic"), F.col(ordinary).alias("ordinary")).where("toxic + ordinary > 0")
+    seen = every.where(F.col("hi") < WORD_KEY)
     ctx_of = F.col("lo").bitwiseOR(ANY).alias("ctx")
 
     # Shared backoff: continuation counts of orders 4 to 1, each interpolated with the next shorter one.
@@ -156,13 +192,16 @@ def log_ratios(counts: DataFrame, toxic: str = "toxic", ordinary: str = "ordinar
             (F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("all") + discount * F.col("types") / F.col("all") * F.col("_p")).alias("p"),
         )
     shared = cut(p.select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.col("p").alias("_p")))
-    ctx = seen.withColumn("ctx", ctx_of)
+    ctx = every.withColumn("ctx", ctx_of)
     per = ctx.groupBy("hi", "ctx").agg(
         *[F.sum(c).alias(f"{c}_all") for c in ("toxic", "ordinary")],
         *[F.count(F.when(F.col(c) > 0, 1)).alias(f"{c}_types") for c in ("toxic", "ordinary")],
     )
     hi, lo = _suffix(4)
-    known = ctx.join(per, ["hi", "ctx"]).select("*", hi.alias("_hi"), lo.alias("_lo")).join(shared, ["_hi", "_lo"])
+    known = ctx.join(per, ["hi", "ctx"])
+    both = (F.col("toxic") + F.col("ordinary")) / (F.col("toxic_all") + F.col("ordinary_all"))
+    of_words = known.where(F.col("hi") >= WORD_KEY).withColumn("_p", both)
+    known = known.where(F.col("hi") < WORD_KEY).select("*", hi.alias("_hi"), lo.alias("_lo")).join(shared, ["_hi", "_lo"])
 
     def model(c: str):
         n, all_, types = F.col(c), F.col(f"{c}_all"), F.col(f"{c}_types")
@@ -176,7 +215,7 @@ def log_ratios(counts: DataFrame, toxic: str = "toxic", ordinary: str = "ordinar
     def ratio(f):
         return (F.log(f("toxic")) - F.log(f("ordinary"))).alias("ratio")
 
-    return known.select(*KEY, ratio(model)).unionByName(per.select("hi", F.col("ctx").alias("lo"), ratio(backoff)))
+    return known.select(*KEY, ratio(model)).unionByName(of_words.select(*KEY, ratio(model))).unionByName(per.select("hi", F.col("ctx").alias("lo"), ratio(backoff)))
 
 
 class Block:
@@ -252,9 +291,12 @@ def described(sent: list, texts: Iterable[str | None]) -> Iterator[list[float]]:
     letters = 0
 
     def look_up():
-        ratio = ratios_of(sent, *(np.concatenate([h[k] for h in held]) for k in (0, 1))).astype(np.float64)
         ends = np.cumsum([len(h[0]) for h in held])
-        return [evidence(r, h[2]) for r, h in zip(np.split(ratio, ends[:-1]), held, strict=True)]
+        starts = np.concatenate([h[2] + e - len(h[0]) for h, e in zip(held, ends.tolist(), strict=True)]).astype(np.int64)
+        hi, lo = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        ratio, whole = (ratios_of(sent, *keys).astype(np.float64) for keys in ((hi, lo), word_codes(hi, lo, starts)))
+        cut_up = (np.split(r, ends[:-1]) for r in (ratio, whole))
+        return [evidence(r, w, h[2]) for r, w, h in zip(*cut_up, held, strict=True)]
 
     for text in texts:
         held.append(letter_codes(text))
@@ -266,9 +308,16 @@ def described(sent: list, texts: Iterable[str | None]) -> Iterator[list[float]]:
         yield from look_up()
 
 
-def evidence(ratio: np.ndarray, starts: np.ndarray, window: int = 4, letters: int = 5) -> list[float]:
+def _top(word: np.ndarray) -> list[float]:
+    """The three largest of a text's words, zeros in the place of words that it lacks."""
+    top = np.partition(word, -3)[-3:] if len(word) > 3 else word
+    return [*np.sort(top)[::-1].tolist(), *[0.0] * (3 - len(top))]
+
+
+def evidence(ratio: np.ndarray, whole: np.ndarray, starts: np.ndarray, window: int = 4, letters: int = 5) -> list[float]:
     """What the log ratios of a text's letters say: per letter (all, largest window of words, largest run of letters, largest
-    word), per word (mean), its three most toxic words, and the logarithm of its number of words. Zeros for a text without words."""
+    word), per word (mean), its three most toxic words, and the logarithm of its number of words; by the models of words the
+    mean, the three most toxic words and the logarithm of how many are plainly toxic. Zeros for a text without words."""
     if not len(starts):
         return [0.0] * N_FEATURES
     word = np.add.reduceat(ratio, starts)
@@ -278,17 +327,17 @@ def evidence(ratio: np.ndarray, starts: np.ndarray, window: int = 4, letters: in
     k = min(window, len(word))
     windows = (run[bounds[k:]] - run[bounds[:-k]]) / (bounds[k:] - bounds[:-k])
     k = min(letters, len(ratio))
-    top = np.partition(word, -3)[-3:] if len(word) > 3 else np.concatenate([np.zeros(3 - min(3, len(word))), word])[-3:]
-    top = np.sort(top)
+    by_word = np.add.reduceat(whole, starts)
     return [
         float(ratio.mean()), float(windows.max()), float((run[k:] - run[:-k]).max() / k), float((word / size).max()), float(word.mean()),
-        float(top[2]), float(top[1]), float(top[0]), float(np.log1p(len(word))),
+        *_top(word), float(np.log1p(len(word))), float(by_word.mean()), *_top(by_word), float(np.log1p((by_word > PLAINLY).sum())),
     ]
 
 
 def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 1e-2) -> np.ndarray:
     """Logistic regression by Newton's method on standardised features; weights for them as they are, then the bias."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
+    mean, scale = x.mean(0), x.std(0)
+    scale = np.where(scale > 1e-6, scale, np.inf)  # what never varies tells nothing
     x = np.column_stack([(x - mean) / scale, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
@@ -316,12 +365,13 @@ def score_toxicity(
     train: documents whose labels may be learned from; labels: (id_col, label_col) rows, of which 0 and 1 count, and 1 wins
     where an id has both. All labelled training rows teach the models that score. The calibration is on max_calibration_rows
     ids at most, of a fifth of the labels, described by models of all rows but theirs; with fewer than MIN_CALIBRATION_ROWS rows
-    of a class there, or none of a class in the others, it is on rows of all labels, described by models of all. Null and wordless texts get the score of no evidence, at most 0.5 less a hair if no
-    class can be told apart. Repeated rows are scored each; columns that bear a new name are replaced.
+    of a class there, or none of a class in the others, it is on rows of all labels, described by models of all. With labels of one class only, or none, nothing is learned, and the score is 1 / (1 + exp(3 - top / 2)), top being the
+    largest of 0 and the text's words' log ratios. Null and wordless texts bear no evidence: the score of a text whose
+    features are all 0. Repeated rows are scored each; an empty table gives no rows; columns that bear a new name are replaced.
     """
     spark = docs.sparkSession
     new = ("score", "predicted")
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in new]
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in new]
     text_at = fresh(docs, "_text")
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(
         F.max(label_col).cast("int").alias("label")
@@ -357,7 +407,7 @@ def score_toxicity(
     if len(set(y.tolist())) == 2:
         weights = _fit(x, y)
     else:
-        weights = np.array([0.0] * 5 + [0.5] + [0.0] * 3 + [-3.0])
+        weights = np.array([0.0] * 5 + [0.5] + [0.0] * (N_FEATURES - 6) + [-3.0])
 
     def score(batches):
         for batch in batches:

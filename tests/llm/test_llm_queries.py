@@ -73,11 +73,14 @@ def test_language_held_out_accuracy(spark):
 
 
 def test_toxicity_and_quality_held_out(spark):
-    # Toxic labels of this table's other languages stand on texts without any toxic word, so nothing can tell them apart.
     known = _labels()
-    english = {i for (i,) in duckdb.sql("SELECT doc_id FROM '/root/testdata/sf0.1/documents.parquet' WHERE lang = 'en'").fetchall()}
-    tox = [(r["predicted"], known[r["doc_id"]][1]) for r in QUERIES["op9_toxicity"](spark, "/root/testdata/sf0.1").collect() if r["held_out"] and r["doc_id"] in known and r["doc_id"] in english]
-    assert sum(p == t for p, t in tox) / len(tox) > 0.95
+    lang = dict(duckdb.sql("SELECT doc_id, lang FROM '/root/testdata/sf0.1/documents.parquet'").fetchall())
+    tox = [(lang[r["doc_id"]], known[r["doc_id"]][1], r["predicted"]) for r in QUERIES["op9_toxicity"](spark, "/root/testdata/sf0.1").collect() if r["held_out"] and r["doc_id"] in known]
+    for one in {x for x, _, _ in tox}:
+        bad = [p for x, t, p in tox if x == one and t == 1]
+        fine = [p for x, t, p in tox if x == one and t == 0]
+        assert len(bad) < 5 or sum(bad) / len(bad) >= 0.8, (one, sum(bad), len(bad))
+        assert sum(fine) / len(fine) <= 0.05, (one, sum(fine), len(fine))
     good = [(r["predicted"], known[r["doc_id"]][0]) for r in QUERIES["op7_quality"](spark, "/root/testdata/sf0.1").collect() if r["held_out"] and r["doc_id"] in known]
     assert sum(p == t for p, t in good) / len(good) > 0.97
 

@@ -1,12 +1,13 @@
 """Toxicity by brute force: letters as they are, the backoff of n-grams not counted, tables in blocks."""
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from quillnet.llm.toxicity import letter_codes, letter_counts, log_ratios, ratios_of, score_toxicity, send
+from quillnet.llm.toxicity import letter_codes, letter_counts, log_ratios, ratios_of, score_toxicity, send, word_codes
 
 TOXIC = ["awful zorgblat", "zorgblats hate", "hat awe", "ужас", "zorgblat"]
 CALM = ["the cat sat on the mat", "a door near the hat", "cats chat at zoos", "дом", "the zorgon"]
@@ -46,6 +47,22 @@ def _brute(toxic, calm, d=0.75):
     return ratio
 
 
+def _brute_words(toxic, calm, d=0.75):
+    n = [Counter((w[:k], (w + "\0")[k]) for t in texts for w in t.lower().split() for k in range(len(w) + 1)) for texts in (toxic, calm)]
+
+    def ratio(before, letter):
+        mine = [{s: k for (b, s), k in c.items() if b == before} for c in n]
+        every = [sum(m.values()) for m in mine]
+        both = sum(m.get(letter, 0) for m in mine) / sum(every) if sum(every) else 0
+        if not both:
+            p = [d * len(m) / k if k else 1.0 for m, k in zip(mine, every, strict=True)]
+        else:
+            p = [(max(m.get(letter, 0) - d, 0) + d * len(m) * both) / k if k else both for m, k in zip(mine, every, strict=True)]
+        return math.log(p[0] / p[1])
+
+    return ratio
+
+
 @pytest.mark.parametrize("block", [7, 1 << 21])
 def test_log_ratios_by_brute_force(spark, block):
     rows = [(t, 1, 0) for t in TOXIC] + [(t, 0, 0) for t in CALM]
@@ -56,6 +73,10 @@ def test_log_ratios_by_brute_force(spark, block):
     got = ratios_of(sent, *letter_codes(text)[:2])
     want = [ratio(g) for g in _grams(text)]
     assert np.allclose(got, want, atol=1e-5) and len(set(want)) > 5
+    words = _brute_words(TOXIC, CALM)
+    got = ratios_of(sent, *word_codes(*letter_codes(text)))
+    want = [words(w[:k], (w + "\0")[k]) for w in text.split() for k in range(len(w) + 1)]
+    assert np.allclose(got, want, atol=1e-5) and len(set(want)) > 5
 
 
 def test_letters_beyond_ascii_are_told_apart(spark, docs):
@@ -92,3 +113,26 @@ def test_few_rows_do_both(spark, docs):
         labels = spark.createDataFrame([(k, int(k in rude)) for k in range(200)], "doc_id long, toxic int")
         r = {x["doc_id"]: x["score"] for x in score_toxicity(docs("awful zorgblat", "the cat sat"), docs(*texts), labels).collect()}
         assert r[0] > 0.9 and r[1] < 0.1
+
+
+def test_a_stem_of_ordinary_runs_is_an_expression(spark, docs):
+    # Every letter run of the toxic stem stands in ordinary words too; its endings differ from text to text.
+    rng = random.Random(4)
+    end = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(3))
+    calm = [f"bachli nachlich machlicho lachen bachlich{end()} {end()}" for _ in range(150)]
+    rude = [f"bachli nachlich machlicho lachen achlich{end()} {end()}" for _ in range(150)]
+    labels = spark.createDataFrame([(k, int(k >= 150)) for k in range(300)], "doc_id long, toxic int")
+    asked = docs("bachli nachlich achlichzoq lachen", "bachli nachlich machlicho lachen zoq", "nachlich bachlichzoq")
+    r = {x["doc_id"]: x["predicted"] for x in score_toxicity(asked, docs(*calm, *rude), labels).collect()}
+    assert r == {0: 1, 1: 0, 2: 0}
+
+
+def test_clashing_columns_and_empty_tables(spark, docs):
+    from pyspark.sql import functions as F
+
+    d, labels = docs("awful", None, ""), spark.createDataFrame([(0, 1)], "doc_id long, toxic int")
+    odd = d.select("*", *[F.lit(7).alias(c) for c in ("_text", "label", "part", "x", "id", "hi", "lo", "Score", "predicted")])
+    rows = score_toxicity(odd, odd, labels).collect()
+    assert len(rows) == 3 and {r["label"] for r in rows} == {7} and all(0 <= r["score"] <= 1 for r in rows)
+    assert score_toxicity(odd.limit(0), odd.limit(0), labels).count() == 0
+    assert {round(r["score"], 4) for r in score_toxicity(d, d, labels.limit(0)).collect()} == {0.0474}
