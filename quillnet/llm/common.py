@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.group import GroupedData
 
 #: Words of digits, a-z and everything beyond ASCII: A-Z become a-z, all other ASCII bytes become spaces.
 WORD_BYTES = bytes(
@@ -32,7 +33,33 @@ def map_batches(
     f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: T.StructType | str,
 ) -> DataFrame:
-    return df.mapInArrow(f, schema)
+    def g(batches):
+        yield from f(batches)
+        release()
+
+    return df.mapInArrow(g, schema)
+
+
+def map_groups(groups: GroupedData, f: Callable[[pa.Table], pa.Table], schema: T.StructType | str) -> DataFrame:
+    def g(table):
+        out, large = f(table), table.nbytes > 1 << 22
+        if large:
+            del table
+            release()
+        return out
+
+    return groups.applyInArrow(g, schema)
+
+
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the machine: workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def with_fields(df: DataFrame, carry: list[str], *new: T.StructField) -> T.StructType:

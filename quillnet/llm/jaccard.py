@@ -6,11 +6,13 @@
    sent once, and the batch keeps the list of its holders, so no hash gathers its documents in one task.
 3. The order is rare-first: by count, then hash. A shingle of a single class cannot make a pair, so a class whose prefix
    (its first n - ceil(t n) + 1 shingles) holds none but such shingles links with nothing and is done.
-4. The others are joined on their prefix shingles: components of "shares a prefix shingle" come from stars
-   (shingle, smallest holder), which grow with the prefixes and never as pairs. Every link lies within one of these groups.
-5. Small groups are joined together in one task; a large one is cut by length band and hash into blocks, and pairs of
-   blocks of neighbouring bands are joined. In a task, documents come shortest first; prefix postings give candidates, which
-   pass the length, positional and suffix filters and are then counted out, once for each pair.
+4. The others meet by prefix shingle. Every class takes a home: the smallest class with which it shares a prefix shingle. Small homes
+   are put together into blocks of a bounded number of shingles, large ones are cut into such blocks by length band and hash.
+   A class goes to its own block, and besides only to the blocks in which one of its prefix shingles stands too (of
+   neighbouring length bands); shingles that stand in the same blocks are looked up once. So two classes meet only if they
+   share a prefix shingle, and then in exactly one task. Neither pairs nor posting lists are gathered.
+5. In a task, documents come shortest first; prefix postings give candidates, which pass the length, positional and suffix
+   filters and are then counted out, once for each pair.
 
 Hashes have 64 bits when made, and log2(ranges) + 32 bits when counted and compared.
 """
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillnet.llm.common import LOWER_BYTES, BlobReader, fresh, join_bounded, map_batches
+from quillnet.llm.common import LOWER_BYTES, BlobReader, fresh, join_bounded, map_batches, map_groups
 from quillnet.operators.components import connected_components
 from quillnet.session import cut
 
@@ -135,6 +137,8 @@ def _send(bits: int, k: int, per_message: int):
     return f
 
 
+#: A table of at most so many narrow rows, some 20 MB, is sent to all tasks.
+MAX_SENT = 400_000
 MESSAGE = "part int, batch long, hash binary, doc binary, more binary"
 
 
@@ -148,14 +152,18 @@ def _count(table: pa.Table) -> pa.Table:
         hs.append(a)
         docs.append(np.frombuffer(d, "<u2"))
         batch.append(np.full(len(a), j, np.int32))
-        count.append(np.frombuffer(m, "<u2").astype(np.int64) if m is not None else np.ones(len(a), np.int64))
+        count.append(np.frombuffer(m, "<u2") if m is not None else np.ones(len(a), np.uint16))
     h, doc, b, c = map(np.concatenate, (hs, docs, batch, count))
-    order = np.argsort(h, kind="stable")
-    h, doc, b, c = h[order], doc[order], b[order], c[order]
+    del hs, docs, batch, count
+    order = np.argsort(h, kind="stable").astype(np.int32)
+    h = h[order]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    df = np.repeat(np.add.reduceat(c, first), np.diff(np.append(first, len(h))))
-    on = df > 1
-    h, doc, b, df = h[on], doc[on], b[on], np.minimum(df[on], 2**32 - 1).astype(np.uint32)
+    df = np.add.reduceat(c[order], first, dtype=np.int64)
+    on = np.repeat(df > 1, np.diff(np.append(first, len(h))))
+    df = np.repeat(np.minimum(df, 2**32 - 1).astype(np.uint32), np.diff(np.append(first, len(h))))[on]
+    h, order = h[on], order[on]
+    doc, b = doc[order], b[order]
+    del c, on, first
     order = np.argsort(b, kind="stable")
     h, doc, b, df = h[order], doc[order], b[order], df[order]
     which, begin = np.unique(b, return_index=True)
@@ -235,16 +243,18 @@ def _link(members: list[tuple], num: int, den: int):
 
     def postings(lengths):
         token = np.concatenate([s[:z] for s, z in zip(sets, lengths.tolist(), strict=True)])
-        doc = np.repeat(np.arange(len(sets)), lengths)
-        pos = np.concatenate([np.arange(z) for z in lengths.tolist()])
-        order = np.argsort(token, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        order = np.argsort(token, kind="stable").astype(np.int32)
         token = token[order]
-        start = np.searchsorted(token, token, side="left")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        begin = np.empty(len(order), np.int64)
+        new = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        start = np.repeat(new.astype(np.int32), np.diff(np.append(new, len(token))))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        begin = np.empty(len(order), np.int32)
         begin[order] = start
-        return doc[order], pos[order], begin, place, np.concatenate([[0], np.cumsum(lengths)])
+        doc = np.repeat(np.arange(len(sets), dtype=np.int32), lengths)
+        pos = np.arange(len(order), dtype=np.int32) - np.repeat(ends[:-1].astype(np.int32), lengths)
+        return doc[order], pos[order], begin, place, ends
 
     p_doc, p_pos, p_begin, p_place, p_at = postings(prefix)
     full = None
@@ -292,36 +302,47 @@ def _link(members: list[tuple], num: int, den: int):
             yield k, x
 
 
+def _linked(members: list[tuple], num: int, den: int) -> list[tuple[int, int, int]]:
+    """(id, copies that it links to, smallest id of its component) of those that link, of one pair of blocks."""
+    degree = np.zeros(len(members), np.int64)
+    root = list(range(len(members)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for y, x in _link(members, num, den):
+        degree[x] += members[y][4]
+        degree[y] += members[x][4]
+        a, b = find(x), find(y)
+        if a != b:
+            root[a] = b
+    least: dict[int, int] = {}
+    on = np.flatnonzero(degree).tolist()
+    for i in on:
+        r = find(i)
+        least[r] = min(least.get(r, members[i][0]), members[i][0])
+    return [(members[i][0], int(degree[i]), least[find(i)]) for i in on]
+
+
 def _task(num: int, den: int):
+    """The pairs of blocks of one task, one after the other. Of two different blocks only pairs across count."""
+
     def f(table: pa.Table) -> pa.Table:
-        members = list(zip(*(table.column(c).to_pylist() for c in ("id", "n", "unique", "tokens", "copies", "side")), strict=True))
-        degree = np.zeros(len(members), np.int64)
-        root = list(range(len(members)))
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for y, x in _link(members, num, den):
-            degree[x] += members[y][4]
-            degree[y] += members[x][4]
-            a, b = find(x), find(y)
-            if a != b:
-                root[a] = b
-        least: dict[int, int] = {}
-        for i, m in enumerate(members):
-            r = find(i)
-            least[r] = min(least.get(r, m[0]), m[0])
-        on = np.flatnonzero(degree).tolist()
-        return pa.table(
-            {
-                "id": pa.array([members[i][0] for i in on], pa.int64()),
-                "n": pa.array(degree[on], pa.int64()),
-                "root": pa.array([least[find(i)] for i in on], pa.int64()),
-            }
-        )
+        table = table.sort_by([("a", "ascending"), ("b", "ascending")])
+        a, b = (table.column(c).to_numpy() for c in ("a", "b"))
+        starts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        out: list[tuple[int, int, int]] = []
+        for i, z in zip(starts.tolist(), np.append(starts[1:], len(a)).tolist(), strict=True):
+            part = table.slice(i, z - i)
+            sides = set(part.column("side").to_pylist())
+            if z - i < 2 or (a[i] != b[i] and len(sides) < 2):
+                continue
+            out += _linked(list(zip(*(part.column(c).to_pylist() for c in ("id", "n", "unique", "tokens", "copies", "side")), strict=True)), num, den)
+        cols = list(zip(*out, strict=True)) if out else [[]] * 3
+        return pa.table({c: pa.array(list(v), pa.int64()) for c, v in zip(("id", "n", "root"), cols, strict=True)})
 
     return f
 
@@ -340,22 +361,68 @@ def _set_sizes(docs: DataFrame, k: int, carry: list[str], text: str) -> DataFram
     return map_batches(rows, f, schema)
 
 
+def _meetings(may: DataFrame, num: int, den: int, block: int, block_shingles: int) -> DataFrame:
+    """(id, size, a, b, side): the pairs of blocks (a <= b) to which every class goes; a = b is its own block alone."""
+    post = may.select("id", F.explode("prefix").alias("token"))
+    least = post.groupBy("token").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("held")).where("held > 1")
+    shared = cut(post.join(least.select("token", "least"), "token"))
+    sizes = may.select("id", "n", F.floor(F.octet_length("tokens") / 8).alias("size"))
+    homes = cut(shared.groupBy("id").agg(F.min("least").alias("home")).join(sizes, "id"))
+    # A little more than the length filter's ratio, so that rounding cannot part two that may link.
+    width = math.log(den / num) * (1 + 1e-9)
+    band = F.floor(F.log(F.col("n").cast("double")) / width) if num < den else F.col("n")
+    held = homes.groupBy("home").agg(F.count(F.lit(1)).alias("held"), F.sum("size").alias("all"))
+    large = held.where((F.col("held") > block) | (F.col("all") > block_shingles)).select("home", F.lit(True).alias("large"))
+    homes = join_bounded(homes, large, "home", "left", MAX_SENT).withColumn("band", F.when(F.col("large"), band.cast("long")))
+    parts = homes.where("large").groupBy("home", "band").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / block_shingles)).alias("parts")
+    )
+    weight = homes.where("large is null").agg(F.sum("size"), F.count(F.lit(1))).first()
+    bundles = max(1, -(-(weight[0] or 0) // block_shingles), -(-(weight[1] or 0) // block))
+    placed = join_bounded(homes, parts, ["home", "band"], "left", MAX_SENT)
+    mine = F.when(F.col("large"), F.xxhash64("home", "band", F.pmod(F.xxhash64("id"), F.col("parts")))).otherwise(
+        F.xxhash64(F.pmod(F.xxhash64("home"), F.lit(bundles)))
+    )
+    at = cut(placed.select("id", "size", "band", mine.alias("block")))
+
+    where = cut(shared.select("id", "token").join(at.select("id", "band", "block"), "id"))
+    stands = where.select("token", "block", "band").distinct()
+    # Shingles that stand in the same blocks are alike here; one of them tells which blocks these are.
+    alike = stands.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("block", "band")).alias("sig")).where("k > 1")
+    alike = cut(alike)
+    one = alike.groupBy("k", "sig").agg(F.min("token").alias("token"))
+    of = one.join(stands, "token").select("k", "sig", F.col("block").alias("other"), F.col("band").alias("other_band"))
+    across = where.join(alike, "token").select("id", "block", "band", "k", "sig").distinct().join(of, ["k", "sig"])
+    near = F.coalesce(F.abs(F.col("band") - F.col("other_band")) <= 1, F.lit(True))
+    across = across.where((F.col("block") != F.col("other")) & near).select("id", "block", "other").distinct()
+    both = at.select("id", "size", "block", F.col("block").alias("other")).unionByName(
+        join_bounded(across, at.select("id", "size"), "id", "inner", MAX_SENT)
+    )
+    return cut(
+        both.select(
+            "id", "size", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"),
+            (F.col("block") > F.col("other")).cast("int").alias("side"),
+        )
+    )
+
+
 def jaccard_components(
     docs: DataFrame,
     k: int = 4,
     similarity: tuple[int, int] = (85, 100),
     id_col: str = "doc_id",
     text_col: str = "text",
-    per_message: int = 1_000_000,
-    per_range: int = 2_000_000,
+    per_message: int = 500_000,
+    per_range: int = 500_000,
     block: int = 2000,
+    block_shingles: int = 500_000,
 ) -> DataFrame:
     """(id_col, n_shingles, class_id, n_links, component_id): one row for each row of docs.
 
     Rows link when den * |intersection| >= num * |union| of their sets of distinct k-word shingles. class_id: smallest id
     of the same text. n_links: other rows that the row links to directly. component_id: smallest id reachable by links.
 
-    A null, empty or wordless text has an empty set and links with nothing. A null id links with nothing and has a null
+    Ids are integers. A null, empty or wordless text has an empty set and links with nothing. A null id links with nothing and has a null
     class and component. Rows that repeat an id are one node of a component. An empty table gives no rows.
     """
     num, den = similarity
@@ -366,82 +433,42 @@ def jaccard_components(
         sizes.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
         .groupBy("_digest", "n_shingles")
         .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("id").alias("last"))
-        .withColumn("cid", F.xxhash64("_digest"))
     )
+    # A class is known by a hash of its digest; where two classes would share one, another seed is taken.
+    for seed in range(64):
+        cid = F.xxhash64(F.lit(seed), "_digest")
+        if not classes.groupBy(cid.alias("cid")).count().where("count > 1").limit(1).count():
+            break
+    classes = classes.withColumn("cid", cid)
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     bits = min(20, max(6, math.ceil(math.log2(max(1, total / per_range)))))
 
     # One row of text for each class: rows that are another row's copy are left out.
     copies = classes.where("copies > 1").select("_digest", "rep")
-    others = (
-        sizes.join(F.broadcast(copies) if copies.count() <= 1_000_000 else copies, "_digest")
-        .where(F.col("id") != F.col("rep"))
-        .select("id", "_digest")
-        .distinct()
+    copied = cut(
+        join_bounded(sizes.where("id is not null"), copies, "_digest", "inner", MAX_SENT)
+        .groupBy("id", "_digest")
+        .agg(F.count(F.lit(1)).alias("rows"), F.first("rep").alias("rep"))
     )
+    others = copied.where(F.col("id") != F.col("rep")).select("id", "_digest")
     known_ids = base.where(F.col("id").isNotNull()).withColumn("_digest", F.unhex(F.md5(F.col(text))))
-    texts = join_bounded(known_ids, cut(others), ["id", "_digest"], "left_anti", 4_000_000)
-    texts = texts.select(F.xxhash64("_digest").alias("id"), F.col(text).cast("binary").alias("text"))
+    texts = join_bounded(known_ids, others, ["id", "_digest"], "left_anti", MAX_SENT)
+    texts = texts.select(cid.alias("id"), F.col(text).cast("binary").alias("text"))
     sent = cut(map_batches(texts, _send(bits, k, per_message), MESSAGE))
-    replies = sent.where("part >= 0").groupBy("part").applyInArrow(_count, MESSAGE)
-    back = replies.unionByName(sent.where("part < 0")).groupBy("batch").applyInArrow(
-        _gather(num, den), "id long, n long, tokens binary, prefix array<long>, unique long"
-    )
-    may = cut(back.dropDuplicates(["id"]))
-
-    prefixes = may.select("id", F.explode("prefix").alias("token"))
-    least = prefixes.groupBy("token").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    group = cut(
-        connected_components(
-            prefixes.join(least, "token").select(F.col("id").alias("src"), F.col("least").alias("dst"))
-        ).withColumnRenamed("component", "group")
+    replies = map_groups(sent.where("part >= 0").groupBy("part"), _count, MESSAGE)
+    back = map_groups(
+        replies.unionByName(sent.where("part < 0")).groupBy("batch"),
+        _gather(num, den),
+        "id long, n long, tokens binary, prefix array<long>, unique long",
     )
-    held = group.groupBy("group").agg(F.count(F.lit(1)).alias("held"))
-    copies_of = classes.select(F.col("cid").alias("id"), "copies")
-    rows = (
-        may.drop("prefix")
-        .join(group, "id")
-        .join(held, "group")
-        .join(copies_of, "id")
-        .withColumn("packs", F.ceil(F.lit(group.count()) / F.lit(block)))
-    )
-    zero = F.lit(0)
-    small = rows.where(F.col("held") <= block).select(
-        "id", "n", "unique", "tokens", "copies", zero.alias("side"),
-        F.struct(F.lit(-1).cast("long").alias("g"), F.pmod(F.xxhash64("group"), "packs").cast("int").alias("a"), zero.alias("b")).alias("key"),
-    )
-    # Blocks of a large group: length bands, in each of which as many hash blocks as the group's size asks for.
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) if num < den else F.col("n")).cast("int")
-    per_band = F.greatest(F.lit(1), F.ceil(F.col("held") / block)).cast("int")
-    large = rows.where(F.col("held") > block).withColumn("band", band).withColumn("parts", per_band)
-    large = large.withColumn("mine", F.pmod(F.xxhash64("id"), "parts").cast("int"))
-    meet = F.explode(
-        F.flatten(
-            F.transform(
-                F.array(F.lit(-1), F.lit(0), F.lit(1)),
-                lambda d: F.transform(
-                    F.sequence(F.lit(0), F.col("parts") - 1),
-                    lambda o: F.struct((F.col("band") + d).alias("band"), o.alias("part")),
-                ),
-            )
-        )
-    )
-    me = F.struct("band", F.col("mine").alias("part"))
-    large = large.withColumn("other", meet).withColumn("me", me)
-    large = large.select(
-        "id", "n", "unique", "tokens", "copies",
-        F.when(F.col("me") > F.col("other"), 1).otherwise(0).alias("side"),
-        F.struct(
-            F.col("group").alias("g"),
-            F.xxhash64(F.least("me", "other")).alias("a"),
-            F.xxhash64(F.greatest("me", "other")).alias("b"),
-        ).alias("key"),
-    )
-    out = "id long, n long, root long"
-    links = small.groupBy("key").applyInArrow(_task(num, den), out).unionByName(
-        large.groupBy("key").applyInArrow(_blocks(num, den), out)
-    )
-    links = cut(links)
+    if copied.where((F.col("id") == F.col("rep")) & (F.col("rows") > 1)).limit(1).count():
+        back = back.dropDuplicates(["id"])
+    may = cut(back)
+    ships = _meetings(may, num, den, block, block_shingles)
+    tasks = F.lit(max(1, -(-(ships.agg(F.sum("size")).first()[0] or 0) // (2 * block_shingles))))
+    narrow = join_bounded(ships.drop("size"), classes.select(F.col("cid").alias("id"), "copies"), "id", "inner", MAX_SENT)
+    rows = join_bounded(may.drop("prefix"), narrow, "id", "inner", MAX_SENT)
+    links = cut(map_groups(rows.groupBy(F.pmod(F.xxhash64("a", "b"), tasks)), _task(num, den), "id long, n long, root long"))
     degree = links.groupBy(F.col("id").alias("cid")).agg(F.sum("n").alias("linked"))
     end = lambda cid, name: classes.select(F.col("cid").alias(cid), F.col("rep").alias(name))
     edges = links.join(end("id", "src"), "id").join(end("root", "dst"), "root").select("src", "dst").unionByName(
@@ -459,18 +486,3 @@ def jaccard_components(
         F.coalesce(F.col("copies") - 1 + F.coalesce("linked", F.lit(0)), F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "id").alias("component_id"),
     )
-
-
-def _blocks(num: int, den: int):
-    """Like _task; of two different blocks only pairs across count, and a key that only one block has met is that block's
-    own only if it stands for the pair with itself."""
-    own = _task(num, den)
-
-    def f(table: pa.Table) -> pa.Table:
-        key = table.column("key")[0].as_py()
-        sides = set(table.column("side").to_pylist())
-        if key["a"] != key["b"] and len(sides) < 2:
-            table = table.slice(0, 0)
-        return own(table)
-
-    return f
