@@ -4,8 +4,10 @@ A text's words (ASCII lower-cased, split at ASCII punctuation) are written with
 the benchmark's windows of ``window`` consecutive words; an automaton over " w1 w2 ... " finds every occurrence in a
 single pass. Positions are word numbers, which are mapped back to character offsets of the original text.
 
-The windows' total size is counted first. One automaton takes at most ``block_bytes`` of them; a larger benchmark is
-dealt by hash into several automata, through which the rows pass one after the other, without a shuffle.
+The windows' total size is counted first. One automaton takes about ``block_bytes`` of them, for each of which it needs some
+35 bytes of memory in every Python worker (measured: 141 MB for 4 MB). A larger benchmark is dealt by hash into several
+automata, through which the rows pass one after the other, without a shuffle; with more than two, rows are written in
+between, so that no stage holds more than two automata.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillnet.llm.common import BlobReader, fresh, map_batches, with_fields, words_of
+from quillnet.session import cut
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -107,7 +110,7 @@ def decontaminate(
     item_col: str = "item_id",
     bench_text_col: str = "text",
     carry: list[str] | None = None,
-    block_bytes: int = 32_000_000,
+    block_bytes: int = 3_000_000,
 ) -> DataFrame:
     """Adds n_words, n_hit, items, spans and contaminated to every row of docs.
 
@@ -190,4 +193,6 @@ def decontaminate(
             else tuple(rows.schema[c] for c in (blob, got, at))
         )
         rows = map_batches(rows, scan, with_fields(docs, carry, *fields))
+        if n_blocks > 2 and not last:
+            rows = cut(rows)
     return rows
