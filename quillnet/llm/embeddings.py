@@ -2,7 +2,8 @@
 
 Cosine c between unit vectors is a distance of sqrt(2 - 2c), so a cosine threshold is a radius epsilon. Vectors are projected
 on the leading principal dimensions of the table, their grid cells of side epsilon give the order, and the order is cut
-into blocks of a bounded number of rows. Two blocks are joined only if their cells in the first dimension are neighbours
+into blocks of a bounded number of rows, which grow with the table up to BLOCK_ROWS and BLOCK_BYTES: a block is sent to each block
+that it may meet, so larger blocks mean fewer copies. Two blocks are joined only if their cells in the first dimension are neighbours
 (an equi-join on cells) and their boxes lie within epsilon in every projected dimension. Inside a pair of blocks, both
 intervals are halved again and again; a pair of intervals whose boxes are further apart than epsilon is skipped, and small
 ones are compared in double precision.
@@ -18,14 +19,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillnet.llm.common import BlobReader, map_batches
+from quillnet.llm.common import BlobReader, fresh, map_batches
 from quillnet.operators.components import connected_components
 from quillnet.session import cut
 
 LEAF = 128
+BLOCK_ROWS, BLOCK_BYTES = 4096, 4_000_000
 
 
 def _unit(raw: bytes) -> np.ndarray:
@@ -40,10 +43,11 @@ def _valid(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> Dat
         for batch in batches:
             b = BlobReader(batch)
             rows = []
-            for i, label, v in zip(b.list("id"), b.list("label"), b.list("v"), strict=True):
-                if v is None or not v or None in v:
-                    continue
-                a = np.array(v, "<f8")
+            vectors = b.keep(["v"])[0]
+            flat, ends = vectors.flatten(), np.cumsum(np.nan_to_num(pc.list_value_length(vectors).to_numpy(zero_copy_only=False))).astype(int)
+            values = flat.cast(pa.float64()).to_numpy(zero_copy_only=False)  # a null component is a NaN
+            for i, label, start, end in zip(b.list("id"), b.list("label"), np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+                a = values[start:end].astype("<f8")
                 if not np.isfinite(a).all() or not a.any():
                     continue
                 a = a / np.abs(a).max() if not np.isfinite(np.dot(a, a)) or np.dot(a, a) < 1e-200 else a
@@ -141,8 +145,8 @@ def embedding_links(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     label_col: str = "label",
-    n_axes: int = 3,
-    block_rows: int = 1024,
+    n_axes: int = 6,
+    block_rows: int | None = None,
     rows_per_task: int = 50_000,
 ) -> DataFrame:
     """Adds n_links, component_id and kept to every row of vectors; only rows of one label are compared.
@@ -150,7 +154,9 @@ def embedding_links(
     n_links: other rows whose cosine is threshold or more. component_id: smallest id reachable by links. kept: whether
     that is the row's own id. A null or zero vector, one with a null or non-finite component, a null label: no links, its
     own component. A null id: no links, null component and kept. Vectors of different lengths never link. Rows with
-    the same id are one node of a component, and other vectors to each other. An empty table gives no rows.
+    the same id are one node of a component, and other vectors to each other. An empty table gives no rows. Columns that bear
+    a new name are replaced, others may have any name. block_rows: by default a 32nd of the different vectors, between 256 and
+    BLOCK_ROWS, and at most BLOCK_BYTES of them.
     """
     eps = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
     rows = cut(_valid(vectors, id_col, vec_col, label_col))
@@ -174,6 +180,10 @@ def embedding_links(
                 ["label", "dim", "rep", "copies", "vec", "spot", "cell"],
             )
 
+    n = classes.count()
+    widest = max(axes.value, default=1)
+    block_rows = block_rows or min(BLOCK_ROWS, max(256, n // 32), max(16, BLOCK_BYTES // (8 * widest)))
+
     def block_up(batches):
         from pyspark import TaskContext
 
@@ -203,8 +213,7 @@ def embedding_links(
         if held:
             yield block(held, k)
 
-    n = classes.count()
-    order = ["label", "dim", F.col("cell")[0], F.try_element_at("cell", F.lit(2)), F.try_element_at("cell", F.lit(3)), "rep"]
+    order = ["label", "dim", "cell", "rep"]
     grid = map_batches(
         classes, project, "label string, dim int, rep long, copies long, vec binary, spot binary, cell array<int>"
     )
@@ -242,8 +251,11 @@ def embedding_links(
                 if ka == kb:
                     links |= links.T
                     np.fill_diagonal(links, False)
-                m = links.astype(np.float64)
-                n_a, n_b = (m @ cb).astype(np.int64), (m.T @ ca).astype(np.int64)
+                n_a, n_b = np.zeros(len(ia), np.int64), np.zeros(len(ib), np.int64)
+                for at in range(0, len(ia), 512):
+                    m = links[at : at + 512].astype(np.float64)
+                    n_a[at : at + 512] = m @ cb
+                    n_b += (ca[at : at + 512] @ m).astype(np.int64)
                 root_a, root_b = _roots(links, ia, ib, ka == kb)
                 ids, ns, roots = (ia, n_a, root_a) if ka == kb else map(np.concatenate, ((ia, ib), (n_a, n_b), (root_a, root_b)))
                 on = ns > 0
@@ -265,13 +277,16 @@ def embedding_links(
         .groupBy("id")
         .agg(F.max(F.coalesce("_n", F.lit(0)) + F.col("copies") - 1).alias("_links"))
     )
-    keep = [c for c in vectors.columns if c not in ("n_links", "component_id", "kept")]
-    out = vectors.select(*keep).join(member.withColumnRenamed("id", "_id"), F.col(id_col) == F.col("_id"), "left")
-    out = out.join(component.withColumnRenamed("id", "_cid"), F.col(id_col) == F.col("_cid"), "left")
-    comp = F.coalesce("component", F.col(id_col).cast("long"))
+    keep = [c for c in vectors.columns if c.lower() not in ("n_links", "component_id", "kept")]
+    one, two, linked, least = (fresh(vectors, c) for c in ("_id", "_cid", "_links", "_component"))
+    member = member.select(F.col("id").alias(one), F.col("_links").alias(linked))
+    component = component.select(F.col("id").alias(two), F.col("component").alias(least))
+    out = vectors.select(*keep).join(member, F.col(id_col) == F.col(one), "left")
+    out = out.join(component, F.col(id_col) == F.col(two), "left")
+    comp = F.coalesce(least, F.col(id_col).cast("long"))
     return out.select(
         *keep,
-        F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce(linked, F.lit(0)).cast("long").alias("n_links"),
         comp.alias("component_id"),
         (comp == F.col(id_col)).alias("kept"),
     )

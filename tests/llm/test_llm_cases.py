@@ -169,5 +169,11 @@ def test_embedding_cases(spark, tmp_path):
     got = embedding_links(d.repartition(3), block_rows=16, rows_per_task=60).drop("embedding", "label")
     assert sorted(repr(tuple(r[c] for c in sorted(got.columns))) for r in got.collect()) == sql_rows(OP10, str(tmp_path), got.columns)
     assert embedding_links(d.limit(0)).count() == 0
+    clash = d.select("*", *[F.lit("x").alias(c) for c in ("component", "_links", "_id", "_cid", "rep", "key", "Kept", "dim")])
+    same = embedding_links(clash, block_rows=50)
+    assert {r["component"] for r in same.collect()} == {"x"}
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in same.collect()) == sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect())
+    long = spark.createDataFrame([(k, [float(k % 7 == j % 7) for j in range(210)], 1) for k in range(30)], d.schema)
+    assert {r["n_links"] for r in embedding_links(long).collect()} == {3, 4}
     odd = spark.createDataFrame([(None, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (5, [2.0, 0.0, 0.0], 1), (6, [], 1)], d.schema)
     assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_links(odd).collect()} == {(None, 0, None), (4, 0, 4), (5, 0, 5), (6, 0, 6)}
