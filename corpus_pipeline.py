@@ -46,14 +46,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the smallest doc_id of those linked by 5-word shingles at a similarity of 0.8.
 
-    Documents without an id or without words are in no group and stay. Rows that repeat an id are one document.
+    Documents without an id or without words are in no group and stay. Rows that repeat an id are one document; that of the
+    smallest hash stays.
     """
     groups = cut(jaccard_components(docs, k=5, similarity=(80, 100)).select("doc_id", "component_id"))
     gone = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    kept = join_bounded(docs, gone, "doc_id", "left_anti", 4_000_000)
+    kept = join_bounded(docs, gone, "doc_id", "left_anti", 1_000_000)
     twice = cut(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if twice.limit(1).count():
-        once = join_bounded(kept, twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        # Of rows that repeat an id, always the same one stays: a task that runs again must not keep another.
+        once = join_bounded(kept, twice, "doc_id", "left_semi")
+        once = once.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")
         kept = join_bounded(kept, twice, "doc_id", "left_anti").unionByName(once)
     return kept.select(*docs.columns)
 
