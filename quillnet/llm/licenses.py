@@ -103,8 +103,8 @@ class TemplateIndex:
     def met(self, words: list[bytes], held: set[bytes]) -> list[tuple[int, int, float]]:
         """(first word, template, containment) of the best window of every stretch of text whose windows meet a template.
 
-        Where a window's shared words are all those of another met template's that overlaps it, holds more words and is held no
-        less, it is left out.
+        A window counts for nothing where it overlaps one of another template that holds all words of its own and more,
+        and that is met no less: a longer notice stands there.
         """
         found = []
         for t in self.candidates(held, False):
@@ -113,23 +113,22 @@ class TemplateIndex:
                 at = [k for k, w in enumerate(words) if w in own]
                 found += [(a, z, t, n / len(order)) for a, z, n in _windows(words, at, self.widths[t], need)]
         found.sort()
-        firsts, reach, out = [f[0] for f in found], max(self.widths, default=0), []
+        firsts, reach = [f[0] for f in found], max(self.widths, default=0)
+        left: dict[int, list[tuple[int, int, float]]] = {}
         for a, z, t, c in found:
             near = found[bisect_left(firsts, a - reach) : bisect_right(firsts, z)]
             if not any(self.sets[t][2] < self.sets[u][2] and d >= c and a <= last for _, last, u, d in near):
-                out.append((a, t, c))
-        return out
+                left.setdefault(t, []).append((a, z, c))
+        return sorted((a, t, c) for t, windows in left.items() for a, _, c in _best(windows))
 
 
 def _windows(words: list[bytes], at: list[int], width: int, need: int) -> list[tuple[int, int, int]]:
-    """(first, last, different words) of windows of width words that hold need different words of those at the given places.
-
-    Of windows that overlap, the one with most; of those with as many, the shortest.
-    """
+    """(first, last, different words) of the windows of width words that hold need different words of those at the given places:
+    one for each place that ends such a window, from the last place at which it still holds as many."""
     out: list[tuple[int, int, int]] = []
     inside: Counter = Counter()
     first = 0
-    for k, place in enumerate(at):
+    for place in at:
         inside[words[place]] += 1
         while at[first] <= place - width or inside[words[at[first]]] > 1:
             inside[words[at[first]]] -= 1
@@ -137,11 +136,18 @@ def _windows(words: list[bytes], at: list[int], width: int, need: int) -> list[t
                 del inside[words[at[first]]]
             first += 1
         if len(inside) >= need:
-            now = (at[first], place, len(inside))
-            if not out or out[-1][1] < now[0]:
-                out.append(now)
-            elif (now[2], now[0] - place) > (out[-1][2], out[-1][0] - out[-1][1]):
-                out[-1] = now
+            out.append((at[first], place, len(inside)))
+    return out
+
+
+def _best(windows: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """Of windows that overlap, in their order, the one with most; of those with as many, the shortest."""
+    out: list[tuple[int, int, float]] = []
+    for now in sorted(windows, key=lambda w: (w[1], w[0])):
+        if not out or out[-1][1] < now[0]:
+            out.append(now)
+        elif (now[2], now[0] - now[1]) > (out[-1][2], out[-1][0] - out[-1][1]):
+            out[-1] = now
     return out
 
 
@@ -168,7 +174,7 @@ def scan_licenses(
 
     blocks: (line, label, containment) of every place where a template is met; line is that of its first word. score: the largest containment
     found, 0 if none. Null and empty texts: no words, no labels, score 0, null first_word and last_word. Repeated rows are
-    returned each; columns that bear a new name are replaced.
+    returned each; an empty table gives no rows; columns that bear a new name are replaced, others may have any name.
     """
     templates = TEMPLATES if templates is None else templates
     phrases = PHRASES if phrases is None else phrases

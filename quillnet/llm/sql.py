@@ -37,12 +37,15 @@ pl AS (
   WHERE list_slice(w, i, i + len(q) - 1) = q
 ),
 base AS (SELECT r, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word FROM pl GROUP BY r),
-t AS (SELECT id, label, list_distinct(regexp_extract_all({_LOWER}, {_WORD})) AS s FROM (VALUES {_T}) v(id, label, text)),
-bl AS (SELECT r, k, list_distinct(regexp_extract_all({_LOWER}, {_WORD})) AS s
-       FROM (SELECT r, unnest(range(1, len(x) + 1)) AS k, unnest(x) AS text FROM (SELECT r, string_split(text, chr(10)) AS x FROM d))),
-m AS (SELECT r, k, id, label, t.s AS s, len(list_intersect(t.s, bl.s)) / len(t.s)::DOUBLE AS c FROM bl, t
-      WHERE len(list_intersect(t.s, bl.s)) >= ceil(0.9::DOUBLE * len(t.s) - 1e-9::DOUBLE)),
-met AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.r = m.r AND o.k = m.k AND o.c >= m.c AND len(o.s) > len(m.s) AND list_has_all(o.s, m.s))),
+t AS (SELECT id, label, w, list_distinct(w) AS s, len(w) + ceil(len(w) / 10.0) AS width, ceil(0.9::DOUBLE * len(list_distinct(w)) - 1e-9::DOUBLE) AS need
+      FROM (SELECT id, label, regexp_extract_all({_LOWER}, {_WORD}) AS w FROM (VALUES {_T}) v(id, label, text))),
+o AS MATERIALIZED (SELECT r, id, i, x FROM (SELECT r, unnest(w) AS x, unnest(range(len(w))) AS i FROM d) JOIN (SELECT id, unnest(s) AS x FROM t) USING (x)
+      WHERE (r, id) IN (SELECT (r, id) FROM d, t WHERE len(list_intersect(d.w, s)) >= need)),
+at_end AS (SELECT e.r, e.id, e.i, b.x, max(b.i) AS m FROM o e JOIN t USING (id) JOIN o b ON b.r = e.r AND b.id = e.id AND b.i BETWEEN e.i - width + 1 AND e.i GROUP BY ALL),
+m AS MATERIALIZED (SELECT r, id, label, s, a, z, n / len(s)::DOUBLE AS c
+      FROM (SELECT r, id, i AS z, min(m) AS a, count(*) AS n FROM at_end GROUP BY ALL) JOIN t USING (id) WHERE n >= need),
+met AS (SELECT * FROM m WHERE NOT EXISTS (
+      SELECT 1 FROM m o WHERE o.r = m.r AND o.a <= m.z AND o.z >= m.a AND o.c >= m.c AND len(o.s) > len(m.s) AND list_has_all(o.s, m.s))),
 l AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (b) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
       FROM (SELECT r, label, true AS b FROM pl UNION ALL SELECT r, label, false FROM met) GROUP BY r),
 sc AS (SELECT r, max(c) AS c FROM met GROUP BY r)
