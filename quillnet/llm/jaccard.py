@@ -48,11 +48,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS, _INVERSE
 
 
-def shingle_hashes(text: bytes | None, k: int = 4) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's k-word shingles.
+def ngram_hashes(text: bytes | None, sizes: tuple[int, ...]) -> np.ndarray:
+    """64-bit hashes of all n-grams of words of the given sizes, in order and repeated.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased. A text of fewer words, but not none, has its whole
-    word sequence as one shingle; null and wordless texts have none.
+    word sequence as one n-gram; null and wordless texts have none.
     """
     words = text.translate(LOWER_BYTES).split() if text else []
     if not words:
@@ -62,19 +62,27 @@ def shingle_hashes(text: bytes | None, k: int = 4) -> np.ndarray:
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[line] * up[: len(line)], dtype=np.uint64)])
         spaces = np.flatnonzero(line == 32)
-        starts = np.concatenate([[0], spaces + 1])
-        ends = np.concatenate([spaces, [len(line)]])
-        if len(words) > k:
-            starts, ends = starts[: len(words) - k + 1], ends[k - 1 :]
-        else:
-            starts, ends = starts[:1], ends[-1:]
-        h = (sums[ends] - sums[starts]) * down[starts]
-        h ^= h >> np.uint64(33)
-        h *= np.uint64(0xFF51AFD7ED558CCD)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xC4CEB9FE1A85EC53)
-        h ^= h >> np.uint64(32)
-    return np.unique(h)
+        firsts = np.concatenate([[0], spaces + 1])
+        lasts = np.concatenate([spaces, [len(line)]])
+        found = []
+        for k in sizes:
+            if len(words) > k:
+                starts, ends = firsts[: len(words) - k + 1], lasts[k - 1 :]
+            else:
+                starts, ends = firsts[:1], lasts[-1:]
+            h = (sums[ends] - sums[starts]) * down[starts]
+            h ^= h >> np.uint64(33)
+            h *= np.uint64(0xFF51AFD7ED558CCD)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xC4CEB9FE1A85EC53)
+            h ^= h >> np.uint64(32)
+            found.append(h)
+    return np.concatenate(found)
+
+
+def shingle_hashes(text: bytes | None, k: int = 4) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's k-word shingles."""
+    return np.unique(ngram_hashes(text, (k,)))
 
 
 def need(n: int, num: int, den: int) -> int:

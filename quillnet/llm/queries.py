@@ -74,7 +74,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
     found = score_quality(docs, docs.where(trains()), table(spark, sf_dir, "labels"), carry=["doc_id"])
     held = F.coalesce(~trains() & F.col("doc_id").isNotNull(), F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "content_score", "metadata_score", "score", "predicted")
