@@ -5,12 +5,15 @@ P_c(s | ctx) = max(n_c(ctx s) - D, 0) / n_c(ctx) + D t_c(ctx) / n_c(ctx) * P(s |
 distributions are Kneser-Ney continuation models whose counts both classes share, so an expression that one class has hardly
 seen leans on the same backoff as in the other.
 
-A second pair of models reads whole words and their beginnings: P_c(s | all letters before s in its word), where both classes
-back off to the counts that they share for the same beginning. Its log ratios add up, along a word, to that of the
-word; so a long word made of ordinary letter runs, or a stem that takes many endings, is seen as one expression.
+A second pair of models reads whole words, and beginnings of 7 and of 4 letters of longer ones, as expressions:
+P_c(w) = max(n_c(w) - D, 0) / N_c + D t_c / N_c * 1 / t, over the t expressions of a kind that toxic texts hold, of which class c has
+t_c. A word has the log ratio of its longest expression that toxic texts hold, 0 if there is none. So a long word made of
+ordinary letter runs, or a stem that takes many endings, is seen as one expression. Ordinary texts are counted only for
+expressions that toxic ones hold: a sieve of these, of bounded size, leaves out most others before the shuffle, and the
+ratios leave out the rest.
 
 Scoring needs only the log ratio of the two models. It is kept for every counted n-gram by its five letters as they are, and
-for every context (words' beginnings by 104 bits of hash): an n-gram that neither class has counted has the ratio of D t_c(ctx) / n_c(ctx), as the shared backoff is
+for every context, and every expression, by 104 bits of hash: an n-gram that neither class has counted has the ratio of D t_c(ctx) / n_c(ctx), as the shared backoff is
 the same in both, and 0 after a context that neither has counted. These tables grow with the corpus; beyond
 ``block_entries`` they are sent in blocks, and rows pass through one block after the other.
 
@@ -21,7 +24,7 @@ them; documents are then scored by models of all labelled training rows, the sam
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +37,9 @@ from quillnet.llm.language import _letters
 from quillnet.session import cut
 
 DISCOUNT = 0.75
-N_FEATURES = 14
-#: A word of this log ratio is plainly toxic: some twenty times likelier in toxic texts.
-PLAINLY = 3.0
+N_FEATURES = 17
+#: A word of this log ratio is plainly toxic: some fifty times likelier in toxic texts.
+PLAINLY = 4.0
 MAX_CALIBRATION_ROWS = 20_000
 MIN_CALIBRATION_ROWS = 10
 BLOCK_ENTRIES = 1 << 21
@@ -47,9 +50,13 @@ CHUNK_LETTERS = (1 << 16, 1 << 20)
 #: A letter takes 21 bits. No letter has them all set: in the place of the last letter they mark a context.
 BITS, ANY = 21, (1 << 21) - 1
 KEY = ["hi", "lo"]
-#: Keys of the words' model have this bit of hi set, and 42 more bits of the hash in lo, where the letter stands last.
+#: Keys of expressions have this bit of hi set, and 42 more bits of the hash in lo, where their kind stands last: 0 for words.
 WORD_KEY = 1 << 62
+STEMS = (7, 4)
+KINDS = (0, *STEMS)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: The sieve has 16 bits for each expression, within these bounds (32 MB at most). A full sieve costs time, not results.
+SIEVE_BITS = (1 << 16, 1 << 28)
 _NONE = np.empty(0, np.int64)
 
 
@@ -77,24 +84,31 @@ def letter_codes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return before[3] << BITS | before[2], before[1] << 2 * BITS | before[0] << BITS | s[1:], np.flatnonzero(s[:-1] == 0)
 
 
-def word_codes(hi: np.ndarray, lo: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of (all letters before it in its word, letter), for the letters that letter_codes tells."""
+def word_codes(hi: np.ndarray, lo: np.ndarray, starts: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """kind -> (hi, lo, which words): keys of the words that letter_codes tells, and of the beginnings of longer ones."""
     if not len(starts):
-        return _NONE, _NONE
+        return {k: (_NONE, _NONE, _NONE) for k in KINDS}
     letter = (lo & ANY).astype(np.uint64)
     size = np.diff(np.append(starts, len(lo)))
     place = np.arange(len(lo), dtype=np.uint64) - np.repeat(starts.astype(np.uint64), size)
-    out = []
+    sums = []
     for salt in (np.uint64(0x632BE59BD9B4E019), np.uint64(0xD6E8FEB86659FD93)):
         h = (letter + salt) * _MULTIPLIER ^ (place * salt)
         h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-        before = np.cumsum(h, dtype=np.uint64) - h
-        before -= np.repeat(before[starts], size)
-        before = (before ^ before >> np.uint64(31)) * _MULTIPLIER
-        out.append(before ^ before >> np.uint64(32))
-    one = (out[0] >> np.uint64(2)).astype(np.int64) | WORD_KEY
-    return one, (out[1] >> np.uint64(22)).astype(np.int64) << BITS | (lo & ANY)
+        sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)]))
+    out = {}
+    for kind in KINDS:
+        which = np.flatnonzero(size - 1 > kind) if kind else np.arange(len(starts))
+        first = starts[which]
+        last = first + kind if kind else first + size - 1
+        mixed = []
+        for total in sums:
+            h = total[last] - total[first]
+            h = (h ^ h >> np.uint64(31)) * _MULTIPLIER
+            mixed.append(h ^ h >> np.uint64(32))
+        out[kind] = (mixed[0] >> np.uint64(2)).astype(np.int64) | WORD_KEY, (mixed[1] >> np.uint64(22)).astype(np.int64) << BITS | kind, which
+    return out
 
 
 def _counted(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,37 +136,81 @@ def _counted(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def letter_counts(rows: DataFrame, text_col: str, label_col: str, part_col: str) -> DataFrame:
-    """(hi, lo, toxic, ordinary, toxic_0, ordinary_0): how often each 5-gram, and each letter after the beginning of a word, stands in rows of either class, in all and in those of
-    part 0."""
-    names = ("toxic", "ordinary", "toxic_0", "ordinary_0")
+    """(hi, lo, toxic, ordinary, toxic_0, ordinary_0): how often each 5-gram, and each expression that toxic rows hold, stands in
+    rows of either class, in all and in those of part 0. Expressions of hash 0 tell how many there are of a kind in all."""
+    texts = rows.select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.col(part_col).alias("part"))
+
+    def first_pass(codes, label):
+        return [codes[:2], _expressions(word_codes(*codes))] if label else [codes[:2]]
+
+    first = cut(_summed(_counts(texts, first_pass)))
+    of_words = F.col("hi") >= WORD_KEY
+    sieve = texts.sparkSession.sparkContext.broadcast(_sieve(first.where(F.col("hi") > WORD_KEY)))
+
+    def second_pass(codes, label):
+        hi, lo = _expressions(word_codes(*codes))
+        held = _sifted(sieve.value, hi) | (hi == WORD_KEY)
+        return [(hi[held], lo[held])]
+
+    second = _counts(texts.where("label = 0"), second_pass)
+    return first.where(~of_words).unionByName(_summed(first.where(of_words).unionByName(second)))
+
+
+def _expressions(codes: dict[int, tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of a text, and for each of them one of hash 0."""
+    hi, lo = (np.concatenate([codes[k][i] for k in KINDS]) for i in (0, 1))
+    return np.concatenate([hi, np.full(len(hi), WORD_KEY)]), np.concatenate([lo, lo & ANY])
+
+
+NAMES = ("toxic", "ordinary", "toxic_0", "ordinary_0")
+
 
-    def counts_of(by: dict[tuple[int, int], list]) -> Iterator[pa.RecordBatch]:
+def _summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in NAMES])
+
+
+def _counts(texts: DataFrame, pass_of: Callable) -> DataFrame:
+    """Partial counts of what pass_of(letter codes, label) finds in (text, label, part) rows."""
+
+    def counts_of(by: dict[tuple[int, int, int], list]) -> Iterator[pa.RecordBatch]:
         for (label, part, _), found in by.items():
             hi, lo, n = _counted(*(np.concatenate(x) for x in zip(*found, strict=True)))
             zero = np.zeros(len(n), np.int64)
             mine = (label == 1, label == 0, label == 1 and part == 0, label == 0 and part == 0)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hi, lo, *(n if m else zero for m in mine))], [*KEY, *names])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hi, lo, *(n if m else zero for m in mine))], [*KEY, *NAMES])
 
     def count(batches):
+        by, letters = {}, 0
         for batch in batches:
             b = BlobReader(batch)
-            by, letters = {}, 0
             for text, label, part in zip(b.list("text"), b.list("label"), b.list("part"), strict=True):
-                codes = letter_codes(text)
-                by.setdefault((label, part, 0), []).append(codes[:2])
-                by.setdefault((label, part, 1), []).append(word_codes(*codes))
-                letters += 2 * len(codes[0])
+                for k, codes in enumerate(pass_of(letter_codes(text), label)):
+                    by.setdefault((label, part, k), []).append(codes)
+                    letters += len(codes[0])
                 if letters >= COUNT_LETTERS:
                     yield from counts_of(by)
                     by, letters = {}, 0
-            yield from counts_of(by)
+        yield from counts_of(by)
+
+    return map_batches(texts, count, ", ".join(f"{c} long" for c in (*KEY, *NAMES)))
 
-    counted = map_batches(
-        rows.select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.col(part_col).alias("part")),
-        count,
-        ", ".join(f"{c} long" for c in (*KEY, *names)),
-    )
-    return counted.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in names])
+
+def _sieve(entries: DataFrame) -> np.ndarray:
+    """A bit for the hash of every expression."""
+    least, most = SIEVE_BITS
+    bits = min(most, max(least, 1 << (16 * entries.count()).bit_length()))
+    place = F.shiftright("hi", 10).bitwiseAND(bits - 1)
+    found = entries.groupBy(F.shiftright(place, 6).alias("at")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(shiftright(hi, 10) & {bits - 1} & 63 as int))")).alias("held")
+    ).toArrow()
+    sieve = np.zeros(bits >> 6, np.int64)
+    sieve[found["at"].to_numpy()] = found["held"].to_numpy()
+    return sieve
+
+
+def _sifted(sieve: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    place = hi >> 10 & (len(sieve) * 64 - 1)
+    return sieve[place >> 6] >> (place & 63) & 1 == 1
 
 
 def _suffix(order: int) -> list:
@@ -165,8 +223,8 @@ def _suffix(order: int) -> list:
 
 
 def log_ratios(counts: DataFrame, toxic: str = "toxic", ordinary: str = "ordinary", discount: float = DISCOUNT) -> DataFrame:
-    """(hi, lo, ratio): log P_toxic - log P_ordinary of every counted 5-gram and letter of a word; with ANY for the last letter, that
-    of any which does not stand here after what comes before."""
+    """(hi, lo, ratio): log P_toxic - log P_ordinary of every counted 5-gram and of every expression that toxic rows hold; with ANY for
+    the last letter, that of any which does not stand here after the other four."""
     every = counts.select(*KEY, F.col(toxic).alias("toxic"), F.col(ordinary).alias("ordinary")).where("toxic + ordinary > 0")
     seen = every.where(F.col("hi") < WORD_KEY)
     ctx_of = F.col("lo").bitwiseOR(ANY).alias("ctx")
@@ -192,16 +250,22 @@ def log_ratios(counts: DataFrame, toxic: str = "toxic", ordinary: str = "ordinar
             (F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("all") + discount * F.col("types") / F.col("all") * F.col("_p")).alias("p"),
         )
     shared = cut(p.select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.col("p").alias("_p")))
-    ctx = every.withColumn("ctx", ctx_of)
+    ctx = seen.withColumn("ctx", ctx_of)
     per = ctx.groupBy("hi", "ctx").agg(
         *[F.sum(c).alias(f"{c}_all") for c in ("toxic", "ordinary")],
         *[F.count(F.when(F.col(c) > 0, 1)).alias(f"{c}_types") for c in ("toxic", "ordinary")],
     )
     hi, lo = _suffix(4)
-    known = ctx.join(per, ["hi", "ctx"])
-    both = (F.col("toxic") + F.col("ordinary")) / (F.col("toxic_all") + F.col("ordinary_all"))
-    of_words = known.where(F.col("hi") >= WORD_KEY).withColumn("_p", both)
-    known = known.where(F.col("hi") < WORD_KEY).select("*", hi.alias("_hi"), lo.alias("_lo")).join(shared, ["_hi", "_lo"])
+    known = ctx.join(per, ["hi", "ctx"]).select("*", hi.alias("_hi"), lo.alias("_lo")).join(shared, ["_hi", "_lo"])
+
+    kind = F.col("lo").bitwiseAND(ANY).alias("kind")
+    words = every.where((F.col("hi") >= WORD_KEY) & (F.col("toxic") > 0)).select("*", kind)
+    listed = words.where(F.col("hi") > WORD_KEY)
+    of_kind = words.groupBy("kind").agg(
+        *[F.sum(F.when(F.col("hi") == WORD_KEY, F.col(c))).alias(f"{c}_all") for c in ("toxic", "ordinary")],
+        *[F.count(F.when((F.col("hi") > WORD_KEY) & (F.col(c) > 0), 1)).alias(f"{c}_types") for c in ("toxic", "ordinary")],
+    )
+    of_words = listed.join(F.broadcast(of_kind), "kind").withColumn("_p", 1 / F.col("toxic_types"))
 
     def model(c: str):
         n, all_, types = F.col(c), F.col(f"{c}_all"), F.col(f"{c}_types")
@@ -215,17 +279,21 @@ def log_ratios(counts: DataFrame, toxic: str = "toxic", ordinary: str = "ordinar
     def ratio(f):
         return (F.log(f("toxic")) - F.log(f("ordinary"))).alias("ratio")
 
-    return known.select(*KEY, ratio(model)).unionByName(of_words.select(*KEY, ratio(model))).unionByName(per.select("hi", F.col("ctx").alias("lo"), ratio(backoff)))
+    words = of_words.select(*KEY, ratio(model)).where("ratio is not null")
+    return known.select(*KEY, ratio(model)).unionByName(words).unionByName(per.select("hi", F.col("ctx").alias("lo"), ratio(backoff)))
 
 
 class Block:
-    """Log ratios by (hi, lo): an open-addressed table of at least twice as many places."""
+    """Log ratios by (hi, lo): an open-addressed table of at least twice as many places, made where it is first asked."""
 
     def __init__(self, hi: np.ndarray, lo: np.ndarray, ratio: np.ndarray):
         self.hi, self.lo, self.ratio = hi, lo, ratio
         self.bits = (2 * len(hi)).bit_length()
+        self.at = None
+
+    def _open(self) -> None:
         self.at = np.full(1 << self.bits, -1, np.int32)
-        left, at = np.arange(len(hi), dtype=np.int32), self._place(hi, lo)
+        left, at = np.arange(len(self.hi), dtype=np.int32), self._place(self.hi, self.lo)
         while len(left):
             free = self.at[at] < 0
             self.at[at[free]] = left[free]
@@ -239,6 +307,8 @@ class Block:
 
     def find(self, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ratio of every key, and whether it is there."""
+        if self.at is None:
+            self._open()
         ratio, there = np.zeros(len(hi), np.float32), np.zeros(len(hi), bool)
         todo, at = np.arange(len(hi)), self._place(hi, lo)
         while len(todo) and len(self.hi):
@@ -251,7 +321,7 @@ class Block:
 
     def ratios(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
         out, there = self.find(hi, lo)
-        rest = np.flatnonzero(~there)
+        rest = np.flatnonzero(~there & (hi < WORD_KEY))
         out[rest] = self.find(hi[rest], lo[rest] | ANY)[0]
         return out
 
@@ -294,9 +364,15 @@ def described(sent: list, texts: Iterable[str | None]) -> Iterator[list[float]]:
         ends = np.cumsum([len(h[0]) for h in held])
         starts = np.concatenate([h[2] + e - len(h[0]) for h, e in zip(held, ends.tolist(), strict=True)]).astype(np.int64)
         hi, lo = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-        ratio, whole = (ratios_of(sent, *keys).astype(np.float64) for keys in ((hi, lo), word_codes(hi, lo, starts)))
-        cut_up = (np.split(r, ends[:-1]) for r in (ratio, whole))
-        return [evidence(r, w, h[2]) for r, w, h in zip(*cut_up, held, strict=True)]
+        words = word_codes(hi, lo, starts)
+        found = ratios_of(sent, np.concatenate([hi, *[words[k][0] for k in KINDS]]), np.concatenate([lo, *[words[k][1] for k in KINDS]]))
+        ratio, by_kind = found[: len(hi)].astype(np.float64), np.split(found[len(hi) :], np.cumsum([len(words[k][0]) for k in KINDS])[:-1])
+        by_word = np.zeros((1 + len(KINDS), len(starts)))
+        for k, r in reversed(list(enumerate(by_kind))):  # of a word, the longest that is there stands
+            which, there = words[KINDS[k]][2], r != 0
+            by_word[0, which[there]] = by_word[1 + k, which[there]] = r[there]
+        last = np.cumsum([len(h[2]) for h in held])[:-1]
+        return [evidence(r, w, h[2]) for r, w, h in zip(np.split(ratio, ends[:-1]), np.split(by_word, last, axis=1), held, strict=True)]
 
     for text in texts:
         held.append(letter_codes(text))
@@ -314,10 +390,10 @@ def _top(word: np.ndarray) -> list[float]:
     return [*np.sort(top)[::-1].tolist(), *[0.0] * (3 - len(top))]
 
 
-def evidence(ratio: np.ndarray, whole: np.ndarray, starts: np.ndarray, window: int = 4, letters: int = 5) -> list[float]:
+def evidence(ratio: np.ndarray, by_word: np.ndarray, starts: np.ndarray, window: int = 4, letters: int = 5) -> list[float]:
     """What the log ratios of a text's letters say: per letter (all, largest window of words, largest run of letters, largest
-    word), per word (mean), its three most toxic words, and the logarithm of its number of words; by the models of words the
-    mean, the three most toxic words and the logarithm of how many are plainly toxic. Zeros for a text without words."""
+    word), per word (mean), its three most toxic words, and the logarithm of its number of words; by the models of expressions
+    the mean, the three most toxic words, the logarithm of how many are plainly toxic, and the most toxic one of each kind. Zeros for a text without words."""
     if not len(starts):
         return [0.0] * N_FEATURES
     word = np.add.reduceat(ratio, starts)
@@ -327,10 +403,10 @@ def evidence(ratio: np.ndarray, whole: np.ndarray, starts: np.ndarray, window: i
     k = min(window, len(word))
     windows = (run[bounds[k:]] - run[bounds[:-k]]) / (bounds[k:] - bounds[:-k])
     k = min(letters, len(ratio))
-    by_word = np.add.reduceat(whole, starts)
     return [
         float(ratio.mean()), float(windows.max()), float((run[k:] - run[:-k]).max() / k), float((word / size).max()), float(word.mean()),
-        *_top(word), float(np.log1p(len(word))), float(by_word.mean()), *_top(by_word), float(np.log1p((by_word > PLAINLY).sum())),
+        *_top(word), float(np.log1p(len(word))), float(by_word[0].mean()), *_top(by_word[0]), float(np.log1p((by_word[0] > PLAINLY).sum())),
+        *by_word[1:].max(1).tolist(),
     ]
 
 

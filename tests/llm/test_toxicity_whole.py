@@ -7,9 +7,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quillnet.llm.toxicity import letter_codes, letter_counts, log_ratios, ratios_of, score_toxicity, send, word_codes
+from quillnet.llm.toxicity import KINDS, letter_codes, letter_counts, log_ratios, ratios_of, score_toxicity, send, word_codes
 
-TOXIC = ["awful zorgblat", "zorgblats hate", "hat awe", "ужас", "zorgblat"]
+TOXIC = ["awful zorgblat the cat", "zorgblats hate", "hat awe", "ужас", "zorgblat"]
 CALM = ["the cat sat on the mat", "a door near the hat", "cats chat at zoos", "дом", "the zorgon"]
 
 
@@ -48,16 +48,17 @@ def _brute(toxic, calm, d=0.75):
 
 
 def _brute_words(toxic, calm, d=0.75):
-    n = [Counter((w[:k], (w + "\0")[k]) for t in texts for w in t.lower().split() for k in range(len(w) + 1)) for texts in (toxic, calm)]
-
-    def ratio(before, letter):
-        mine = [{s: k for (b, s), k in c.items() if b == before} for c in n]
-        every = [sum(m.values()) for m in mine]
-        both = sum(m.get(letter, 0) for m in mine) / sum(every) if sum(every) else 0
-        if not both:
-            p = [d * len(m) / k if k else 1.0 for m, k in zip(mine, every, strict=True)]
-        else:
-            p = [(max(m.get(letter, 0) - d, 0) + d * len(m) * both) / k if k else both for m, k in zip(mine, every, strict=True)]
+    def of(word, kind):
+        return word if not kind else word[:kind] if len(word) > kind else None
+
+    n = {k: [Counter(x for t in texts for w in t.lower().split() if (x := of(w, k))) for texts in (toxic, calm)] for k in KINDS}
+
+    def ratio(word, kind):
+        x, (t, o) = of(word, kind), n[kind]
+        if not t[x]:
+            return 0.0
+        types = [len(t), sum(1 for y in t if o[y])]
+        p = [(max(c[x] - d, 0) + d * k / len(t)) / sum(c.values()) if c else 1 / len(t) for c, k in zip((t, o), types, strict=True)]
         return math.log(p[0] / p[1])
 
     return ratio
@@ -73,10 +74,13 @@ def test_log_ratios_by_brute_force(spark, block):
     got = ratios_of(sent, *letter_codes(text)[:2])
     want = [ratio(g) for g in _grams(text)]
     assert np.allclose(got, want, atol=1e-5) and len(set(want)) > 5
-    words = _brute_words(TOXIC, CALM)
-    got = ratios_of(sent, *word_codes(*letter_codes(text)))
-    want = [words(w[:k], (w + "\0")[k]) for w in text.split() for k in range(len(w) + 1)]
-    assert np.allclose(got, want, atol=1e-5) and len(set(want)) > 5
+    words, codes = _brute_words(TOXIC, CALM), word_codes(*letter_codes(text))
+    for kind in KINDS:
+        hi, lo, which = codes[kind]
+        got = ratios_of(sent, hi, lo)
+        want = [words(text.split()[k], kind) for k in which.tolist()]
+        assert np.allclose(got, want, atol=1e-5) and len(which)
+    assert words("zorgblat", 0) > 1 and words("zorgblatt", 7) > 1
 
 
 def test_letters_beyond_ascii_are_told_apart(spark, docs):
