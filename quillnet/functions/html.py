@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from quillnet.functions.text import squash_ws
 
@@ -21,40 +17,37 @@ def title(html: Column) -> Column:
     return squash_ws(F.regexp_extract(html, r"(?i)<title>([^<]*)</title>", 1))
 
 
-class _Cells(HTMLParser):
-    def __init__(self):
-        super().__init__()
-        self.cells: list[list[str]] = []
-        self.open = False
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "tr":
-            self.cells.append([])
-        self.open = tag in ("td", "th") and bool(self.cells)
-        if self.open:
-            self.cells[-1].append("")
-
-    def handle_endtag(self, tag):
-        if tag in ("td", "th"):
-            self.open = False
-
-    def handle_data(self, data):
-        if self.open:
-            self.cells[-1][-1] += data
-
-
-@udtf(returnType="label string, value string")
-class LabelTable:
-    """Label and value of every table row: its first cell, and each line of its second."""
-
-    def eval(self, html: str) -> Iterator[tuple[str, str]]:
-        parser = _Cells()
-        parser.feed(html or "")
-        for row in parser.cells:
-            if len(row) >= 2:
-                for value in row[1].split("\n"):
-                    if value.strip():
-                        yield row[0].strip(), value.strip()
+def plain(fragment: Column) -> Column:
+    """The text of a fragment: tags go, the usual entities are read, white space is one space."""
+    out = F.regexp_replace(fragment, r"(?s)<[^>]*>", " ")
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    return squash_ws(out)
+
+
+def link_texts(html: Column) -> Column:
+    """array<struct<href, text>>: every anchor with its text, in order."""
+    found = F.regexp_extract_all(html, F.lit(r'(?is)(<a[^>]*href="[^"]*"[^>]*>.*?</a>)'), F.lit(1))
+    return F.transform(found, lambda a: F.struct(F.regexp_extract(a, r'(?is)^<a[^>]*href="([^"]*)"', 1).alias("href"), plain(a).alias("text")))
+
+
+def by_class(html: Column, name: str, tag: str = "[a-z0-9]+") -> Column:
+    """Texts of the elements of a class (and tag) that hold no element of the same tag."""
+    pattern = rf'(?is)<({tag})\b[^>]*class="(?:[^"]*\s)?{name}(?:\s[^"]*)?"[^>]*>(.*?)</\1>'
+    return F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(2)), plain)
+
+
+def cells(html: Column) -> Column:
+    """array<array<string>>: the cells of every table row, as they are written."""
+    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
+    return F.transform(rows, lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)))
+
+
+def label_values(html: Column) -> Column:
+    """array<struct<label, value>> of every table row: its first cell, and each line of its second that is not empty."""
+    rows = F.filter(cells(html), lambda r: F.size(r) >= 2)
+    pairs = F.transform(rows, lambda r: F.transform(F.split(r[1], "\n"), lambda v: F.struct(plain(r[0]).alias("label"), plain(v).alias("value"))))
+    return F.filter(F.flatten(pairs), lambda p: p["value"] != "")
 
 
 def proxies(rows: DataFrame, cells: str = "cells") -> DataFrame:

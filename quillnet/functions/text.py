@@ -60,3 +60,13 @@ def clean_text(c: Column) -> Column:
     """Typographic quotes and dashes as ASCII, control characters and no-break spaces as spaces; case and accents stay."""
     plain = F.translate(c, "‘’‚“”„–— ", "'''\"\"\"-- ")
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[\p{Cntrl}&&[^\n]]", " "), r"[ ]{2,}", " "))
+
+
+def without_suffix(c: Column, n: int) -> Column:
+    """Without its last n characters; empty if it has no more."""
+    return F.substring(c, F.lit(1), F.greatest(F.length(c) - n, F.lit(0)))
+
+
+def clamp_distance(c: Column, at: float = 100) -> Column:
+    """The distance from ``at``, no more than that."""
+    return F.least(F.abs(F.lit(at) - c), F.lit(at))

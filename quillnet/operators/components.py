@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillnet.session import cut
+from quillnet.session import cut, discard
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -40,7 +40,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     )
     before = _state(now)
     for _ in range(max_rounds):
-        now = cut(_stars(now))
+        last, now = now, cut(_stars(now))
+        discard(last)
         after = _state(now)
         if after == before:
             break

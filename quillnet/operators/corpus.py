@@ -10,15 +10,32 @@ from pyspark.sql import functions as F
 from quillnet.functions.text import clean_text, decade, pos_class, tokens
 from quillnet.operators.graph import pagerank
 from quillnet.operators.relational import top_k
+from quillnet.session import cut
 
 
 def corpus(docs: DataFrame, group: str, order: str, text: str, min_len: int = 40, placeholder: str | None = None, years: bool = False) -> DataFrame:
-    """(group, text): documents longer than min_len joined by newlines in order. With years, groups are decades of 1 to 2020."""
+    """(group, ord, text): documents longer than min_len, less the placeholder. With years, groups are decades of 1 to 2020.
+
+    A group stays rows; ``write_corpus`` writes it as ordered lines.
+    """
     rows = docs.where((F.col(group) > 0) & (F.col(group) < 2021)) if years else docs
     key = decade(F.col(group)) if years else F.col(group)
     keep = (F.length(text) > min_len) & (F.col(text) != placeholder if placeholder else F.lit(True))
-    parts = F.sort_array(F.collect_list(F.when(keep, F.struct(F.col(order).alias("o"), F.col(text).alias("t")))))
-    return rows.groupBy(key.alias("group")).agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n").alias("text"))
+    return rows.where(keep).select(key.alias("group"), F.col(order).alias("ord"), F.col(text).alias("text"))
+
+
+def write_corpus(rows: DataFrame, path: str) -> None:
+    """Text files by group, in order; a large group takes several files, whose names follow the order."""
+    rows.repartitionByRange("group", "ord").sortWithinPartitions("group", "ord").select("group", "text").write.partitionBy("group").text(path)
+
+
+def group_sizes(rows: DataFrame, years: DataFrame, year: str) -> DataFrame:
+    """(group, n, bar): how many rows each decade of a valid year has, 0 where none is left; bar: a mark for each twentieth of the most."""
+    valid = years.where((F.col(year) > 0) & (F.col(year) < 2021)).select(decade(F.col(year)).alias("group")).distinct()
+    n = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    out = valid.join(n, "group", "left").select("group", F.coalesce("n", F.lit(0)).alias("n"))
+    most = n.agg(F.coalesce(F.max("n"), F.lit(1)).alias("_most"))
+    return out.join(F.broadcast(most)).select("group", "n", F.repeat(F.lit("█"), F.ceil(F.col("n") * 20 / F.col("_most")).cast("int")).alias("bar"))
 
 
 def term_counts(docs: DataFrame, group: str, text: str, stop: list[str] | None = None, min_len: int = 1) -> DataFrame:
@@ -34,11 +51,13 @@ def term_freq(docs: DataFrame, group: str, text: str, min_count: int = 3, k: int
     return top_k(c, k, [F.desc("n"), F.col("term")], ["group"])
 
 
-def skipgrams(docs: DataFrame, text: str, reach: int = 4, min_count: int = 3) -> DataFrame:
-    """(a, b, n): ordered token pairs at most ``reach`` apart in one document, held min_count times or more."""
-    tok = docs.select(tokens(F.lower(text)).alias("tok"))
-    pairs = F.flatten(F.transform("tok", lambda w, i: F.transform(F.slice("tok", i + 2, F.lit(reach)), lambda v: F.struct(w.alias("a"), v.alias("b")))))
-    return tok.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
+def skipgrams(docs: DataFrame, text: str, reach: int = 4, min_count: int = 3, group: str | None = None) -> DataFrame:
+    """([group,] a, b, n): ordered token pairs at most ``reach`` apart in one document, held min_count times or more."""
+    keys = ["group"] if group else []
+    tok = docs.select(*([F.col(group).alias("group")] if group else []), tokens(F.lower(text)).alias("tok"))
+    at = tok.select(*keys, "tok", F.posexplode("tok").alias("i", "a"))
+    pairs = at.select(*keys, "a", F.explode(F.slice("tok", F.col("i") + 2, F.lit(reach))).alias("b"))
+    return pairs.groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
 
 
 def keyness(counts: DataFrame) -> DataFrame:
@@ -47,12 +66,30 @@ def keyness(counts: DataFrame) -> DataFrame:
     size = counts.groupBy("group").agg(F.sum("n").alias("_g"))
     every = counts.agg(F.sum("n").alias("_a"))
     score = F.log2((F.col("n") / F.col("_g")) / (F.col("_f") / F.col("_a")))
-    return counts.join(total, "term").join(F.broadcast(size), "group").join(F.broadcast(every)).select("group", "term", "n", score.alias("score"))
+    return counts.join(total, "term").join(size, "group").join(F.broadcast(every)).select("group", "term", "n", score.alias("score"))
+
+
+def keywords(docs: DataFrame, group: str, text: str, stop: list[str], k: int | None = None) -> DataFrame:
+    """(group, term, n, score): keyness without stop-words, hyphens written as #, largest first.
+
+    In all texts together a hyphen is replaced before the stop-words go, in a group after: a stop-word with a hyphen in it
+    counts in the whole, not in its group.
+    """
+    counts = cut(term_counts(docs, group, text))
+    mark = F.replace(F.col("term"), F.lit("-"), F.lit("#"))
+    whole = counts.withColumn("term", mark).where(~F.col("term").isin(stop)).groupBy("term").agg(F.sum("n").alias("_f"))
+    own = counts.where(~F.col("term").isin(stop)).withColumn("term", mark).groupBy("group", "term").agg(F.sum("n").alias("n"))
+    size = own.groupBy("group").agg(F.sum("n").alias("_g"))
+    every = whole.agg(F.sum("_f").alias("_a"))
+    score = F.log2((F.col("n") / F.col("_g")) / (F.col("_f") / F.col("_a")))
+    out = own.join(whole, "term").join(size, "group").join(F.broadcast(every)).select("group", "term", "n", score.alias("score"))
+    return top_k(out, k, [F.desc(F.round("score", 9)), F.col("term")], ["group"]) if k else out.orderBy("group", F.desc("score"), "term")
 
 
 def word_graph(pairs: DataFrame) -> DataFrame:
-    """Skip-gram counts as an undirected graph without loops; both orders of a pair are added."""
-    return pairs.where("a <> b").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("n").alias("weight"))
+    """Skip-gram counts as an undirected graph without loops; both orders of a pair are added. A group is part of the terms' ids."""
+    term = (lambda c: F.struct("group", F.col(c).alias("term"))) if "group" in pairs.columns else F.col
+    return pairs.where("a <> b").groupBy(F.least(term("a"), term("b")).alias("src"), F.greatest(term("a"), term("b")).alias("dst")).agg(F.sum("n").alias("weight"))
 
 
 def word_pagerank(pairs: DataFrame, **how) -> DataFrame:
@@ -61,6 +98,17 @@ def word_pagerank(pairs: DataFrame, **how) -> DataFrame:
     return pagerank(nodes, e, **how)
 
 
+def word_ranks(docs: DataFrame, group: str, text: str, stop: list[str], k: int = 200, **how) -> DataFrame:
+    """(group, term, rank): the k terms of each group with the largest PageRank in its word graph, stop-words left out at the end.
+
+    The groups' graphs have no edge in common, so one run over all of them gives each group's ranks, up to its share of the nodes.
+    """
+    ranks = cut(word_pagerank(cut(skipgrams(docs.where(F.col(group).isNotNull()), text, group=group)), **how).select("id.group", "id.term", "rank"))
+    share = ranks.groupBy("group").agg(F.sum("rank").alias("_all"))
+    own = ranks.join(F.broadcast(share), "group").select("group", "term", (F.col("rank") / F.col("_all")).alias("rank"))
+    return top_k(own.where(~F.col("term").isin(stop)), k, [F.desc(F.round("rank", 9)), F.col("term")], ["group"])
+
+
 def vocabulary_bags(docs: DataFrame, doc_id: str, text: str, min_df: int = 2) -> tuple[DataFrame, DataFrame]:
     """(term, df, tf) of terms in min_df documents or more, and (doc, term, n) bags over them."""
     bag = term_counts(docs, doc_id, text).withColumnRenamed("group", "doc")
@@ -68,24 +116,24 @@ def vocabulary_bags(docs: DataFrame, doc_id: str, text: str, min_df: int = 2) ->
     return vocab, bag.join(vocab.select("term"), "term", "left_semi")
 
 
-def lda_topics(docs: DataFrame, text: str, k: int = 5, passes: int = 10, vocab_size: int = 20_000, seed: int = 100, path: str | None = None) -> DataFrame:
-    """(topic, rank, term, weight): ten leading terms of each topic of an online LDA; saved if a path is given."""
+def lda_topics(docs: DataFrame, text: str, k: int = 5, passes: int = 10, vocab_size: int = 1 << 20, seed: int = 100, path: str | None = None) -> DataFrame:
+    """(topic, rank, term, weight): ten leading terms of each topic of an online LDA; saved if a path is given.
+
+    Every pass takes all documents. The vocabulary, which the driver holds, is bounded by vocab_size, the most frequent terms first.
+    """
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
     rows = docs.select(tokens(F.lower(text)).alias("tok"))
     vectors = CountVectorizer(inputCol="tok", outputCol="features", vocabSize=vocab_size, minDF=2).fit(rows)
     alpha = [1.0 / (i + k**0.5) for i in range(k)]
-    lda = LDA(k=k, maxIter=passes, optimizer="online", learningDecay=0.51, learningOffset=64.0, docConcentration=alpha, optimizeDocConcentration=False, seed=seed)
-    model = lda.fit(vectors.transform(rows))
+    lda = LDA(k=k, maxIter=passes, optimizer="online", subsamplingRate=1.0, learningDecay=0.5, learningOffset=64.0, docConcentration=alpha, optimizeDocConcentration=False, seed=seed)
+    model = lda.fit(cut(vectors.transform(rows).select("features")))
     if path:
         model.write().overwrite().save(path)
-    words = F.array(*[F.lit(w) for w in ()]) if not vectors.vocabulary else None
-    names = docs.sparkSession.createDataFrame(pd.DataFrame({"at": range(len(vectors.vocabulary)), "term": vectors.vocabulary})) if words is None else None
+    names = docs.sparkSession.createDataFrame(list(enumerate(vectors.vocabulary)), "at int, term string")
     top = model.describeTopics(10).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
-    if names is None:
-        return top.select("topic", "rank", F.lit("").alias("term"), F.col("t.termWeights").alias("weight"))
-    return top.join(F.broadcast(names), F.col("t.termIndices") == F.col("at")).select("topic", "rank", "term", F.col("t.termWeights").alias("weight"))
+    return top.join(names, F.col("t.termIndices") == F.col("at")).select("topic", "rank", "term", F.col("t.termWeights").alias("weight"))
 
 
 CELLS = 4096
@@ -135,13 +183,12 @@ def language_filter(docs: DataFrame, doc_id: str, text: str, lang: str, keep: st
     return lines.where(p("text") > threshold)
 
 
-def lemmas(docs: DataFrame, doc_id: str, text: str, tagger=None, keep: tuple[str, ...] = ("Adj", "V", "Adv", "N"), min_len: int = 3, stop: list[str] | None = None) -> DataFrame:
-    """(doc, line, lemma) of the kept classes. tagger: column of text -> array<struct<lemma, tag>>; the default takes tokens as nouns."""
-    read = tagger or (lambda c: F.transform(tokens(F.lower(c)), lambda w: F.struct(w.alias("lemma"), F.lit("N").alias("tag"))))
+def lemmas(docs: DataFrame, doc_id: str, text: str, tagger, keep: tuple[str, ...] = ("Adj", "V", "Adv", "N"), min_len: int = 3, stop: list[str] | None = None) -> DataFrame:
+    """(doc, line, lemma) of the kept classes. tagger: column of text -> array<struct<lemma, tag>>, such as a service's parsed reply."""
     t = docs.select(F.col(doc_id).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line", "text"))
-    t = t.select("doc", "line", F.explode(read(F.col("text"))).alias("t")).where(pos_class(F.col("t.tag")).isin(*keep))
-    t = t.where(F.length("t.lemma") >= min_len)
-    return (t.where(~F.col("t.lemma").isin(stop)) if stop else t).select("doc", "line", "t.lemma")
+    t = t.select("doc", "line", F.explode(tagger(F.col("text"))).alias("t")).where(pos_class(F.col("t.tag")).isin(*keep))
+    t = t.select("doc", "line", "t.lemma").where(F.length("lemma") >= min_len)
+    return t.where(~F.col("lemma").isin(stop)) if stop else t
 
 
 def cleaned(docs: DataFrame, text: str) -> DataFrame:

@@ -8,16 +8,33 @@ from pyspark.sql import Window as W
 
 from quillnet.operators.components import connected_components
 from quillnet.operators.relational import percentile_of_score, rank_all
-from quillnet.session import cut
+from quillnet.session import cut, discard
 
 
-def cooccurrence(members: DataFrame, group: str, item: str) -> DataFrame:
-    """How many groups hold both ends of each pair. Repeated members count once."""
+def cooccurrence(members: DataFrame, group: str, item: str, hot: int = 2000) -> DataFrame:
+    """How many groups hold both ends of each pair. Repeated members count once.
+
+    A group of more than ``hot`` members is dealt over several tasks: each takes a part of its left ends and all right ones.
+    """
     m = members.select(F.col(group).alias("g"), F.col(item).alias("i")).where("g is not null and i is not null").distinct()
-    pairs = m.alias("a").join(m.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.i") < F.col("b.i")))
+    large = m.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
+    on = [F.col("a.g") == F.col("b.g"), F.col("a.i") < F.col("b.i")]
+    a = b = m
+    if large.limit(1).count():
+        m = cut(m.join(large, "g", "left").select("g", "i", F.coalesce(F.ceil(F.col("n") / hot), F.lit(1)).cast("int").alias("parts")))
+        a = m.select("g", "i", F.pmod(F.xxhash64("i"), "parts").cast("int").alias("part"))
+        b = m.select("g", "i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        on.append(F.col("a.part") == F.col("b.part"))
+    pairs = a.alias("a").join(b.alias("b"), on)
     return pairs.groupBy(F.col("a.i").alias("src"), F.col("b.i").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
 
 
+def named_cooccurrence(members: DataFrame, group: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) over names as identities: those who share a name are one, and who stands alone in every group is a node too."""
+    m = members.where(F.col(name).isNotNull() & (F.col(name) != ""))
+    return m.select(F.col(name).alias("id")).distinct(), cooccurrence(m, group, name)
+
+
 def ends(edges: DataFrame) -> DataFrame:
     """Each edge from both of its ends: (id, other, weight)."""
     return edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("id"), F.col("src").alias("other")))).alias("e"), "weight").select("e.id", "e.other", "weight")
@@ -29,6 +46,12 @@ def degree_strength(edges: DataFrame) -> DataFrame:
     )
 
 
+def root_degree(nodes: DataFrame, edges: DataFrame, d: int = 3, isolated: float = 0.001) -> DataFrame:
+    """(id, size): (sum of w^(d-1))^(1/(d-1)) + 1e-5 of each node, ``isolated`` for one without edges."""
+    s = ends(edges).groupBy("id").agg((F.pow(F.sum(F.pow(F.col("weight").cast("double"), d - 1)), 1 / (d - 1)) + 1e-5).alias("size"))
+    return nodes.join(s, "id", "left").select("id", F.coalesce("size", F.lit(isolated)).alias("size"))
+
+
 def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.agg(F.count(F.lit(1)).alias("_n"))
     d = ends(edges).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
@@ -63,7 +86,7 @@ def pagerank(
     """(id, rank). Power iteration from 1/N; what nodes without edges hold is spread evenly.
 
     Stops when the ranks move by less than N * tol in all, or after fixed_iters rounds. The number of nodes is the only thing that
-    the driver learns in fixed rounds; each tenth round is written down.
+    the driver learns in fixed rounds; each fifth round is written down, and the one written before goes.
     """
     w = F.col("weight").cast("double") if weighted else F.lit(1.0)
     e = ends(edges).select("id", "other", w.alias("w"))
@@ -73,7 +96,7 @@ def pagerank(
     n = nodes.count()
     if n == 0:
         return nodes.select("id", F.lit(0.0).alias("rank"))
-    ranks = nodes.select("id", "dangling", F.lit(1.0 / n).alias("rank"))
+    ranks = ranks_written = nodes.select("id", "dangling", F.lit(1.0 / n).alias("rank"))
     lonely = nodes.where("dangling").limit(1).count() > 0
     for k in range(fixed_iters or max_iter):
         flow = ranks.join(p, "id").groupBy(F.col("other").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("in"))
@@ -84,10 +107,16 @@ def pagerank(
             spread = F.col("_d") / n
         new = new.select("id", "dangling", (damping * (F.coalesce("in", F.lit(0.0)) + spread) + (1 - damping) / n).alias("rank"))
         if fixed_iters:
-            ranks = cut(new) if k % 5 == 4 else new
+            if k % 5 == 4:
+                ranks, written = cut(new), ranks_written
+                ranks_written = ranks
+                discard(written)
+            else:
+                ranks = new
             continue
         new = cut(new)
         moved = new.alias("a").join(ranks.alias("b"), "id").agg(F.sum(F.abs(F.col("a.rank") - F.col("b.rank")))).first()[0]
+        discard(ranks)
         ranks = new
         if moved < n * tol:
             break
@@ -130,6 +159,12 @@ def ego_members(edges: DataFrame, centres: DataFrame) -> DataFrame:
     return near.unionByName(centres.select(F.col("id").alias("ego"), "id")).distinct()
 
 
+def ego_nodes(members: DataFrame, attributes: DataFrame, centre_rank: float = 10.0) -> DataFrame:
+    """(ego, id, label, partition, pr): members with their node attributes; the centre's own rank is a constant that stands out."""
+    pr = F.when(F.col("id") == F.col("ego"), F.lit(centre_rank)).otherwise(F.col("pr"))
+    return members.join(attributes.select("id", "label", "partition", "pr"), "id").select("ego", "id", "label", "partition", pr.alias("pr"))
+
+
 def ego_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
     a = members.select("ego", F.col("id").alias("src"))
     b = members.select("ego", F.col("id").alias("dst"))
@@ -177,33 +212,58 @@ def modularity(edges: DataFrame, partition: DataFrame) -> DataFrame:
     return s.join(inner, "community", "left").join(F.broadcast(m)).agg(F.sum(q).alias("modularity"))
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10, min_gain: float = 1e-6) -> DataFrame:
-    """(id, community) by local moves: in each round the nodes of one hash half join the neighbouring community of the largest
-    modularity gain; a round that does not raise modularity ends the search."""
+def _local_moves(nodes: DataFrame, edges: DataFrame, max_rounds: int, min_gain: float) -> tuple[DataFrame, float, bool]:
+    """(partition, modularity, whether a node moved): in each round a half of the nodes, drawn by hash, join the neighbouring community of the
+    largest gain; four rounds in a row that do not raise modularity end it. Edges may be loops."""
     part = cut(nodes.select("id", F.col("id").alias("community")))
     strength = cut(ends(edges).groupBy("id").agg(F.sum("weight").cast("double").alias("k")))
     m = strength.agg(F.sum("k")).first()[0] or 0.0
-    if not m:
-        return part
-    best = modularity(edges, part).first()[0]
-    stale = 0
+    best, stale, moved = modularity(edges, part).first()[0] or 0.0, 0, False
+    between = cut(ends(edges.where("src <> dst")))
     for r in range(max_rounds):
         total = part.join(strength, "id").groupBy("community").agg(F.sum("k").alias("tot"))
-        to = ends(edges).join(part.select(F.col("id").alias("other"), "community"), "other").groupBy("id", "community").agg(F.sum("weight").cast("double").alias("w"))
+        to = between.join(part.select(F.col("id").alias("other"), "community"), "other").groupBy("id", "community").agg(F.sum("weight").cast("double").alias("w"))
         own = part.select("id", F.col("community").alias("own"))
         gain = F.col("w") - F.col("k") * (F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)) / m
         moves = to.join(total, "community").join(strength, "id").join(own, "id").withColumn("gain", gain)
         pick = moves.groupBy("id").agg(F.max(F.struct("gain", (F.col("community") == F.col("own")).alias("_stay"), "community")).alias("b"))
-        mine = F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2
-        new = part.join(pick, "id", "left").select("id", F.when(mine & F.col("b").isNotNull(), F.col("b.community")).otherwise(F.col("community")).alias("community"))
-        new = cut(new)
+        # Another half in each round, and of two nodes that stand alone only the larger joins the smaller: none change places for ever.
+        alone = part.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
+        pick = pick.join(alone.select(F.col("community").alias("_c"), F.col("size").alias("there")), F.col("b.community") == F.col("_c"))
+        pick = pick.join(own, "id").join(alone.select(F.col("community").alias("own"), F.col("size").alias("here")), "own").drop("own")
+        chase = (F.col("there") == 1) & (F.col("here") == 1) & (F.col("b.community") > F.col("community"))
+        mine = (F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0) & F.col("b").isNotNull() & (F.col("b.gain") > 0) & ~chase
+        new = cut(part.join(pick, "id", "left").select("id", F.when(mine, F.col("b.community")).otherwise(F.col("community")).alias("community")))
         q = modularity(edges, new).first()[0]
         stale = 0 if q > best + min_gain else stale + 1
         if q > best:
-            best, part = q, new
-        if stale == 2:
+            discard(part)
+            best, part, moved = q, new, True
+        else:
+            discard(new)
+        if stale == 4:
+            break
+    return part, best, moved
+
+
+def louvain(nodes: DataFrame, edges: DataFrame, max_rounds: int = 20, min_gain: float = 1e-6, max_levels: int = 10) -> DataFrame:
+    """(id, community): local moves, then each community becomes one node, whose inner weight is a loop, and moves again, level after
+    level, until none moves. A community bears one of its nodes' ids."""
+    found = cut(nodes.select("id", F.col("id").alias("community")))
+    if not edges.limit(1).count():
+        return found
+    level, now = nodes, edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
+    for _ in range(max_levels):
+        part, _, moved = _local_moves(level, now, max_rounds, min_gain)
+        if not moved:
             break
-    return part
+        to = part.select(F.col("id").alias("community"), F.col("community").alias("_to"))
+        found = cut(found.join(to, "community").select("id", F.col("_to").alias("community")))
+        a = part.select(F.col("id").alias("src"), F.col("community").alias("_a"))
+        b = part.select(F.col("id").alias("dst"), F.col("community").alias("_b"))
+        now = cut(now.join(a, "src").join(b, "dst").groupBy(F.least("_a", "_b").alias("src"), F.greatest("_a", "_b").alias("dst")).agg(F.sum("weight").alias("weight")))
+        level = cut(part.select(F.col("community").alias("id")).distinct())
+    return found
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame, min_degree: int = 1, max_edges: int = 200_000) -> DataFrame:

@@ -122,6 +122,16 @@ def polyline(links: DataFrame, segs: int) -> DataFrame:
     return p.select("link", "seg", *[(F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * t).alias(c) for c in XYZ])
 
 
+def spheres(points: DataFrame, radius: Column) -> DataFrame:
+    """(id, x, y, z, r): the sphere of each node."""
+    return points.select("id", *XYZ, radius.alias("r"))
+
+
+def to_segments(segments: DataFrame, attributes: DataFrame, link: str = "link") -> DataFrame:
+    """Segments with the attributes of their link on each of them."""
+    return segments.join(attributes, link)
+
+
 def cylinders(links: DataFrame) -> DataFrame:
     """Midpoint, length and direction of the cylinder along each link."""
     d = [F.col(f"{c}2") - F.col(f"{c}1") for c in XYZ]

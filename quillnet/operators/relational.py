@@ -45,6 +45,28 @@ def get_or_create(target: DataFrame, incoming: DataFrame, key: str, id_col: str)
     return target.select(F.col(id_col).cast("long").alias(id_col), key).unionByName(made)
 
 
+def insert_if_absent(links: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """links and the incoming rows whose keys it lacks, one for each key. Null keys are keys like others."""
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    new = incoming.select(*links.columns).alias("a").join(links.select(*keys).alias("b"), same, "left_anti")
+    rest = [c for c in links.columns if c not in keys]
+    once = new.groupBy(*keys).agg(*[F.min(c).alias(c) for c in rest]) if rest else new.distinct()
+    return links.unionByName(once.select(*links.columns))
+
+
+def dedup_edges(edges: DataFrame, *cols: str) -> DataFrame:
+    """One row for each combination of the given columns (all by default), weight included."""
+    return edges.dropDuplicates(list(cols or edges.columns))
+
+
+def spread(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(name, lo, hi, mean, std, largest): population standard deviation and largest absolute value of each column."""
+    one = lambda c: F.struct(
+        F.lit(c).alias("name"), F.min(c).alias("lo"), F.max(c).alias("hi"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.max(F.abs(c)).alias("largest")
+    )
+    return df.agg(F.array(*[one(c) for c in cols]).alias("_s")).select(F.inline("_s"))
+
+
 def rank_all(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Row numbers from 1 over the whole table: a range sort, ranks inside each range, and a small table of offsets."""
     parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())

@@ -51,7 +51,6 @@ GS = "WITH " + _edges_sql("gs") + ", e AS (SELECT * FROM e0)"
 GU = "WITH " + _edges_sql("gu") + ", e AS (SELECT * FROM e0)"
 GP = "WITH " + _edges_sql("gp") + ", e AS (SELECT * FROM e0)"
 GP2 = "WITH RECURSIVE " + _edges_sql("gp") + ", e AS (SELECT * FROM e0 WHERE weight >= 2)"
-GSX = "WITH " + _edges_sql("gs") + ", e AS (SELECT * FROM e0 WHERE weight >= (SELECT quantile_disc(weight, 0.95) FROM e0))"
 ENDS = ", n AS (SELECT src AS id, dst AS other, weight FROM e UNION ALL SELECT dst, src, weight FROM e)"
 
 
@@ -61,9 +60,9 @@ def _graph(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return G.cooccurrence(table(spark, d, "lineitem"), "l_orderkey", {"gs": "l_suppkey", "gp": "l_partkey", "gsx": "l_suppkey", "gp2": "l_partkey"}[kind])
 
 
-def _sparse(spark: SparkSession, d: str) -> DataFrame:
-    e = cut(_graph(spark, d, "gs"))
-    return e.join(F.broadcast(e.agg(F.expr("percentile_disc(0.95) within group (order by weight)").alias("_q"))), F.col("weight") >= F.col("_q")).drop("_q")
+def _backbone(spark: SparkSession, d: str) -> DataFrame:
+    """The edges that stand out at either end, for what is asked of backbones only."""
+    return cut(G.backbone_cut(cut(_disparity(spark, d, "gs")[0]), 0.05, 1, keep="significant").select("src", "dst", "weight"))
 
 
 def _strong(spark: SparkSession, d: str) -> DataFrame:
@@ -99,9 +98,9 @@ def comembership_edges(spark, d):
     return _graph(spark, d, "gu")
 
 
-@query(GSX + ENDS + " SELECT id, count(*) AS degree, sum(weight)::BIGINT AS strength FROM n GROUP BY id")
+@query(GS + ENDS + " SELECT id, count(*) AS degree, sum(weight)::BIGINT AS strength FROM n GROUP BY id")
 def degree_strength(spark, d):
-    return G.degree_strength(_sparse(spark, d)).drop("rss")
+    return G.degree_strength(_graph(spark, d, "gs")).drop("rss")
 
 
 @query(GP2 + ENDS + " SELECT id, round(sqrt(sum(weight * weight)), 9) AS rss FROM n GROUP BY id")
@@ -132,14 +131,14 @@ def _ranked(e: DataFrame, weighted: bool, rounds: int = 20) -> DataFrame:
     return G.pagerank(_nodes(e), e, weighted=weighted, fixed_iters=rounds)
 
 
-@query(GSX + ENDS + _rank_sql("weight", 20) + " SELECT id, round(r, 9) AS rank FROM r20")
+@query(GS + ENDS + _rank_sql("weight", 20) + " SELECT id, round(r, 9) AS rank FROM r20")
 def pagerank_weighted_k20(spark, d):
-    return _ranked(_sparse(spark, d), True).select("id", _r("rank"))
+    return _ranked(_graph(spark, d, "gs"), True).select("id", _r("rank"))
 
 
-@query(GSX + ENDS + _rank_sql("1", 20) + " SELECT id, round(r, 9) AS rank FROM r20")
+@query(GS + ENDS + _rank_sql("1", 20) + " SELECT id, round(r, 9) AS rank FROM r20")
 def pagerank_unweighted_k20(spark, d):
-    return _ranked(_sparse(spark, d), False).select("id", _r("rank"))
+    return _ranked(_graph(spark, d, "gs"), False).select("id", _r("rank"))
 
 
 @query(GP2 + ENDS + _rank_sql("weight", 20) + """, s AS (SELECT id, round(r, 12) AS r FROM r20), b AS (SELECT min(r) AS lo, max(r) AS hi FROM s)
@@ -233,7 +232,9 @@ def ego_links(spark, d):
     return G.ego_links(*_egos(spark, d))
 
 
-@query()
+@query(GP2 + _EGO + """, at AS (SELECT ego, id, row_number() OVER (PARTITION BY ego ORDER BY id) - 1 AS k FROM mem), l AS (SELECT a.ego, a.k AS s, b.k AS t, weight FROM e JOIN "at" a ON a.id = src JOIN "at" b ON b.id = dst AND a.ego = b.ego),
+nj AS (SELECT ego, string_agg('{"name":' || id || '}', ',' ORDER BY id) AS n FROM mem GROUP BY ego), lj AS (SELECT ego, string_agg('{"source":' || s || ',"target":' || t || ',"value":' || weight || '}', ',' ORDER BY s, t) AS l FROM l GROUP BY ego)
+SELECT ego, '{"nodes":[' || n || '],"links":[' || l || ']}' AS json FROM nj LEFT JOIN lj USING (ego)""".replace(", at AS", ', "at" AS'))
 def ego_json(spark, d):
     return G.ego_json(*_egos(spark, d))
 
@@ -242,28 +243,28 @@ def _fifths(e: DataFrame) -> DataFrame:
     return _nodes(e).select("id", (F.col("id") % 5).alias("community"))
 
 
-@query(GSX + ENDS + ", o AS (SELECT id, id % 5 AS c, row_number() OVER (ORDER BY id % 5, id) - 1 AS k FROM (SELECT DISTINCT id FROM n)) SELECT a.k AS i, b.k AS j, weight, a.c = b.c AS same FROM e JOIN o a ON a.id = src JOIN o b ON b.id = dst")
+@query(GS + ENDS + ", o AS (SELECT id, id % 5 AS c, row_number() OVER (ORDER BY id % 5, id) - 1 AS k FROM (SELECT DISTINCT id FROM n)) SELECT a.k AS i, b.k AS j, weight, a.c = b.c AS same FROM e JOIN o a ON a.id = src JOIN o b ON b.id = dst")
 def adjacency_coo(spark, d):
-    e = cut(_sparse(spark, d))
+    e = cut(_graph(spark, d, "gs"))
     return G.adjacency_coo(e, _fifths(e))
 
 
-@query(GSX + ENDS + """, t AS (SELECT id % 5 AS c, sum(weight)::DOUBLE AS d FROM n GROUP BY ALL), i AS (SELECT src % 5 AS c, sum(weight)::DOUBLE AS l FROM e WHERE src % 5 = dst % 5 GROUP BY ALL),
+@query(GS + ENDS + """, t AS (SELECT id % 5 AS c, sum(weight)::DOUBLE AS d FROM n GROUP BY ALL), i AS (SELECT src % 5 AS c, sum(weight)::DOUBLE AS l FROM e WHERE src % 5 = dst % 5 GROUP BY ALL),
 mm AS (SELECT sum(weight)::DOUBLE AS m FROM e) SELECT round(sum(coalesce(l, 0) / m - pow(d / (2 * m), 2)), 9) AS modularity FROM t LEFT JOIN i USING (c), mm""")
 def modularity_fixed_partition(spark, d):
-    e = cut(_sparse(spark, d))
+    e = cut(_graph(spark, d, "gs"))
     return G.modularity(e, _fifths(e)).select(_r("modularity"))
 
 
 @query()
 def louvain(spark, d):
-    e = cut(_sparse(spark, d))
+    e = cut(_graph(spark, d, "gs"))
     return G.louvain(_nodes(e), e)
 
 
 @query()
 def betweenness(spark, d):
-    e = cut(_sparse(spark, d))
+    e = _backbone(spark, d)
     return G.betweenness(_nodes(e), e)
 
 
@@ -307,9 +308,10 @@ def get_or_create(spark, d):
     return R.get_or_create(p.where("p_size <= 25").groupBy("name").agg(F.min("id").alias("id")), p, "name", "id")
 
 
-@query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def seen_set_anti(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey").distinct()
+    seen = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").join(seen, "c_custkey", "left_anti").select("c_custkey").distinct()
 
 
 _SQ = r"trim(regexp_replace({c}, '[\s\p{{Z}}]+', ' ', 'g'))"
@@ -330,9 +332,13 @@ def strip_nonword(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(X.strip_nonword(F.col("text")), 256).alias("word"))
 
 
-@query("""SELECT p_partkey, p_name AS name, p_brand AS aka FROM part""")
+_RAW = "CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' (' || p_brand || ')  x' ELSE p_name || ' (' || p_brand END"
+
+
+@query(f"""WITH r AS (SELECT p_partkey, {_RAW} AS c FROM part), i AS (SELECT *, regexp_extract(c, '[(]([^)]*)[)]', 1) AS aka FROM r)
+SELECT p_partkey, trim(regexp_replace(CASE WHEN aka = '' THEN c ELSE replace(replace(replace(c, '(', ''), ')', ''), aka, '') END, ' +', ' ', 'g')) AS name, CASE WHEN aka = '' THEN 'None' ELSE aka END AS aka FROM i""")
 def alias_split(spark, d):
-    named = table(spark, d, "part").select("p_partkey", X.split_alias(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("s"))
+    named = table(spark, d, "part").select("p_partkey", X.split_alias(F.expr(_RAW)).alias("s"))
     return named.select("p_partkey", "s.name", "s.aka")
 
 
@@ -381,14 +387,14 @@ def vocab_bow(spark, d):
     return C.vocabulary_bags(table(spark, d, "documents"), "doc_id", "text")[0].select("term", "df")
 
 
-@query("SELECT lang AS \"group\", md5(string_agg(text, chr(10) ORDER BY doc_id) FILTER (length(text) > 40)) AS digest FROM documents GROUP BY ALL")
+@query("SELECT lang AS \"group\", doc_id AS ord, md5(text) AS digest FROM documents WHERE length(text) > 40")
 def corpus_by_group(spark, d):
-    return C.corpus(table(spark, d, "documents"), "lang", "doc_id", "text").select("group", F.md5("text").alias("digest"))
+    return C.corpus(table(spark, d, "documents"), "lang", "doc_id", "text").select("group", "ord", F.md5("text").alias("digest"))
 
 
 @query()
 def lda_topics(spark, d):
-    return C.lda_topics(table(spark, d, "documents"), "text", passes=5)
+    return C.lda_topics(table(spark, d, "documents"), "text")
 
 
 @query()
@@ -396,16 +402,6 @@ def language_filter(spark, d):
     return C.language_filter(table(spark, d, "documents"), "doc_id", "text", "lang", "de")
 
 
-@query()
-def text_clean(spark, d):
-    return C.cleaned(table(spark, d, "documents").select("doc_id", "text"), "text")
-
-
-@query()
-def lemma_pos(spark, d):
-    return C.lemmas(table(spark, d, "documents"), "doc_id", "text")
-
-
 _LINKS = """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a[^>]*href="([^"]*)"', 1)) AS href FROM pages)"""
 
 
@@ -425,12 +421,6 @@ def link_filter_frontier(spark, d):
     return links.where(F.col("href").startswith("/") & ~F.col("href").endswith(".html") & (F.length("href") > 3)).distinct()
 
 
-@query()
-def page_label_table(spark, d):
-    pages = table(spark, d, "pages")
-    return pages.select("page_id", "html").lateralJoin(H.LabelTable(F.col("html").outer())).select("page_id", "label", "value")
-
-
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
 def event_props_json(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
@@ -480,9 +470,9 @@ def pair_distance(spark, d):
     return _f(L.pairs_within(_points(spark, d), 0.03).select("i", "j", "d"))
 
 
-@query(_PAIRS + ", f AS (SELECT *, 300 * pow(d / 0.02::DOUBLE, 0) * exp(-pow(d / 0.02::DOUBLE, 2)) / 0.02::DOUBLE AS f FROM d) SELECT i AS id, round(sum(f * dx), 6) AS fx, round(sum(f * dy), 6) AS fy, round(sum(f * dz), 6) AS fz FROM f GROUP BY i")
+@query(_PAIRS.replace("0.03", "0.06") + ", f AS (SELECT *, 300 * pow(d / 0.02::DOUBLE, 0) * exp(-pow(d / 0.02::DOUBLE, 2)) / 0.02::DOUBLE AS f FROM d) SELECT i AS id, round(sum(f * dx), 6) AS fx, round(sum(f * dy), 6) AS fy, round(sum(f * dz), 6) AS fz FROM f GROUP BY i")
 def repulsion_short(spark, d):
-    return _f(L.repulsion(L.pairs_within(_points(spark, d), 0.03), 300.0, 2.0, 0.02))
+    return _f(L.repulsion(L.pairs_within(_points(spark, d), 0.06), 300.0, 2.0, 0.02))
 
 
 @query(_PAIRS + ", f AS (SELECT *, 3 / pow(pow(d, 2) + 0.001::DOUBLE, 1.5::DOUBLE) AS f FROM d) SELECT i AS id, round(sum(f * dx), 6) AS fx, round(sum(f * dy), 6) AS fy, round(sum(f * dz), 6) AS fz FROM f GROUP BY i")
@@ -608,11 +598,14 @@ def ellipsoid_forces(spark, d):
 @query()
 def force_simulation(spark, d):
     p = _points(spark, d)
-    return L.simulate(p, _chain(p), rounds=3, k=0.01, amplitude=0.001, radius=0.02, reach=1.5)[0]
+    return L.simulate(p, _chain(p), rounds=3, k=0.01, amplitude=0.001, radius=0.02)[0]
 
 
-@query()
+@query("SELECT date_trunc('hour', ts) AS hour, count(DISTINCT user_id) AS users, count(*) AS events FROM events GROUP BY ALL")
 def hourly_users(spark, d):
     from quillnet.streaming.cooccurrence import hourly_users as hourly
 
     return hourly(table(spark, d, "events"))
+
+
+from quillnet.plans import records, wordlists  # noqa: E402, F401

@@ -25,11 +25,13 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local folder is made only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, one is made for a local master; a cluster must name it."""
     found = spark.conf.get(SHARED_DIR, None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"set {SHARED_DIR} to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -40,7 +42,18 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillnet-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what ``cut`` wrote for df, which nothing may read any more: rounds drop what the round before has left."""
+    path = getattr(df, "_cut_path", None)
+    if path:
+        context = df.sparkSession.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from xml.sax.saxutils import quoteattr
+from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,17 +35,32 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
+_GRAPHML_TYPES = {"string": "string", "bigint": "long", "int": "int", "double": "double", "boolean": "boolean"}
+
+
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, max_rows: int = 1_000_000) -> None:
-    """One GraphML file on the driver's disk, for graphs of bounded size; rows stream through."""
+    """One GraphML file on the driver's disk, for graphs of bounded size; rows stream through.
+
+    Further columns of nodes and edges become attributes of their own types (others are written as text); nulls are left out.
+    """
     if nodes.count() + edges.count() > max_rows:
         raise ValueError(f"more than {max_rows} rows: export the tables instead")
+    keys, of = [], {"node": nodes.drop("id"), "edge": edges.drop("src", "dst")}
+    for kind, df in of.items():
+        keys += [(f"d{len(keys) + i}", kind, c, _GRAPHML_TYPES.get(t, "string")) for i, (c, t) in enumerate(df.dtypes)]
+
+    def data(kind: str, row) -> str:
+        return "".join(f'<data key="{k}">{escape(str(row[c]))}</data>' for k, of_kind, c, _ in keys if of_kind == kind and row[c] is not None)
+
     with open(path, "w", encoding="utf-8") as f:
         f.write('<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n')
-        f.write('<key id="d0" for="edge" attr.name="weight" attr.type="double"/>\n<graph edgedefault="undirected">\n')
-        for r in nodes.select("id").toLocalIterator():
-            f.write(f"<node id={quoteattr(str(r[0]))}></node>\n")
-        for r in edges.select("src", "dst", "weight").toLocalIterator():
-            f.write(f'<edge source={quoteattr(str(r[0]))} target={quoteattr(str(r[1]))}><data key="d0">{float(r[2])}</data></edge>\n')
+        for k, kind, c, t in keys:
+            f.write(f'<key id="{k}" for="{kind}" attr.name={quoteattr(c)} attr.type="{t}"/>\n')
+        f.write('<graph edgedefault="undirected">\n')
+        for r in nodes.toLocalIterator():
+            f.write(f"<node id={quoteattr(str(r['id']))}>{data('node', r)}</node>\n")
+        for r in edges.toLocalIterator():
+            f.write(f"<edge source={quoteattr(str(r['src']))} target={quoteattr(str(r['dst']))}>{data('edge', r)}</edge>\n")
         f.write("</graph>\n</graphml>\n")
 
 
@@ -115,7 +130,7 @@ class _SqliteReader(DataSourceReader):
 
         cols = ", ".join('"' + c.replace('"', '""') + '"' for c in self.columns)
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as con:
-            yield from con.execute(f'SELECT {cols} FROM "{self.table}" WHERE abs("{self.key}") % ? = ?', (partition.n, partition.k))
+            yield from con.execute(f'SELECT {cols} FROM "{self.table}" WHERE coalesce(abs("{self.key}"), 0) % ? = ?', (partition.n, partition.k))
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, partitions: int = 8, **options: str) -> DataFrame:
@@ -145,3 +160,25 @@ def fetch_pages(urls: DataFrame, fetchers: list[Callable[[str], str | None]], ur
             yield pdf[[url, "html"]]
 
     return urls.select(url).mapInPandas(get, f"{url} string, html string")
+
+
+def create_if_missing(spark: SparkSession, path: str, schema: str) -> bool:
+    """An empty table at path with this schema, unless there is one already; whether it was made."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        spark.read.parquet(path).schema  # noqa: B018
+    except AnalysisException:
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+        return True
+    return False
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line) of every regular file under a folder."""
+    return spark.read.text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("value").alias("line"))
+
+
+def parse_reply(reply, schema: str = "array<struct<lemma:string,tag:string>>"):
+    """A service's JSON reply as values of a schema; null where it does not fit. Nothing is evaluated."""
+    return F.from_json(reply, schema, {"mode": "PERMISSIVE"})

@@ -38,6 +38,25 @@ def test_louvain_finds_two_cliques(spark):
     assert graph.modularity(e, part).first()[0] > single
 
 
+def test_louvain_contracts_its_communities(spark):
+    # A ring of twelve triangles: moves of single nodes find the triangles, only the next level joins some of them.
+    e = [(3 * t + i, 3 * t + j, 2) for t in range(12) for i in range(3) for j in range(i + 1, 3)]
+    e += [(min(3 * t, (3 * t + 4) % 36), max(3 * t, (3 * t + 4) % 36), 1) for t in range(12)]
+    nodes = spark.createDataFrame([(k,) for k in range(36)] + [(99,)], "id long")
+    part = graph.louvain(nodes, edges(spark, e))
+    of = {r["id"]: r["community"] for r in part.collect()}
+    assert len(of) == 37 and of[99] == 99
+    triangles = nodes.where("id < 99").withColumn("community", F.floor(F.col("id") / 3))
+    assert graph.modularity(edges(spark, e), part).first()[0] >= graph.modularity(edges(spark, e), triangles).first()[0] - 1e-9
+    assert graph.louvain(nodes, edges(spark, [])).count() == 37
+
+
+def test_hot_groups_are_dealt_out(spark):
+    m = spark.createDataFrame([(1, k) for k in range(40)] + [(2, k) for k in range(5)] + [(None, 1), (1, None), (1, 3)], "g int, i long")
+    plain = {tuple(r) for r in graph.cooccurrence(m, "g", "i").collect()}
+    assert {tuple(r) for r in graph.cooccurrence(m, "g", "i", hot=7).collect()} == plain and len(plain) == 40 * 39 // 2
+
+
 def test_betweenness_of_a_path(spark):
     nodes = spark.createDataFrame([(1,), (2,), (3,)], "id long")
     got = {r["id"]: r["betweenness"] for r in graph.betweenness(nodes, edges(spark, [(1, 2, 1), (2, 3, 1)])).collect()}
@@ -88,7 +107,7 @@ def test_skipgrams_of_three_tokens(spark):
 
 def test_label_table_and_seeds(spark):
     page = spark.createDataFrame([("<table><tr><th>Year</th><td>1999\n2000</td></tr></table>",)], "html string")
-    got = page.lateralJoin(html.LabelTable(F.col("html").outer())).select("label", "value").collect()
+    got = page.select(F.inline(html.label_values(F.col("html")))).collect()
     assert [tuple(r) for r in got] == [("Year", "1999"), ("Year", "2000")]
     pagers = spark.createDataFrame([("a", "x?p=4"), ("b", None)], "initial string, last_link string")
     assert [r["page"] for r in html.seed_pages(pagers).orderBy("page").collect()] == [2, 3, 4]
@@ -139,3 +158,53 @@ def test_stream_of_events(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("hours").agg(F.sum("events")).first()[0] == events.count()
+
+
+def test_typed_graphml_and_tables(spark, tmp_path):
+    nodes = spark.createDataFrame([("a & b", 3, 0.5), ("c", None, 1.0)], "id string, partition long, pr double")
+    e = spark.createDataFrame([("a & b", "c", 4.0)], "src string, dst string, weight double")
+    files.write_graphml(nodes, e, f"{tmp_path}/g.graphml")
+    assert 'attr.name="pr" attr.type="double"' in open(f"{tmp_path}/g.graphml").read()
+    back, be = files.read_graphml(spark, f"{tmp_path}/g.graphml")
+    assert {(r["id"], r["data"].get("partition"), r["data"]["pr"]) for r in back.collect()} == {("a & b", "3", "0.5"), ("c", None, "1.0")}
+    assert be.first()["weight"] == 4.0
+    assert files.create_if_missing(spark, f"{tmp_path}/t", "a int") and not files.create_if_missing(spark, f"{tmp_path}/t", "a int")
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "1.txt").write_text("x\ny\n")
+    (tmp_path / "d" / "2.txt").write_text("z\n")
+    assert {tuple(r) for r in files.read_lines(spark, f"{tmp_path}/d").collect()} == {("1.txt", "x"), ("1.txt", "y"), ("2.txt", "z")}
+
+
+def test_sqlite_keeps_null_keys(spark, tmp_path):
+    import sqlite3
+
+    with sqlite3.connect(f"{tmp_path}/b.db") as con:
+        con.execute("CREATE TABLE t (k INTEGER, v TEXT)")
+        con.executemany("INSERT INTO t VALUES (?, ?)", [(None, "n"), (-3, "m"), (4, "p")])
+    spark.dataSource.register(files.SqliteSource)
+    got = spark.read.format("sqlite").schema("k long, v string").option("table", "t").option("partitions", "2").option("key", "k").load(f"{tmp_path}/b.db")
+    assert {r["v"] for r in got.collect()} == {"n", "m", "p"}
+
+
+def test_links_inserted_once(spark):
+    old = spark.createDataFrame([(1, None), (2, 5)], "a int, b int")
+    new = spark.createDataFrame([(1, None), (2, 5), (3, 1), (3, 1), (None, None)], "a int, b int")
+    got = sorted(map(repr, relational.insert_if_absent(old, new, ["a", "b"]).collect()))
+    assert len(got) == 4 and relational.insert_if_absent(old.limit(0), new.limit(0), ["a"]).count() == 0
+
+
+def test_end_forces_and_noise(spark):
+    f = spark.createDataFrame([(1, 0, 1.0, 0.0, 0.0), (2, 0, 2.0, 1.0, 0.0), (2, 4, 9.0, 9.0, 9.0)], "link long, seg int, fx double, fy double, fz double")
+    ends = spark.createDataFrame([(1, 0, 7), (2, 0, 7)], "link long, seg int, id long")
+    assert [tuple(r) for r in layout.end_forces(f, ends).collect()] == [(7, 3.0, 1.0, 0.0)]
+    p = spark.createDataFrame([(k, 0.0, 0.0, 0.0) for k in range(50)], "id long, x double, y double, z double")
+    assert layout.noise(p, 0, 1.0, 10.0, 3).agg(F.stddev("x")).first()[0] > 10 * layout.noise(p, 50, 1.0, 10.0, 3).agg(F.stddev("x")).first()[0]
+
+
+def test_language_filter_and_topics(spark):
+    docs = spark.createDataFrame([(k, "the cat and the dog were there with them\nder Hund und die Katze", "en") for k in range(20)] + [(k, "der Hund und die Katze waren nicht da", "de") for k in range(20, 40)], "id long, text string, lang string")
+    kept = corpus.language_filter(docs.where("lang = 'en'").unionByName(docs.where("lang = 'de'")), "id", "text", "lang", "de")
+    assert {r["doc"] for r in kept.collect() if r["doc"] >= 20} == set(range(20, 40))
+    assert not [r for r in kept.collect() if r["doc"] < 20 and r["line"] == 0]
+    topics = corpus.lda_topics(docs, "text", k=2, passes=3)
+    assert topics.count() == 20 and topics.where("weight < 0 or term is null").count() == 0
