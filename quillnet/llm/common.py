@@ -32,9 +32,18 @@ def map_batches(
     df: DataFrame,
     f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: T.StructType | str,
+    rows: int | None = 1024,
 ) -> DataFrame:
+    """df.mapInArrow(f), whose batches come in slices of so many rows: texts become Python objects a few at a time."""
+
+    def sliced(batches):
+        for batch in batches:
+            step = rows or max(1, batch.num_rows)
+            for i in range(0, batch.num_rows, step):
+                yield batch.slice(i, step)
+
     def g(batches):
-        yield from f(batches)
+        yield from f(sliced(batches))
         release()
 
     return df.mapInArrow(g, schema)
@@ -51,15 +60,25 @@ def map_groups(groups: GroupedData, f: Callable[[pa.Table], pa.Table], schema: T
     return groups.applyInArrow(g, schema)
 
 
+#: A Python worker of less memory than this keeps what it has.
+KEPT_BYTES = 256_000_000
+
+
 def release() -> None:
-    """Gives memory that a Python worker no longer uses back to the machine: workers outlive their tasks."""
+    """Gives memory that a large Python worker no longer uses back to the machine: workers outlive their tasks."""
     import ctypes
-    import gc
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-        libc.malloc_trim(0)
+    import os
+
+    try:
+        with open("/proc/self/statm") as f:
+            held = int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+    except OSError:
+        return
+    if held > KEPT_BYTES:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
 
 
 def with_fields(df: DataFrame, carry: list[str], *new: T.StructField) -> T.StructType:

@@ -278,7 +278,7 @@ def _confident(pool: DataFrame, per_round: int, share: float):
                 extra = [pa.array(list(cols[1]), pa.int32()), pa.array(list(cols[2]), pa.int32()), pa.array(list(cols[3]), pa.float64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *extra], [*part.schema.names, "by", "is", "sure"])
 
-        found = cut(map_batches(pool, surest, T.StructType([*pool.schema, *T._parse_datatype_string("`by` int, `is` int, sure double")])))
+        found = cut(map_batches(pool, surest, T.StructType([*pool.schema, *T._parse_datatype_string("`by` int, `is` int, sure double")]), rows=None))
         out = []
         for k in (0, 1):
             rows = []
