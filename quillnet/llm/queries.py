@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillnet.llm.conversations import repair_conversations
 from quillnet.llm.decontaminate import decontaminate
 from quillnet.llm.embeddings import embedding_links
 from quillnet.llm.jaccard import jaccard_components
@@ -15,6 +16,7 @@ from quillnet.llm.quality import score_quality
 from quillnet.llm.tokens import encoded_lengths, length_histogram
 from quillnet.llm.toxicity import score_toxicity, trains
 from quillnet.llm.urls import filter_urls
+from quillnet.llm.whitening import whiten
 from quillnet.session import table
 
 
@@ -80,6 +82,16 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "content_score", "metadata_score", "score", "predicted")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of every valid vector."""
+    return whiten(table(spark, sf_dir, "embeddings"), n_components=8, carry=["vec_id"])
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage, faults, cheapest repair and its digest of every conversation."""
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_language": op2_language,
@@ -91,4 +103,6 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_toxicity": op9_toxicity,
     "op10_embeddings": op10_embeddings,
+    "op12_whitening": op12_whitening,
+    "op13_conversations": op13_conversations,
 }

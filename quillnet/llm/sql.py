@@ -95,6 +95,45 @@ ORACLES = {
     "op10_embeddings": OP10,
 }
 
+OP13 = r"""
+WITH RECURSIVE b AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')) AS k FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(k) + 1), lambda i: ascii(k[i])::BIGINT)),
+        lambda c, x: list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)),
+        4294967295::BIGINT) % 20 AS h FROM b),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+        CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+o AS MATERIALIZED (SELECT coalesce('=' || conv_id::VARCHAR, '') AS c, *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+m AS MATERIALIZED (SELECT c, i, turn, role, text, role[1] AS a, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+        row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut, lag(role[1]) OVER (PARTITION BY c ORDER BY i) AS before FROM o),
+f AS MATERIALIZED (SELECT *, blank OR again AS gone, NOT blank AND NOT again AND cut AS open FROM m),
+n AS (SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate,
+        count(*) FILTER (open) AS truncated, count(*) FILTER (before IS NOT NULL AND before || a NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY c),
+chain AS (SELECT * FROM (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 3, 'I'), (1, 2, 3, 'I'), (3, 2, 3, 'I'), (2, 3, 3, 'I'), (0, 3, 6, 'II'), (1, 3, 6, 'II')) v(s, t, cost, letters)),
+step AS (SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)) v(s, a, t)),
+turn_to AS (SELECT * FROM (VALUES (0, 2), (1, 2), (3, 2), (2, 3)) v(s, t)),
+edit AS MATERIALIZED (
+  SELECT c, i, s.s, s.s AS t, 4 AS cost, 'D' AS letter FROM f, (SELECT DISTINCT s FROM chain) s
+  UNION ALL SELECT c, i, s, t, CASE WHEN open THEN 3 ELSE 0 END, 'K' FROM f JOIN step USING (a) WHERE NOT gone
+  UNION ALL SELECT c, i, s, t, CASE WHEN open THEN 6 ELSE 3 END, 'R' FROM f, turn_to WHERE NOT gone),
+walk AS (
+  SELECT c, 0::BIGINT AS i, t AS s, {'cost': cost::BIGINT, 'audit': letters} AS best FROM (SELECT DISTINCT c FROM f) z, chain WHERE s = 0
+  UNION ALL
+  SELECT w.c, w.i + 1, k.t, min({'cost': w.best.cost + e.cost + k.cost, 'audit': w.best.audit || e.letter || k.letters})
+  FROM walk w JOIN edit e ON e.c = w.c AND e.i = w.i + 1 AND e.s = w.s JOIN chain k ON k.s = e.t GROUP BY w.c, w.i, k.t),
+won AS (SELECT c, min(best) AS best FROM walk JOIN n USING (c) WHERE walk.i = n.n AND s IN (0, 3) GROUP BY c),
+letter AS (SELECT c, p, x, count(*) FILTER (x <> 'I') OVER (PARTITION BY c ORDER BY p) AS i, count(*) FILTER (x <> 'D') OVER (PARTITION BY c ORDER BY p) - 1 AS said,
+        count(*) FILTER (x <> 'D') OVER (PARTITION BY c) % 2 AS shape
+        FROM (SELECT c, best.audit AS audit, unnest(range(1, len(best.audit) + 1)) AS p, audit[p] AS x FROM won)),
+line AS (SELECT l.c, p, CASE WHEN x = 'K' THEN role WHEN (said - shape) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN x = 'I' THEN '' ELSE text END AS line
+        FROM letter l LEFT JOIN f ON f.c = l.c AND f.i = l.i WHERE x <> 'D'),
+told AS (SELECT c, string_agg(line, chr(10) ORDER BY p) AS told FROM line GROUP BY c)
+SELECT q.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(told, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce('=' || conv_id::VARCHAR, '') AS c FROM conversations) q LEFT JOIN n USING (c) LEFT JOIN won USING (c) LEFT JOIN told USING (c)
+"""
+ORACLES["op13_conversations"] = OP13
+
 _RULES = ", ".join(f"('{r.text}', '{r.host}', '{r.path}', '{r.verdict}')" for r in RULES)
 
 
