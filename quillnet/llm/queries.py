@@ -13,6 +13,7 @@ from quillnet.llm.language import held_out, identify_languages
 from quillnet.llm.licenses import scan_licenses
 from quillnet.llm.packing import pack_documents
 from quillnet.llm.quality import score_quality
+from quillnet.llm.substrings import remove_repeats
 from quillnet.llm.tokens import encoded_lengths, length_histogram
 from quillnet.llm.toxicity import score_toxicity, trains
 from quillnet.llm.urls import filter_urls
@@ -82,6 +83,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "content_score", "metadata_score", "score", "predicted")
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the windows of 35 words that occur twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, window=35, carry=["doc_id"]).drop("spans")
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first eight whitened components of every valid vector."""
     return whiten(table(spark, sf_dir, "embeddings"), n_components=8, carry=["vec_id"])
@@ -103,6 +110,7 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_toxicity": op9_toxicity,
     "op10_embeddings": op10_embeddings,
+    "op11_substrings": op11_substrings,
     "op12_whitening": op12_whitening,
     "op13_conversations": op13_conversations,
 }

@@ -95,6 +95,18 @@ ORACLES = {
     "op10_embeddings": OP10,
 }
 
+OP11 = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS MATERIALIZED (SELECT r, i, g FROM (SELECT r, i, array_to_string(list_slice(w, i, i + 34), ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35))),
+rep AS (SELECT g FROM p GROUP BY g HAVING count(*) > 1),
+hit AS MATERIALIZED (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM p JOIN rep USING (g)),
+gone AS (SELECT r, count(*) AS n FROM hit GROUP BY r),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY j) AS kept FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d) ANTI JOIN hit USING (r, j) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
+ORACLES["op11_substrings"] = OP11
+
 OP13 = r"""
 WITH RECURSIVE b AS (
   SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')) AS k FROM conversations),
