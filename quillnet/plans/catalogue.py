@@ -608,4 +608,4 @@ def hourly_users(spark, d):
     return hourly(table(spark, d, "events"))
 
 
-from quillnet.plans import records, wordlists  # noqa: E402, F401
+from quillnet.plans import pages, records, wordlists  # noqa: E402, F401
