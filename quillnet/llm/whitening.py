@@ -12,6 +12,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
+from pyspark import SparkContext, StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
@@ -87,8 +88,7 @@ def scatter(blocks: BlockMatrix, splits: int) -> np.ndarray:
 def project(blocks: BlockMatrix, matrix: np.ndarray) -> DataFrame:
     """(index, vector): each row of blocks times matrix."""
     d, k = matrix.shape
-    context = blocks.blocks.context
-    one = context.parallelize([((0, 0), Matrices.dense(d, k, matrix.ravel(order="F").tolist()))], 1)
+    one = SparkContext.getOrCreate().parallelize([((0, 0), Matrices.dense(d, k, matrix.ravel(order="F").tolist()))], 1)
     rows = blocks.multiply(BlockMatrix(one, d, k)).toIndexedRowMatrix()
     return callMLlibFunc("getIndexedRows", rows._java_matrix_wrapper._java_model)
 
@@ -119,7 +119,7 @@ def fit(rows: DataFrame, x: str, number: str, rows_per_block: int) -> tuple[Fitt
         return None
     n, sums, largest = found[0]["n"], [int(r["s"]) for r in found], max(r["largest"] for r in found)
     height = rows.agg(F.max(number)).first()[0] + 1
-    blocks = centred_blocks(rows, x, number, n, sums, height, rows_per_block)
+    blocks = centred_blocks(rows, x, number, n, sums, height, rows_per_block).persist(StorageLevel.MEMORY_AND_DISK)
     splits = max(1, min(-(-height // rows_per_block), rows.sparkSession.sparkContext.defaultParallelism * 4, 4096))
     v = scatter(blocks, splits) / n
     values, vectors = np.linalg.eigh((v + v.T) / 2)
@@ -162,6 +162,7 @@ def whiten(
     found, blocks, height, largest = fitted
     k = min(n_components, len(found.sums))
     z = cut(project(blocks, found.matrix(k)).select(F.col("index").alias(number), vector_to_array("vector").alias("z")))
+    blocks._java_matrix_wrapper._java_model.blocks().unpersist(False)
     live = rows.select(*carry, number, _deviation(x, found.n, found.sums, largest).alias("deviation"))
     # Numbers that no row bears are rows of zeros in the blocks.
     error = _identity_error(z if found.n == height else z.join(rows.select(number), number, "left_semi"), k, found.n)
