@@ -34,8 +34,10 @@ from quillnet.session import cut, discard
 
 NEW = ("n_words", "n_removed", "spans", "kept_sha256")
 CHUNK_BYTES = 1 << 20
-#: Passages of a shard, on average; an anchor with more different ones is split into windows.
-SHARD_PASSAGES = 20_000
+#: Passages of a shard, on average.
+SHARD_PASSAGES = 5_000
+#: An anchor with more different passages is split into windows.
+HOT_PASSAGES = 20_000
 SIEVE_BITS = 28
 _U = np.uint64
 _R = _U(0x9E3779B97F4A7C15)
@@ -249,7 +251,7 @@ def _search(window: int) -> Callable[[pa.Table], pa.Table]:
     return search
 
 
-def repeated_passages(texts: DataFrame, column: str, window: int, anchor: int, shard_passages: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+def repeated_passages(texts: DataFrame, column: str, window: int, anchor: int, shard_passages: int, hot_passages: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """(a, p, hits) of passages that hold repeated windows, the occurrences, and the anchors that were split."""
     hot = np.zeros(0, np.int64)
     while True:
@@ -257,7 +259,7 @@ def repeated_passages(texts: DataFrame, column: str, window: int, anchor: int, s
         seen = _occurrences(texts, column, window, anchor, hot, Sieve(anchors, "a"))
         different = cut(seen.groupBy("a", "p").agg(F.sum("n").alias("n"), F.min("d").alias("d")))
         # A whole window has no second passage, so the next round finds no such anchor.
-        many = [] if len(hot) else different.groupBy("a").count().where(F.col("count") > shard_passages).select("a").collect()
+        many = [] if len(hot) else different.groupBy("a").count().where(F.col("count") > hot_passages).select("a").collect()
         if not many:
             break
         hot = np.sort(np.array([r["a"] for r in many], np.int64))
@@ -301,6 +303,7 @@ def remove_repeats(
     carry: list[str] | None = None,
     anchor: int = 8,
     shard_passages: int = SHARD_PASSAGES,
+    hot_passages: int = HOT_PASSAGES,
 ) -> DataFrame:
     """carry, n_words, n_removed, spans (first word and the word after the last, of what goes), kept_sha256 of every document.
 
@@ -314,7 +317,7 @@ def remove_repeats(
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in NEW]
     text, key, hits_col = fresh(docs, "_text"), fresh(docs, "_d"), fresh(docs, "_hits")
     texts = docs.select(F.col(text_col).alias(text))
-    found, seen, hot = repeated_passages(texts, text, window, anchor, shard_passages)
+    found, seen, hot = repeated_passages(texts, text, window, anchor, shard_passages, hot_passages)
     back = seen.select("a", "p", "d").join(found, ["a", "p"]).groupBy("d", "a", "p").agg(F.max("hits").alias("hits"))
     hits = cut(back.groupBy("d").agg(F.collect_list(F.struct("a", "p", "hits")).alias("hits")))
     test = Sieve(hits, "d").tester()

@@ -52,7 +52,7 @@ def run(spark, texts, **options):
     return [(r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows]
 
 
-@pytest.mark.parametrize("words,options", [(400, {}), (3, {}), (400, {"shard_passages": 3}), (12, {"shard_passages": 1, "anchor": 2}), (50, {"anchor": 6})])
+@pytest.mark.parametrize("words,options", [(400, {}), (3, {}), (400, {"shard_passages": 3, "hot_passages": 3}), (12, {"shard_passages": 1, "hot_passages": 1, "anchor": 2}), (50, {"anchor": 6})])
 def test_brute_force(spark, words, options):
     texts = corpus(random.Random(words), 60, [f"w{i}" for i in range(words)], 60, 40)
     assert run(spark, texts, window=12, **{"anchor": 4, **options}) == brute(texts, 12)
@@ -72,7 +72,7 @@ def test_one_text_is_most_of_the_table_and_a_common_line(spark):
     same = " ".join(word() for _ in range(60))
     texts = [same] * 200 + [" ".join([*(word() for _ in range(9)), *line, *(word() for _ in range(9))]) for _ in range(200)]
     texts += texts[-3:]
-    assert run(spark, texts, window=12, anchor=4, shard_passages=40) == brute(texts, 12)
+    assert run(spark, texts, window=12, anchor=4, shard_passages=40, hot_passages=40) == brute(texts, 12)
 
 
 def test_empty_table_and_kept_text(spark):
