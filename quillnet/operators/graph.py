@@ -35,6 +35,31 @@ def named_cooccurrence(members: DataFrame, group: str, name: str) -> tuple[DataF
     return m.select(F.col(name).alias("id")).distinct(), cooccurrence(m, group, name)
 
 
+def shared_contributors(links: DataFrame, node: str, contributor: str, min_degree: int = 300, block: int = 2000) -> DataFrame:
+    """(src, dst, weight) between nodes of more than min_degree neighbours; neighbours share a contributor, weight is how many.
+
+    A node has at most as many neighbours as its contributors have other nodes. Nodes for which that is too few go before any pair
+    is made. The pairs of a contributor are dealt in blocks: no key meets more than ``block`` times ``block`` of them.
+    """
+    m = cut(links.select(F.col(node).alias("n"), F.col(contributor).alias("c")).where("n is not null and c is not null").distinct())
+    size = m.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
+    sized = cut(m.join(size, "c").withColumn("parts", F.ceil(F.col("size") / block).cast("int")))
+    able = cut(sized.groupBy("n").agg(F.sum(F.col("size") - 1).alias("most")).where(F.col("most") > min_degree).select("n"))
+    own = F.pmod(F.xxhash64("n"), F.col("parts")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        a = left.select("c", F.col("n").alias("src"), own.alias("i"), every.alias("j"))
+        b = right.select("c", F.col("n").alias("dst"), own.alias("j"), every.alias("i"))
+        return a.join(b, ["c", "i", "j"]).where("src <> dst")
+
+    first = sized.join(able, "n", "left_semi")
+    degree = pairs(first, sized).select("src", "dst").distinct().groupBy(F.col("src").alias("n")).agg(F.count(F.lit(1)).alias("degree"))
+    kept = cut(degree.where(F.col("degree") > min_degree).select("n"))
+    last = cut(sized.join(kept, "n", "left_semi"))
+    return pairs(last, last).where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+
+
 def ends(edges: DataFrame) -> DataFrame:
     """Each edge from both of its ends: (id, other, weight)."""
     return edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("id"), F.col("src").alias("other")))).alias("e"), "weight").select("e.id", "e.other", "weight")

@@ -122,6 +122,45 @@ def polyline(links: DataFrame, segs: int) -> DataFrame:
     return p.select("link", "seg", *[(F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * t).alias(c) for c in XYZ])
 
 
+def resample(path: DataFrame, n: int, by: str = "index", link: str = "link", seg: str = "seg") -> DataFrame:
+    """(link, seg, x, y, z): each path as n points, evenly spaced by its numbering or, by="length", along its length.
+
+    Each piece between two neighbouring points yields the new points that fall on it, so no path is gathered. Points are taken in
+    order of ``seg``. A path of one point is that point n times.
+    """
+    rows = path.select(F.col(link).alias("link"), F.col(seg).alias("_seg"), *XYZ)
+    w = W.partitionBy("link").orderBy("_seg")
+    nxt = {c: F.lead(c).over(w) for c in XYZ}
+    gap = F.sqrt(sum((nxt[c] - F.col(c)) * (nxt[c] - F.col(c)) for c in XYZ)) if by == "length" else F.when(F.lead("_seg").over(w).isNotNull(), 1.0)
+    pieces = rows.select("link", "_seg", *XYZ, *[nxt[c].alias(f"_{c}") for c in XYZ], F.coalesce(gap, F.lit(0.0)).alias("_gap"), F.lead("_seg").over(w).isNull().alias("_last"))
+    at = pieces.withColumn("_to", F.sum("_gap").over(w)).withColumn("_from", F.col("_to") - F.col("_gap"))
+    whole = at.groupBy("link").agg(F.max("_to").alias("_all"))
+    step = F.col("_all") / (n - 1)
+    # A new point on the border of two pieces belongs to the second; the path's end to its last point.
+    first = F.when(F.col("_all") == 0, 0).otherwise(F.ceil(F.col("_from") / step - 1e-9))
+    after = F.when(F.col("_last"), n).when(F.col("_all") == 0, 0).otherwise(F.least(F.ceil(F.col("_to") / step - 1e-9), F.lit(n - 1)))
+    points = at.join(whole, "link").withColumn("_a", first.cast("int")).withColumn("_b", after.cast("int")).withColumn("_a", F.when(F.col("_last"), F.least("_a", F.lit(n - 1))).otherwise(F.col("_a")))
+    made = points.where("_b > _a").withColumn("seg", F.explode(F.sequence("_a", F.col("_b") - 1)))
+    t = F.greatest(F.least(F.try_divide(F.col("seg") * step - F.col("_from"), F.col("_gap")), F.lit(1.0)), F.lit(0.0))
+    return made.select("link", "seg", *[F.when(F.col("_last") | (F.col("_gap") == 0), F.col(c)).otherwise(F.col(c) + (F.col(f"_{c}") - F.col(c)) * t).alias(c) for c in XYZ])
+
+
+def link_repulsion(points: DataFrame, size: float, amplitude: float, power: float = 2.0, link: str = "link", thickness: str = "thickness") -> DataFrame:
+    """(id, fx, fy, fz) of points (id, link, thickness, x, y, z): short repulsion between points of one cell that belong to different links."""
+    p = cells(points, size).select("id", F.col(link).alias("l"), F.col(thickness).alias("t"), *XYZ, "cx", "cy", "cz")
+    j = p.alias("a").join(p.alias("b"), ["cx", "cy", "cz"]).where("a.l <> b.l")
+    d = j.select(F.col("a.id").alias("i"), (F.col("a.t") + F.col("b.t")).alias("t"), *_delta("a", "b"))
+    u = (F.lit(1e-9) + F.sqrt(sum(F.col(f"d{c}") * F.col(f"d{c}") for c in XYZ))) / F.col("t")
+    return forces(d, amplitude * F.pow(u, power - 2) / F.col("t") * F.exp(-F.pow(u, power)))
+
+
+def fuel_nodes(nodes: DataFrame, radius: str = "radius") -> DataFrame:
+    """(ord, x, y, z, radius) with coordinates cut to whole numbers; of nodes that fall on one place all have the first one's radius."""
+    whole = nodes.select("ord", *[F.col(c).cast("long").alias(c) for c in XYZ], F.col(radius).alias("r"))
+    first = whole.groupBy(*XYZ).agg(F.min_by("r", "ord").alias("radius"))
+    return whole.join(first, list(XYZ)).select("ord", *XYZ, "radius")
+
+
 def spheres(points: DataFrame, radius: Column) -> DataFrame:
     """(id, x, y, z, r): the sphere of each node."""
     return points.select("id", *XYZ, radius.alias("r"))

@@ -475,11 +475,6 @@ def repulsion_short(spark, d):
     return _f(L.repulsion(L.pairs_within(_points(spark, d), 0.06), 300.0, 2.0, 0.02))
 
 
-@query(_PAIRS + ", f AS (SELECT *, 3 / pow(pow(d, 2) + 0.001::DOUBLE, 1.5::DOUBLE) AS f FROM d) SELECT i AS id, round(sum(f * dx), 6) AS fx, round(sum(f * dy), 6) AS fy, round(sum(f * dz), 6) AS fz FROM f GROUP BY i")
-def repulsion_long(spark, d):
-    return _f(L.long_range(L.pairs_within(_points(spark, d), 0.03), 300.0, 0.01))
-
-
 _CHAIN = _P + ", o AS (SELECT *, lead(id) OVER (PARTITION BY link ORDER BY id) AS nxt FROM p), e AS (SELECT id AS src, nxt AS dst FROM o WHERE nxt IS NOT NULL)"
 
 
@@ -497,20 +492,6 @@ def spring_force(spark, d):
     return _f(L.springs(p, _chain(p), 50.0))
 
 
-_STEP = ", f AS (SELECT i AS id, sum(3 / pow(pow(d, 2) + 0.001::DOUBLE, 1.5::DOUBLE) * dx) AS fx, sum(3 / pow(pow(d, 2) + 0.001::DOUBLE, 1.5::DOUBLE) * dy) AS fy, sum(3 / pow(pow(d, 2) + 0.001::DOUBLE, 1.5::DOUBLE) * dz) AS fz FROM d GROUP BY i)"
-
-
-@query(_PAIRS + _STEP + " SELECT p.id, round(x + asinh(0.01::DOUBLE * coalesce(fx, 0)), 6) AS x, round(y + asinh(0.01::DOUBLE * coalesce(fy, 0)), 6) AS y, round(z + asinh(0.01::DOUBLE * coalesce(fz, 0)), 6) AS z FROM p LEFT JOIN f USING (id)")
-def damped_step(spark, d):
-    p = _points(spark, d)
-    return _f(L.step(p, L.long_range(L.pairs_within(p, 0.03), 300.0, 0.01), 0.01, 1.0))
-
-
-@query(_PAIRS + _STEP + ", m AS (SELECT max(sqrt(fx * fx + fy * fy + fz * fz)) AS fmax FROM f) SELECT round(fmax, 6) AS fmax, CASE WHEN 0.1::DOUBLE > 0.1::DOUBLE / fmax THEN 0.05::DOUBLE WHEN 0.1::DOUBLE < 0.2::DOUBLE / fmax THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END AS dt FROM m")
-def adaptive_dt(spark, d):
-    return _f(L.adaptive_dt(L.long_range(L.pairs_within(_points(spark, d), 0.03), 300.0, 0.01), 0.1, 0.1))
-
-
 _CELL = _P + ", c AS (SELECT *, floor(x / 0.05::DOUBLE)::BIGINT AS cx, floor(y / 0.05::DOUBLE)::BIGINT AS cy, floor(z / 0.05::DOUBLE)::BIGINT AS cz FROM p)"
 
 
@@ -608,4 +589,4 @@ def hourly_users(spark, d):
     return hourly(table(spark, d, "events"))
 
 
-from quillnet.plans import pages, records, wordlists  # noqa: E402, F401
+from quillnet.plans import exports, forces, pages, records, wordlists  # noqa: E402, F401

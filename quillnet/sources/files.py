@@ -1,9 +1,8 @@
-"""Sources and sinks: TSV, GraphML, nested JSON, stop-words, SQLite, JDBC, pages, per-group text."""
+"""Sources, and sinks that are one call: TSV, GraphML, nested JSON, stop-words, SQLite, JDBC, pages, per-group text. ``writers`` has the others."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +23,8 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """nodes (id, data) and edges (src, dst, weight); data are mapped from key ids to attribute names."""
     data = "data array<struct<_key:string,_VALUE:string>>"
     keys = spark.read.format("xml").option("rowTag", "key").schema("_id string, `_attr.name` string").load(path)
-    names = {r[0]: r[1] for r in keys.limit(1000).collect()}
+    # One name for each attribute of the graph, as many as its tables have columns.
+    names = {r[0]: r[1] for r in keys.distinct().collect()}
     known = F.create_map(*[F.lit(x) for kv in (names or {"": ""}).items() for x in kv])
     attrs = F.map_from_entries(F.transform(F.coalesce("data", F.array().cast("array<struct<_key:string,_VALUE:string>>")), lambda d: F.struct(F.coalesce(known[d["_key"]], d["_key"]), d["_VALUE"])))
     nodes = spark.read.format("xml").option("rowTag", "node").schema(f"_id string, {data}").load(path)
@@ -35,47 +35,21 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
-_GRAPHML_TYPES = {"string": "string", "bigint": "long", "int": "int", "double": "double", "boolean": "boolean"}
-
-
-def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, max_rows: int = 1_000_000) -> None:
-    """One GraphML file on the driver's disk, for graphs of bounded size; rows stream through.
-
-    Further columns of nodes and edges become attributes of their own types (others are written as text); nulls are left out.
-    """
-    if nodes.count() + edges.count() > max_rows:
-        raise ValueError(f"more than {max_rows} rows: export the tables instead")
-    keys, of = [], {"node": nodes.drop("id"), "edge": edges.drop("src", "dst")}
-    for kind, df in of.items():
-        keys += [(f"d{len(keys) + i}", kind, c, _GRAPHML_TYPES.get(t, "string")) for i, (c, t) in enumerate(df.dtypes)]
-
-    def data(kind: str, row) -> str:
-        return "".join(f'<data key="{k}">{escape(str(row[c]))}</data>' for k, of_kind, c, _ in keys if of_kind == kind and row[c] is not None)
-
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n')
-        for k, kind, c, t in keys:
-            f.write(f'<key id="{k}" for="{kind}" attr.name={quoteattr(c)} attr.type="{t}"/>\n')
-        f.write('<graph edgedefault="undirected">\n')
-        for r in nodes.toLocalIterator():
-            f.write(f"<node id={quoteattr(str(r['id']))}>{data('node', r)}</node>\n")
-        for r in edges.toLocalIterator():
-            f.write(f"<edge source={quoteattr(str(r['src']))} target={quoteattr(str(r['dst']))}>{data('edge', r)}</edge>\n")
-        f.write("</graph>\n</graphml>\n")
-
-
 LAYOUT = (
-    "nodes struct<positions:array<array<double>>,labels:array<string>>, "
+    "nodes struct<positions:array<array<double>>,labels:array<string>,ords:array<long>>, "
     "links map<string,struct<end_points:array<int>,points:array<array<double>>,radius:double,weight:int>>, scale double"
 )
 
 
 def read_layout(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """node rows (ord, label, x, y, z) and link rows (label, a, b, radius, weight, points) of a nested layout document."""
+    """node rows (ord, label, x, y, z) and link rows (label, a, b, radius, weight, points) of a layout document, or of a folder of them.
+
+    ord is the place in the document, or what its ``ords`` say.
+    """
     doc = spark.read.json(path, schema=LAYOUT, multiLine=True)
-    n = doc.select(F.posexplode(F.arrays_zip("nodes.positions", "nodes.labels")).alias("ord", "n"))
+    n = doc.select(F.posexplode(F.arrays_zip("nodes.positions", "nodes.labels", F.coalesce("nodes.ords", F.array().cast("array<long>")).alias("ords"))).alias("at", "n"))
     xyz = [F.col("n.positions")[k].alias(c) for k, c in enumerate("xyz")]
-    nodes = n.select("ord", F.col("n.labels").alias("label"), *xyz)
+    nodes = n.select(F.coalesce("n.ords", F.col("at").cast("long")).alias("ord"), F.col("n.labels").alias("label"), *xyz)
     links = doc.select(F.explode("links").alias("label", "l"))
     return nodes, links.select("label", F.col("l.end_points")[0].alias("a"), F.col("l.end_points")[1].alias("b"), "l.radius", "l.weight", "l.points")
 
