@@ -107,25 +107,48 @@ class FMIndex:
         and occurs ``times`` times by weight; shorter ones may be given shorter, or as 0.
 
         Backward search from the end of each text. Where a match can't be made longer to the left, its last word goes, until
-        less than ``least`` words of the text are left.
+        less than ``least`` words of the text are left. The words that all stretches of ``least`` words of a text have in common
+        are asked first: if they are not there ``times`` times, no such stretch is.
         """
-        n = len(self.sym)
-        found = np.zeros(n, np.int64)
+        found = np.zeros(len(self.sym), np.int64)
         live = np.flatnonzero(self.stop - self.start >= least)
+        live = live[self._hold(np.maximum(self.stop[live] - least, self.start[live]), self.start[live] + least, times)]
         start, end = self.start[live], self.stop[live]
-        at, lo, hi = end - 1, np.zeros(len(live), np.int64), np.full(len(live), n)
+        at, lo, hi = end - 1, np.zeros(len(live), np.int64), np.full(len(live), len(self.sym))
+        # After a text's first failure at a place, the shortest stretch that still counts is asked from its end to that place: if that
+        # fails too, so does all that is left. asks: 0 not yet, 1 being asked, 2 done.
+        asks, place, kept = np.zeros(len(live), np.int8), at, end
         while len(at):
             a, b = self.extend(self.sym[at], lo, hi)
             fits = self.weight[b] - self.weight[a] >= times
-            here = at[fits]
-            found[here] = np.maximum(found[here], end[fits] - here)
-            end = np.where(fits, end, end - 1)
-            at = np.where(fits, at - 1, end - 1)
-            lo, hi = np.where(fits, a, 0), np.where(fits, b, n)
-            on = (at >= start) & (end - start >= least)
-            start, end, at, lo, hi = start[on], end[on], at[on], lo[on], hi[on]
+            own = fits & (asks != 1)
+            found[at[own]] = np.maximum(found[at[own]], end[own] - at[own])
+            shorter, answered = ~fits & (asks != 1), fits & (asks == 1) & (at <= place)
+            shortest = start + least
+            ask = shorter & (asks == 0) & (at < shortest) & (end > shortest)
+            place, kept = np.where(ask, at, place), np.where(ask, end - 1, kept)
+            on = (fits | shorter) & np.where(shorter, end > shortest, answered | (at > start))
+            end = np.where(ask, shortest, np.where(shorter, end - 1, np.where(answered, kept, end)))
+            asks = np.where(ask, 1, np.where(answered | (shorter & (at < shortest)), 2, asks)).astype(np.int8)
+            again = shorter | answered
+            at = np.where(again, end - 1, at - 1)
+            lo, hi = np.where(again, 0, a), np.where(again, len(self.sym), b)
+            start, end, at, lo, hi, asks, place, kept = (v[on] for v in (start, end, at, lo, hi, asks, place, kept))
         return found
 
+    def _hold(self, first: np.ndarray, end: np.ndarray, times: int) -> np.ndarray:
+        """Whether the words from each first to before its end occur ``times`` times by weight; true of no words."""
+        held = np.ones(len(first), bool)
+        who = np.flatnonzero(end > first)
+        at, lo, hi = end[who] - 1, np.zeros(len(who), np.int64), np.full(len(who), len(self.sym))
+        while len(who):
+            lo, hi = self.extend(self.sym[at], lo, hi)
+            fits = self.weight[hi] - self.weight[lo] >= times
+            held[who[~fits]] = False
+            on = fits & (at > first[who])
+            who, at, lo, hi = who[on], at[on] - 1, lo[on], hi[on]
+        return held
+
 
 def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ids from 1 of all words of texts whose words stand one space apart, and the words' number in each text."""

@@ -35,7 +35,7 @@ from quillnet.session import cut, discard
 NEW = ("n_words", "n_removed", "spans", "kept_sha256")
 CHUNK_BYTES = 1 << 20
 #: Passages of a shard, on average.
-SHARD_PASSAGES = 5_000
+SHARD_PASSAGES = 10_000
 #: An anchor with more different passages is split into windows.
 HOT_PASSAGES = 20_000
 SIEVE_BITS = 28
