@@ -50,6 +50,11 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 
 
+def py_split(c: Column) -> Column:
+    """Words between white space of any kind: no-break and other wide spaces, and the separators 1C to 1F and 85, too."""
+    return F.filter(F.split(c, r"[\s\x1C-\x1F\x85\p{Z}]+"), lambda w: w != "")
+
+
 def pos_class(tag: Column) -> Column:
     """V..., Adj..., Adv... as their class, else what stands before an underscore; brackets go, only the first reading counts."""
     t = F.split_part(F.translate(tag, "/[]", ""), F.lit("|"), F.lit(1))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillnet.functions.text import clean_text, decade, pos_class, tokens
 from quillnet.operators.graph import pagerank
-from quillnet.operators.relational import top_k
+from quillnet.functions.repair import repaired
+from quillnet.operators.relational import join_checked, rank_all, top_k
 from quillnet.session import cut
 
 
@@ -38,15 +37,25 @@ def group_sizes(rows: DataFrame, years: DataFrame, year: str) -> DataFrame:
     return out.join(F.broadcast(most)).select("group", "n", F.repeat(F.lit("█"), F.ceil(F.col("n") * 20 / F.col("_most")).cast("int")).alias("bar"))
 
 
-def term_counts(docs: DataFrame, group: str, text: str, stop: list[str] | None = None, min_len: int = 1) -> DataFrame:
+def without_stop(rows: DataFrame, column: str, stop: list[str] | DataFrame | None) -> DataFrame:
+    """rows whose column is no stop-word; stop: a list of a few words, or a table whose first column has them.
+
+    A null is no stop-word. The table is sent to all tasks if it is small, else the rows are dealt by word.
+    """
+    if stop is None:
+        return rows
+    if isinstance(stop, DataFrame):
+        return join_checked(rows, stop.select(F.col(stop.columns[0]).alias(column)).distinct(), column, "left_anti").select(*rows.columns)
+    return rows.where(~F.coalesce(F.col(column).isin(stop), F.lit(False))) if stop else rows
+
+
+def term_counts(docs: DataFrame, group: str, text: str, stop: list[str] | DataFrame | None = None, min_len: int = 1) -> DataFrame:
     """(group, term, n) over white-space tokens of lower-cased texts."""
     t = docs.select(F.col(group).alias("group"), F.explode(tokens(F.lower(text))).alias("term")).where(F.length("term") >= min_len)
-    if stop:
-        t = t.where(~F.col("term").isin(stop))
-    return t.groupBy("group", "term").agg(F.count(F.lit(1)).alias("n"))
+    return without_stop(t.groupBy("group", "term").agg(F.count(F.lit(1)).alias("n")), "term", stop)
 
 
-def term_freq(docs: DataFrame, group: str, text: str, min_count: int = 3, k: int = 200, stop: list[str] | None = None) -> DataFrame:
+def term_freq(docs: DataFrame, group: str, text: str, min_count: int = 3, k: int = 200, stop: list[str] | DataFrame | None = None) -> DataFrame:
     c = term_counts(docs, group, text, stop).where(F.col("n") >= min_count)
     return top_k(c, k, [F.desc("n"), F.col("term")], ["group"])
 
@@ -55,8 +64,10 @@ def skipgrams(docs: DataFrame, text: str, reach: int = 4, min_count: int = 3, gr
     """([group,] a, b, n): ordered token pairs at most ``reach`` apart in one document, held min_count times or more."""
     keys = ["group"] if group else []
     tok = docs.select(*([F.col(group).alias("group")] if group else []), tokens(F.lower(text)).alias("tok"))
-    at = tok.select(*keys, "tok", F.posexplode("tok").alias("i", "a"))
-    pairs = at.select(*keys, "a", F.explode(F.slice("tok", F.col("i") + 2, F.lit(reach))).alias("b"))
+    # A token comes with the few that follow it, never with the whole text.
+    ahead = [F.slice("tok", F.lit(k + 1), F.greatest(F.size("tok") - k, F.lit(0))).alias(f"b{k}") for k in range(1, reach + 1)]
+    at = tok.select(*keys, F.explode(F.arrays_zip(F.col("tok").alias("a"), *ahead)).alias("t"))
+    pairs = at.select(*keys, F.col("t.a").alias("a"), F.explode(F.array(*[F.col(f"t.b{k}") for k in range(1, reach + 1)])).alias("b")).where("b is not null")
     return pairs.groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
 
 
@@ -69,7 +80,7 @@ def keyness(counts: DataFrame) -> DataFrame:
     return counts.join(total, "term").join(size, "group").join(F.broadcast(every)).select("group", "term", "n", score.alias("score"))
 
 
-def keywords(docs: DataFrame, group: str, text: str, stop: list[str], k: int | None = None) -> DataFrame:
+def keywords(docs: DataFrame, group: str, text: str, stop: list[str] | DataFrame, k: int | None = None) -> DataFrame:
     """(group, term, n, score): keyness without stop-words, hyphens written as #, largest first.
 
     In all texts together a hyphen is replaced before the stop-words go, in a group after: a stop-word with a hyphen in it
@@ -77,8 +88,8 @@ def keywords(docs: DataFrame, group: str, text: str, stop: list[str], k: int | N
     """
     counts = cut(term_counts(docs, group, text))
     mark = F.replace(F.col("term"), F.lit("-"), F.lit("#"))
-    whole = counts.withColumn("term", mark).where(~F.col("term").isin(stop)).groupBy("term").agg(F.sum("n").alias("_f"))
-    own = counts.where(~F.col("term").isin(stop)).withColumn("term", mark).groupBy("group", "term").agg(F.sum("n").alias("n"))
+    whole = without_stop(counts.withColumn("term", mark), "term", stop).groupBy("term").agg(F.sum("n").alias("_f"))
+    own = without_stop(counts, "term", stop).withColumn("term", mark).groupBy("group", "term").agg(F.sum("n").alias("n"))
     size = own.groupBy("group").agg(F.sum("n").alias("_g"))
     every = whole.agg(F.sum("_f").alias("_a"))
     score = F.log2((F.col("n") / F.col("_g")) / (F.col("_f") / F.col("_a")))
@@ -98,7 +109,7 @@ def word_pagerank(pairs: DataFrame, **how) -> DataFrame:
     return pagerank(nodes, e, **how)
 
 
-def word_ranks(docs: DataFrame, group: str, text: str, stop: list[str], k: int = 200, **how) -> DataFrame:
+def word_ranks(docs: DataFrame, group: str, text: str, stop: list[str] | DataFrame, k: int = 200, **how) -> DataFrame:
     """(group, term, rank): the k terms of each group with the largest PageRank in its word graph, stop-words left out at the end.
 
     The groups' graphs have no edge in common, so one run over all of them gives each group's ranks, up to its share of the nodes.
@@ -106,7 +117,7 @@ def word_ranks(docs: DataFrame, group: str, text: str, stop: list[str], k: int =
     ranks = cut(word_pagerank(cut(skipgrams(docs.where(F.col(group).isNotNull()), text, group=group)), **how).select("id.group", "id.term", "rank"))
     share = ranks.groupBy("group").agg(F.sum("rank").alias("_all"))
     own = ranks.join(F.broadcast(share), "group").select("group", "term", (F.col("rank") / F.col("_all")).alias("rank"))
-    return top_k(own.where(~F.col("term").isin(stop)), k, [F.desc(F.round("rank", 9)), F.col("term")], ["group"])
+    return top_k(without_stop(own, "term", stop), k, [F.desc(F.round("rank", 9)), F.col("term")], ["group"])
 
 
 def vocabulary_bags(docs: DataFrame, doc_id: str, text: str, min_df: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -116,79 +127,109 @@ def vocabulary_bags(docs: DataFrame, doc_id: str, text: str, min_df: int = 2) ->
     return vocab, bag.join(vocab.select("term"), "term", "left_semi")
 
 
-def lda_topics(docs: DataFrame, text: str, k: int = 5, passes: int = 10, vocab_size: int = 1 << 20, seed: int = 100, path: str | None = None) -> DataFrame:
+def term_dictionary(docs: DataFrame, text: str, min_df: int = 2) -> DataFrame:
+    """(term, at, df): every term of min_df documents or more with its number from 0, in order; a table, however many there are."""
+    words = docs.select(F.explode(F.array_distinct(tokens(F.lower(text)))).alias("term"))
+    vocab = words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
+    return rank_all(vocab, ["term"], "_r").select("term", (F.col("_r") - 1).cast("long").alias("at"), "df")
+
+
+def term_vectors(docs: DataFrame, doc_id: str, text: str, dictionary: DataFrame) -> DataFrame:
+    """(doc, features): sparse counts over the dictionary, made by join and aggregation; texts without a known term have none."""
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    size = dictionary.count()
+    counts = term_counts(docs, doc_id, text).withColumnRenamed("group", "doc").join(dictionary.select("term", "at"), "term")
+    bags = counts.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("bag"))
+    vector = F.udf(lambda at, n: Vectors.sparse(size, at, n), VectorUDT())
+    return bags.select("doc", vector("bag.at", "bag.n").alias("features"))
+
+
+def lda_topics(docs: DataFrame, doc_id: str, text: str, k: int = 5, passes: int = 10, seed: int = 100, path: str | None = None) -> DataFrame:
     """(topic, rank, term, weight): ten leading terms of each topic of an online LDA; saved if a path is given.
 
-    Every pass takes all documents. The vocabulary, which the driver holds, is bounded by vocab_size, the most frequent terms first.
+    Every pass takes all documents, and every term of two documents or more takes part. doc_id tells documents apart; the model
+    itself, k numbers for each term, is MLlib's and on the driver.
     """
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
 
-    rows = docs.select(tokens(F.lower(text)).alias("tok"))
-    vectors = CountVectorizer(inputCol="tok", outputCol="features", vocabSize=vocab_size, minDF=2).fit(rows)
+    dictionary = cut(term_dictionary(docs, text))
     alpha = [1.0 / (i + k**0.5) for i in range(k)]
     lda = LDA(k=k, maxIter=passes, optimizer="online", subsamplingRate=1.0, learningDecay=0.5, learningOffset=64.0, docConcentration=alpha, optimizeDocConcentration=False, seed=seed)
-    model = lda.fit(cut(vectors.transform(rows).select("features")))
+    model = lda.fit(cut(term_vectors(docs, doc_id, text, dictionary).select("features")))
     if path:
         model.write().overwrite().save(path)
-    names = docs.sparkSession.createDataFrame(list(enumerate(vectors.vocabulary)), "at int, term string")
     top = model.describeTopics(10).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
-    return top.join(names, F.col("t.termIndices") == F.col("at")).select("topic", "rank", "term", F.col("t.termWeights").alias("weight"))
+    return dictionary.join(F.broadcast(top), F.col("t.termIndices") == F.col("at")).select("topic", "rank", "term", F.col("t.termWeights").alias("weight"))
 
 
-CELLS = 4096
+#: More languages than this are an error of the table.
+MOST_LANGUAGES = 500
 
 
-def _trigrams(text: str) -> np.ndarray:
-    """Hashed letter trigrams of a lower-cased text, in order."""
-    c = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32).astype(np.int64)
-    return (c[:-2] * 7919 + c[1:-1] * 104729 + c[2:] * 1299709) % CELLS if len(c) > 2 else np.empty(0, np.int64)
+def _grams(text: str):
+    """All runs of three letters or signs of a lower-cased text."""
+    low = F.lower(text)
+    return F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))
 
 
-def letter_shares(docs: DataFrame, text: str, lang: str, max_docs: int = 1000) -> dict[str, np.ndarray]:
-    """Log shares of hashed letter trigrams for each language, from at most max_docs documents of each."""
-    sample = top_k(docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()), max_docs, [F.xxhash64(text)], [lang])
+def letter_model(docs: DataFrame, text: str, lang: str) -> tuple[DataFrame, list[str], DataFrame]:
+    """(gram, p0, p1, ...), the languages, and one row of what an unknown gram has: log shares of letter trigrams, one added to each count.
 
-    def count(batches):
-        for pdf in batches:
-            for name, texts in pdf.groupby("lang")["text"]:
-                n = np.bincount(np.concatenate([_trigrams(t) for t in texts]), minlength=CELLS)
-                yield pd.DataFrame({"lang": name, "t": np.flatnonzero(n), "n": n[n > 0]})
-
-    got = sample.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInPandas(count, "lang string, t int, n long")
-    out: dict[str, np.ndarray] = {}
-    for r in got.groupBy("lang", "t").agg(F.sum("n").alias("n")).collect():
-        out.setdefault(r["lang"], np.ones(CELLS))[r["t"]] += r["n"]
-    return {k: np.log(v / v.sum()) for k, v in out.items()}
+    All texts with a language count, whole.
+    """
+    known = docs.where(F.col(lang).isNotNull() & (F.length(text) > 2)).select(F.col(lang).alias("lang"), F.explode(_grams(text)).alias("gram"))
+    counts = cut(known.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")))
+    names = [r[0] for r in counts.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
+    if len(names) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    names.sort()
+    of = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)) for x in names]
+    wide = counts.groupBy("gram").agg(*[c.alias(f"n{i}") for i, c in enumerate(of)])
+    total = wide.agg(F.count(F.lit(1)).alias("v"), *[F.sum(f"n{i}").alias(f"t{i}") for i in range(len(names))])
+    share = [F.log((F.col(f"n{i}") + 1) / (F.col(f"t{i}") + F.col("v"))).alias(f"p{i}") for i in range(len(names))]
+    unknown = total.select(*[F.log(1 / (F.col(f"t{i}") + F.col("v"))).alias(f"u{i}") for i in range(len(names))])
+    return cut(wide.join(F.broadcast(total)).select("gram", *share)), names, unknown
+
+
+def language_lines(docs: DataFrame, doc_id: str, text: str, lang: str, keep: str) -> DataFrame:
+    """(doc, line, text, p): the lines of more than two characters with the probability that they are in language ``keep``."""
+    model, names, unknown = letter_model(docs, text, lang)
+    lines = docs.select(F.col(doc_id).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line", "text")).where(F.length("text") > 2)
+    if keep not in names:
+        return lines.withColumn("p", F.lit(0.0))
+    grams = lines.select("doc", "line", F.explode(_grams("text")).alias("gram"))
+    met = join_checked(grams, model, "gram", "left").join(F.broadcast(unknown))
+    score = [F.sum(F.coalesce(f"p{i}", f"u{i}")).alias(f"s{i}") for i in range(len(names))]
+    own = names.index(keep)
+    p = 1 / sum((F.exp(F.least(F.col(f"s{i}") - F.col(f"s{own}"), F.lit(700.0))) for i in range(len(names))), F.lit(0.0))
+    scored = met.groupBy("doc", "line").agg(*score).select("doc", "line", p.alias("p"))
+    return lines.join(scored, ["doc", "line"]).select("doc", "line", "text", "p")
 
 
 def language_filter(docs: DataFrame, doc_id: str, text: str, lang: str, keep: str, threshold: float = 0.8) -> DataFrame:
-    """(doc, line, text) of the lines that are in language ``keep`` with probability over the threshold."""
-    shares = letter_shares(docs, text, lang)
-    names = sorted(shares)
-    lines = docs.select(F.col(doc_id).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line", "text")).where(F.length("text") > 2)
-    if keep not in names:
-        return lines.limit(0)
-    table, own = np.array([shares[n] for n in names]), names.index(keep)
+    """(doc, line, text) of the lines that are in language ``keep`` with probability over the threshold. doc_id tells documents apart."""
+    return language_lines(docs, doc_id, text, lang, keep).where(F.col("p") > threshold).select("doc", "line", "text")
 
-    @F.pandas_udf("double")
-    def p(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            s = table[:, _trigrams(t)].sum(1)
-            e = np.exp(s - s.max())
-            out.append(float(e[own] / e.sum()))
-        return pd.Series(out)
 
-    return lines.where(p("text") > threshold)
+def language_corpus(docs: DataFrame, years: DataFrame, doc_id: str, year: str, text: str, lang: str, keep: str, threshold: float = 0.8, min_len: int = 40, placeholder: str | None = None) -> DataFrame:
+    """(group, ord, text): a corpus by decade of the lines in one language.
+
+    Lines are filtered, put together again in order, repaired and cleaned; then ``corpus`` takes decade, length and placeholder.
+    """
+    lines = language_filter(docs, doc_id, text, lang, keep, threshold)
+    whole = lines.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("l"))
+    joined = whole.select(F.col("doc").alias(doc_id), F.array_join("l.text", "\n").alias("text"))
+    dated = years.select(F.col(doc_id), F.col(year).alias("year")).join(joined, doc_id)
+    return corpus(dated.withColumn("text", clean_text(repaired(F.col("text")))), "year", doc_id, "text", min_len, placeholder, years=True)
 
 
-def lemmas(docs: DataFrame, doc_id: str, text: str, tagger, keep: tuple[str, ...] = ("Adj", "V", "Adv", "N"), min_len: int = 3, stop: list[str] | None = None) -> DataFrame:
+def lemmas(docs: DataFrame, doc_id: str, text: str, tagger, keep: tuple[str, ...] = ("Adj", "V", "Adv", "N"), min_len: int = 3, stop: list[str] | DataFrame | None = None) -> DataFrame:
     """(doc, line, lemma) of the kept classes. tagger: column of text -> array<struct<lemma, tag>>, such as a service's parsed reply."""
     t = docs.select(F.col(doc_id).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line", "text"))
     t = t.select("doc", "line", F.explode(tagger(F.col("text"))).alias("t")).where(pos_class(F.col("t.tag")).isin(*keep))
     t = t.select("doc", "line", "t.lemma").where(F.length("lemma") >= min_len)
-    return t.where(~F.col("lemma").isin(stop)) if stop else t
+    return without_stop(t, "lemma", stop)
 
 
 def cleaned(docs: DataFrame, text: str) -> DataFrame:

@@ -120,16 +120,22 @@ def quantiles_nearest(df: DataFrame, col: str, num: int = 10) -> DataFrame:
 
 def percentile_of_score(scores: DataFrame, score: str, population: DataFrame, value: str) -> DataFrame:
     """scores with ptile: (smaller + not larger + 1 if any is equal) * 50 / size of the population."""
-    h = _histogram(population, value).withColumn("_eq", F.lit(True))
+    own = population.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), F.lit(1).cast("long").alias("n"))
+    asked = scores.where(F.col(score).isNotNull()).select(F.col(score).alias("v"), F.lit(0).cast("long").alias("n"))
+    # Values of both sides are counted and ranked together, once; those that only scores have count nothing.
+    at = rank_sum(own.unionByName(asked).groupBy("v").agg(F.sum("n").alias("n"))).withColumnRenamed("v", score)
     total = population.where(F.col(value).isNotNull()).agg(F.count(F.lit(1)).alias("_all"))
-    missing = scores.select(F.col(score).alias("v")).distinct().join(h.select("v"), "v", "left_anti")
-    both = h.select("v", "n").unionByName(missing.select("v", F.lit(0).cast("long").alias("n")))
-    at = rank_sum(both).withColumnRenamed("v", score)
     return scores.join(at, score).join(F.broadcast(total)).withColumn(
         "ptile", (F.col("less") * 2 + F.col("n") + F.when(F.col("n") > 0, 1).otherwise(0)) * 50.0 / F.col("_all")
     ).drop("less", "n", "_all")
 
 
+def join_checked(big: DataFrame, small: DataFrame, on: str | list[str], how: str, max_rows: int = 400_000) -> DataFrame:
+    """big joined with small, which goes to all tasks if it has at most max_rows rows; else both are dealt by key."""
+    few = small.limit(max_rows + 1).count() <= max_rows
+    return big.join(F.broadcast(small) if few else small, on, how)
+
+
 def top_k(df: DataFrame, k: int, by: list[Column], partition: list[str] | None = None) -> DataFrame:
     if not partition:
         return df.orderBy(*by).limit(k)

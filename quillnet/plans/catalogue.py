@@ -394,12 +394,7 @@ def corpus_by_group(spark, d):
 
 @query()
 def lda_topics(spark, d):
-    return C.lda_topics(table(spark, d, "documents"), "text")
-
-
-@query()
-def language_filter(spark, d):
-    return C.language_filter(table(spark, d, "documents"), "doc_id", "text", "lang", "de")
+    return C.lda_topics(table(spark, d, "documents"), "doc_id", "text")
 
 
 _LINKS = """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a[^>]*href="([^"]*)"', 1)) AS href FROM pages)"""
@@ -589,4 +584,4 @@ def hourly_users(spark, d):
     return hourly(table(spark, d, "events"))
 
 
-from quillnet.plans import exports, forces, pages, records, wordlists  # noqa: E402, F401
+from quillnet.plans import exports, forces, languages, pages, records, wordlists  # noqa: E402, F401

@@ -62,12 +62,20 @@ def read_groups(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).text(path)
 
 
-def stop_words(spark: SparkSession, path: str | None = None, languages: tuple[str, ...] = ("english", "hungarian"), lower: bool = True) -> DataFrame:
-    """Distinct stop-words of a file (one a line) and of built-in lists."""
+# The languages that Spark has lists for.
+STOP_LANGUAGES = "danish dutch english finnish french german hungarian italian norwegian portuguese russian spanish swedish turkish".split()
+
+
+def stop_words(spark: SparkSession, path: str | None = None, languages: tuple[str, ...] | None = None, lower: bool = True, more: tuple[str, ...] = ()) -> DataFrame:
+    """(word): distinct stop-words of a file (one a line), of the built-in lists of some languages (of all by default) and ``more``.
+
+    lower=False leaves the words of the file as they stand; white space around them goes either way.
+    """
     from pyspark.ml.feature import StopWordsRemover
 
+    languages = STOP_LANGUAGES if languages is None else languages
     built = sorted({w for lang in languages for w in StopWordsRemover.loadDefaultStopWords(lang)})
-    out = spark.createDataFrame([(w,) for w in built], "word string")
+    out = spark.createDataFrame([(w,) for w in [*built, *more]], "word string")
     if path:
         w = F.trim(F.col("value"))
         out = out.unionByName(spark.read.text(path).select((F.lower(w) if lower else w).alias("word")))

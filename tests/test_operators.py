@@ -206,5 +206,5 @@ def test_language_filter_and_topics(spark):
     kept = corpus.language_filter(docs.where("lang = 'en'").unionByName(docs.where("lang = 'de'")), "id", "text", "lang", "de")
     assert {r["doc"] for r in kept.collect() if r["doc"] >= 20} == set(range(20, 40))
     assert not [r for r in kept.collect() if r["doc"] < 20 and r["line"] == 0]
-    topics = corpus.lda_topics(docs, "text", k=2, passes=3)
+    topics = corpus.lda_topics(docs, "id", "text", k=2, passes=3)
     assert topics.count() == 20 and topics.where("weight < 0 or term is null").count() == 0
