@@ -5,7 +5,7 @@
 2. Each partition packs its pieces best-fit, longest first. Bins that are nearly full, or too full for the shortest piece
    of the corpus, are emitted; the others go on as items.
 3. The underfull bins are dealt to fewer tasks, packed again as items, and so on, until one task is left or a round
-   no longer brings the bins down. A task never gets more than ``max_items`` items in these rounds.
+   no longer brings the bins down. A task gets ``max_items`` items on average, and not many more, in these rounds: bins are dealt round robin.
 
 Each round is written to the shared folder before it is read twice, so a lost executor cannot pack a round again in another
 order.
@@ -40,7 +40,7 @@ def pieces(
     """
     path = path or tokenizer_path()
     new = ("piece", "start", "ids")
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in new]
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in new]
     text = fresh(docs, "_text")
     end = int(end_id).to_bytes(4, "little")
 
@@ -173,7 +173,7 @@ def pack_sequences(
     and lengths outside 1 to limit, get a null sequence. Columns named sequence_id or offset are replaced; an empty table gives
     no rows, and rows that repeat are items each.
     """
-    cols = [c for c in items.columns if c not in ("sequence_id", "offset")]
+    cols = [c for c in items.columns if c.lower() not in ("sequence_id", "offset")]
     n = F.col(length_col)
     items = items.select(*cols)
     fits = n.isNotNull() & (n >= 1) & (n <= limit)

@@ -89,3 +89,13 @@ def test_packing_of_many_short_items(spark):
     for r in rows:
         by.setdefault(r["sequence_id"], []).append(r["offset"])
     assert all(sorted(x) == list(range(100)) for x in by.values())
+
+
+def test_packing_replaces_new_names_in_any_case(spark):
+    from quillnet.llm.packing import pack_documents, pack_sequences
+
+    items = spark.createDataFrame([(1, 5, 7, 8), (2, 3, 7, 8)], "id long, length long, Offset long, Sequence_ID long")
+    made = pack_sequences(items, limit=8)
+    assert made.columns == ["id", "length", "sequence_id", "offset"] and sorted(r["offset"] for r in made.collect()) in ([0, 3], [0, 5])
+    docs = spark.createDataFrame([(1, "a b", 0, 0)], "doc_id long, text string, Piece int, IDS int")
+    assert pack_documents(docs, carry=["doc_id", "Piece", "IDS"]).count() == 1
