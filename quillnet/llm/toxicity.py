@@ -46,7 +46,7 @@ BLOCK_ENTRIES = 1 << 21
 #: So many letters are counted at once.
 COUNT_LETTERS = 1 << 20
 #: So many letters are looked up together: with one block, and where every block is loaded for them.
-CHUNK_LETTERS = (1 << 16, 1 << 20)
+CHUNK_LETTERS = (1 << 16, 1 << 21)
 #: A letter takes 21 bits. No letter has them all set: in the place of the last letter they mark a context.
 BITS, ANY = 21, (1 << 21) - 1
 KEY = ["hi", "lo"]
@@ -284,14 +284,15 @@ def log_ratios(counts: DataFrame, toxic: str = "toxic", ordinary: str = "ordinar
 
 
 class Block:
-    """Log ratios by (hi, lo): an open-addressed table of at least twice as many places, made where it is first asked."""
+    """Log ratios by (hi, lo): an open-addressed table of at least twice as many places, made where it is first asked, or once for all
+    tasks before it is sent."""
 
     def __init__(self, hi: np.ndarray, lo: np.ndarray, ratio: np.ndarray):
         self.hi, self.lo, self.ratio = hi, lo, ratio
         self.bits = (2 * len(hi)).bit_length()
         self.at = None
 
-    def _open(self) -> None:
+    def open(self) -> Block:
         self.at = np.full(1 << self.bits, -1, np.int32)
         left, at = np.arange(len(self.hi), dtype=np.int32), self._place(self.hi, self.lo)
         while len(left):
@@ -299,6 +300,7 @@ class Block:
             self.at[at[free]] = left[free]
             lost = self.at[at] != left
             left, at = left[lost], (at[lost] + 1) & (len(self.at) - 1)
+        return self
 
     def _place(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
         h = lo.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + hi.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -308,7 +310,7 @@ class Block:
     def find(self, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ratio of every key, and whether it is there."""
         if self.at is None:
-            self._open()
+            self.open()
         ratio, there = np.zeros(len(hi), np.float32), np.zeros(len(hi), bool)
         todo, at = np.arange(len(hi)), self._place(hi, lo)
         while len(todo) and len(self.hi):
@@ -339,7 +341,11 @@ def send(learned: DataFrame, block_entries: int = BLOCK_ENTRIES) -> list:
     for k in range(n):
         mine = learned.where(_block_of(F.col("hi"), F.col("lo").bitwiseOR(ANY), n) == k) if n > 1 else learned
         found = mine.toArrow()
-        sent.append(learned.sparkSession.sparkContext.broadcast(Block(*(found[c].to_numpy() for c in (*KEY, "ratio")))))
+        block = Block(*(found[c].to_numpy() for c in (*KEY, "ratio")))
+        # Of several blocks, workers load one after the other, many times: what they load is the table itself.
+        sent.append(learned.sparkSession.sparkContext.broadcast(block.open() if n > 1 else block))
+        if n > 1:
+            sent[-1].__dict__.pop("_value", None)
     return sent
 
 

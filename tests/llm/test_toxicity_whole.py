@@ -140,3 +140,23 @@ def test_clashing_columns_and_empty_tables(spark, docs):
     assert len(rows) == 3 and {r["label"] for r in rows} == {7} and all(0 <= r["score"] <= 1 for r in rows)
     assert score_toxicity(odd.limit(0), odd.limit(0), labels).count() == 0
     assert {round(r["score"], 4) for r in score_toxicity(d, d, labels.limit(0)).collect()} == {0.0474}
+
+
+def test_many_blocks_say_what_one_says_and_come_opened(spark):
+    import pickle
+    import random
+
+    import numpy as np
+
+    from quillnet.llm.toxicity import KEY, described, letter_counts, log_ratios, send
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    rows = [(" ".join(word() for _ in range(30)), k % 2, 0) for k in range(60)]
+    learned = log_ratios(letter_counts(spark.createDataFrame(rows, "text string, label int, part int"), "text", "label", "part"))
+    n = learned.count()
+    one, many = send(learned, n), send(learned, n // 9)
+    assert len(one) == 1 and len(many) >= 8 and len(KEY) == 2
+    assert all(b.value.at is not None and pickle.loads(pickle.dumps(b.value)).at is not None for b in many)
+    texts = [r[0] for r in rows[:20]] + ["", None, "zz top"]
+    assert np.allclose(list(described(one, texts)), list(described(many, texts)))
