@@ -3,9 +3,13 @@
 Content view: hashed words and word pairs of the whole text, and its shares of character classes and repetition.
 Metadata view: what is known of a page beside its text: source, language and length.
 
-Both start from the same bounded sample of labelled rows. In each round either classifier scores all other training rows, and its
-most confident ones of either class go to the other one's training set. At the end each view is calibrated on labelled rows
-that trained neither, and the sum of the calibrated log-odds scores every document.
+Both start from the same bounded sample of labelled rows. A quarter of these trains neither: on it each view is calibrated, in every round
+anew. (Where a view says the same of all of these, such as of pages without metadata, it is calibrated on a quarter of the rows that the other
+one has labelled for it, which does not train it.) In each round either classifier scores all other training rows, and those of which it is surest, by rank within each class and in the
+classes' proportion, go to the other one's training set. Surest means at least halfway from the share of label 1 to
+certainty, so a rare class is given as well as a common one; a view that tells the calibration rows apart no better than that
+share does gives none. At the end the calibrated log-odds of both views less those of the share score every document; a view that
+is no better than the share counts as the share.
 
 The features of the rows without a label are written once and read in each round; of every part of them only the most
 confident rows leave a task, and of all rows 2 * per_round for each view reach the driver in a round.
@@ -125,9 +129,32 @@ class Metadata:
         return self
 
 
-def cotrain(models: list, views: list[list], y: np.ndarray, confident, rounds: int) -> list:
+def logit(p: float) -> float:
+    return float(np.log(p / (1 - p)))
+
+
+def calibration(odds: np.ndarray, y: np.ndarray, prior: float | None = None) -> tuple[float, float]:
+    """(slope, bias) of a view's log-odds on rows that did not train it; (0, prior: by default the log-odds of the share of label 1) if the view
+    tells no more than the share: by falling with the labels, or by a likelihood not better by the two that a parameter costs."""
+    share = float(y.mean())
+    none = (0.0, logit(share) if prior is None else prior)
+    x = np.clip(odds, -30, 30)
+    slope, bias = _fit(x[:, None], y, ridge=0.1).tolist()
+    z = np.clip(slope * x + bias, -30, 30)
+    gain = float((y * z - np.log1p(np.exp(z))).sum()) - len(y) * (share * np.log(share) + (1 - share) * np.log(1 - share))
+    return (slope, bias) if slope > 0 and gain > 2 else none
+
+
+def _aside(row_id) -> bool:
+    """Whether a row calibrates and trains nothing."""
+    return zlib.crc32(f"{row_id}/fold".encode()) % 4 == 0
+
+
+def cotrain(models: list, views: list[list], y: np.ndarray, confident, rounds: int, apart: list[tuple[list, list]] | None = None) -> list:
     """Fits both models on the labelled rows, then in each round on what the other one is sure of as well.
 
+    apart: for each model rows and labels that do not train it; those of the new rows that are ``_aside`` go there.
+
     confident(models, used) -> for each model its new pseudo-labelled rows, (view rows of the other model, labels, ids); used: for
     each model the ids that it has been given already.
     """
@@ -142,7 +169,12 @@ def cotrain(models: list, views: list[list], y: np.ndarray, confident, rounds: i
         for k, (rows, t, ids) in enumerate(given):
             other = 1 - k
             used[other].update(ids)
-            sets[other] = (sets[other][0] + list(rows), np.concatenate([sets[other][1], t]))
+            held = [apart is not None and _aside(i) for i in ids]
+            if apart is not None:
+                apart[other][0].extend(r for r, h in zip(rows, held, strict=True) if h)
+                apart[other][1].extend(x for x, h in zip(t, held, strict=True) if h)
+            trains = [r for r, h in zip(rows, held, strict=True) if not h]
+            sets[other] = (sets[other][0] + trains, np.concatenate([sets[other][1], t[~np.array(held, bool)]]))
         for m, (rows, t) in zip(models, sets, strict=True):
             m.fit(rows, t)
     return models
@@ -214,27 +246,38 @@ def score_quality(
     got = described(join_bounded(taught, chosen, "id", "inner")).collect()
     y = np.array([r["label"] for r in got], float)
     content, meta = [_row(r)[0] for r in got], [_row(r)[1] for r in got]
-    fold = np.array([zlib.crc32(f"{r['id']}/fold".encode()) % 4 for r in got])
-    fits, held = np.flatnonzero(fold > 0), np.flatnonzero(fold == 0)
+    aside = np.array([_aside(r["id"]) for r in got], bool)
+    fits, held = np.flatnonzero(~aside), np.flatnonzero(aside)
     pick = lambda rows, at: [rows[k] for k in at.tolist()]
-    scale = np.zeros(3)
+    lines, prior = [(0.0, 0.0)] * 2, 0.0
     models = [Content(), Metadata(_common(taught, [source_at, lang_at]))]
     if len(set(y[fits].tolist())) == 2 and len(set(y[held].tolist())) == 2:
         pool = cut(described(join_bounded(taught, known, "id", "left_anti", 200_000).withColumn("label", F.lit(None).cast("int"))))
-        cotrain(models, [pick(content, fits), pick(meta, fits)], y[fits], _confident(pool, per_round, float(y[fits].mean())), rounds)
-        odds = np.column_stack([m.odds(pick(v, held)) for m, v in zip(models, (content, meta), strict=True)])
-        scale = _fit(np.clip(odds, -30, 30), y[held], ridge=0.1)
-    model = spark.sparkContext.broadcast((models, scale))
+        labelled, given = [(pick(v, held), y[held]) for v in (content, meta)], [([], []), ([], [])]
+        prior = logit(float(y[held].mean()))
+
+        def calibrated(models: list) -> list[tuple[float, float]]:
+            out = []
+            for m, (rows, t), (more, said) in zip(models, labelled, given, strict=True):
+                odds = m.odds(rows)
+                if np.ptp(odds) < 1e-9 and len(set(said)) == 2:
+                    odds, t = m.odds(more), np.array(said)
+                out.append(calibration(odds, t, prior))
+            return out
+
+        cotrain(models, [pick(content, fits), pick(meta, fits)], y[fits], _confident(pool, per_round, calibrated, float(y[held].mean())), rounds, given)
+        lines = calibrated(models)
+    model = spark.sparkContext.broadcast((models, lines, prior))
 
     def score(batches):
-        (one, two), s = model.value
+        (one, two), by_view, share = model.value
         for batch in batches:
             r = BlobReader(batch)
             a = one.odds([content_view(t) for t in r.list(text_at)])
             z = two.odds(list(zip(*(r.list(c) for c in names[1:]), strict=True)))
-            odds = np.clip(np.column_stack([a, z]), -30, 30)
-            p = 1 / (1 + np.exp(-np.clip(odds @ s[:-1] + s[-1], -30, 30)))
-            each = 1 / (1 + np.exp(-odds))
+            odds = np.column_stack([slope * np.clip(x, -30, 30) + bias for x, (slope, bias) in zip((a, z), by_view, strict=True)])
+            p = 1 / (1 + np.exp(-np.clip(odds.sum(1) - share, -30, 30)))
+            each = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
             yield pa.RecordBatch.from_arrays(
                 [*r.keep(carry), pa.array(each[:, 0]), pa.array(each[:, 1]), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*carry, *new]
             )
@@ -251,12 +294,16 @@ def _common(rows: DataFrame, columns: list[str], at_most: int = MAX_VALUES) -> l
     return [[r[0] for r in often(c).collect()] for c in columns]
 
 
-def _confident(pool: DataFrame, per_round: int, share: float):
-    """The rows of the pool of which each model is surest: above 0.9 and below 0.1, in the classes' proportion, ties by id's hash."""
+def _confident(pool: DataFrame, per_round: int, calibrated, share: float):
+    """The rows of the pool of which each model is surest, in the classes' proportion, ties by id's hash; calibrated(models): their lines.
+
+    For label 1 the calibrated share must reach halfway from the share of label 1 to 1, for label 0 halfway to 0.
+    """
     n_one = max(1, round(per_round * share))
     n_of = {1: n_one, 0: max(1, per_round - n_one)}
 
     def confident(models: list, used: list[set]):
+        lines = calibrated(models)
         sent = pool.sparkSession.sparkContext.broadcast((models, used))
 
         def surest(batches):
@@ -266,10 +313,13 @@ def _confident(pool: DataFrame, per_round: int, share: float):
                 views = list(zip(*(_row(r) for r in rows), strict=True)) if rows else [(), ()]
                 keep: dict[int, list] = {}
                 for k, m in enumerate(ms):
-                    p = 1 / (1 + np.exp(-np.clip(m.odds(list(views[k])), -30, 30)))
+                    slope, bias = lines[k]
+                    if not slope:
+                        continue
+                    p = 1 / (1 + np.exp(-np.clip(slope * np.clip(m.odds(list(views[k])), -30, 30) + bias, -30, 30)))
                     for label in (0, 1):
-                        sure = p if label else 1 - p
-                        order = [i for i in np.argsort(-sure, kind="stable").tolist() if sure[i] > 0.9 and rows[i]["id"] not in given[1 - k]]
+                        sure, least = (p, (1 + share) / 2) if label else (1 - p, 1 - share / 2)
+                        order = [i for i in np.argsort(-sure, kind="stable").tolist() if sure[i] >= least and rows[i]["id"] not in given[1 - k]]
                         for i in order[: n_of[label]]:
                             keep.setdefault(i, []).append((k, label, float(sure[i])))
                 flat = [(i, *x) for i, found in sorted(keep.items()) for x in found]

@@ -1,12 +1,13 @@
 """Quality: what one view learns through the other, features and calibration by brute force, odd tables."""
 
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from quillnet.llm.jaccard import ngram_hashes
-from quillnet.llm.quality import BUCKETS, Content, Metadata, content_view, cotrain, score_quality
+from quillnet.llm.quality import BUCKETS, Content, Metadata, calibration, content_view, cotrain, score_quality
 from quillnet.llm.toxicity import _fit
 
 COLUMNS = "doc_id long, text string, source string, lang string, n_chars long"
@@ -81,3 +82,43 @@ def test_odd_tables(spark):
     assert {r["score"] for r in score_quality(d, d, labels.where("quality = 1")).collect()} == {0.5}
     long = spark.createDataFrame([(1, "word " * 400_000, None, None, None)], COLUMNS)
     assert score_quality(long, d, labels).count() == 1
+
+
+def test_content_learns_from_metadata_and_rare_class_is_given(spark):
+    # The words of unlabelled texts stand in no labelled one; only their source tells. One row in five is of low quality.
+    rng = random.Random(7)
+    label = [0 if rng.random() < 0.2 else 1 for _ in range(1600)]
+    rows = [(k, _texts(rng, label[k]), "good.org" if label[k] else "bad.org", "en", 60) for k in range(400)]
+    fresh = lambda good: " ".join(rng.choice(["calm", "dry", "slow"] if good else ["loud", "wet", "fast"]) for _ in range(12))
+    rows += [(k, fresh(label[k]), "good.org" if label[k] else "bad.org", "en", 60) for k in range(400, 1600)]
+    train = spark.createDataFrame(rows, COLUMNS)
+    labels = spark.createDataFrame([(k, label[k]) for k in range(400)], "doc_id long, quality int")
+    asked = spark.createDataFrame([(k, fresh(k % 2), None, None, None) for k in range(40)], COLUMNS)
+    right = lambda **o: sum((r["content_score"] >= 0.5) == r["doc_id"] % 2 for r in score_quality(asked, train, labels, **o).collect())
+    assert right(rounds=0) <= 25 and right(per_round=200) >= 38
+
+
+def test_a_view_that_tells_nothing_counts_as_the_share_and_gives_nothing(spark):
+    rng = random.Random(8)
+    label = [0 if rng.random() < 0.2 else 1 for _ in range(900)]
+    rows = [(k, _texts(rng, label[k]), rng.choice("abc"), "en", rng.randrange(50, 70)) for k in range(900)]
+    train = spark.createDataFrame(rows, COLUMNS)
+    labels = spark.createDataFrame([(k, label[k]) for k in range(500)], "doc_id long, quality int")
+    found = score_quality(train, train, labels).collect()
+    held = [k for k in range(500) if zlib.crc32(f"{k}/fold".encode()) % 4 == 0]
+    share = sum(label[k] for k in held) / len(held)
+    assert {round(r["metadata_score"], 9) for r in found} == {round(share, 9)}
+    for r in found:  # the sum of the views' log-odds less the share's is the score's
+        odds = lambda p: np.log(p / (1 - p))
+        assert abs(odds(r["score"]) - (odds(r["content_score"]) + odds(r["metadata_score"]) - odds(share))) < 1e-6
+    assert sum(r["predicted"] == label[r["doc_id"]] for r in found) > 880
+
+
+def test_calibration():
+    rng = np.random.RandomState(2)
+    x = rng.randn(4000)
+    y = (rng.rand(4000) < 1 / (1 + np.exp(-(2 * x + 1)))).astype(float)
+    slope, bias = calibration(x, y)
+    assert abs(slope - 2) < 0.2 and abs(bias - 1) < 0.2
+    share = np.log(y.mean() / (1 - y.mean()))
+    assert calibration(-x, y) == (0.0, share) and calibration(np.zeros(4000), y) == (0.0, share)
