@@ -169,10 +169,9 @@ r{k} AS MATERIALIZED (
   UNION ALL SELECT * FROM r{k - 1} WHERE len(segs) < {k})"""
 
 
-#: Levels written out in SQL; the operator goes as deep as the paths do.
-_LEVELS = 8
-
-OP8 = rf"""
+def op8_sql(levels: int) -> str:
+    """The whole of op8 for paths of at most so many segments; the operator goes as deep as the paths do."""
+    return rf"""
 WITH x AS (SELECT page_id, url, row_number() OVER () AS r, coalesce(position('://' IN url), 0) AS i FROM pages),
 y AS (SELECT page_id, r, CASE WHEN i > 0 THEN url[i + 3:] ELSE '' END AS rest FROM x),
 p AS (SELECT page_id, r, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
@@ -182,8 +181,8 @@ f AS (SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS
 d AS MATERIALIZED (SELECT p.*, rule, v, list_transform(string_split(path[2:], '/'), lambda s: regexp_replace(s, '{VARIABLE}', '*')) AS segs FROM p LEFT JOIN f USING (r)),
 r0 AS MATERIALIZED (
   SELECT host, segs, count(*) AS n, count(rule) AS l, count(*) FILTER (v = 'block') AS b, '' AS t, []::STRUCT(l DOUBLE, b DOUBLE)[] AS chain FROM d GROUP BY host, segs),
-{",".join(_level(k) for k in range(1, _LEVELS + 1))},
-z AS (SELECT *, CASE WHEN len(string_split(host, '.')) > 1 THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE host END AS site FROM r{_LEVELS}),
+{",".join(_level(k) for k in range(1, levels + 1))},
+z AS (SELECT *, CASE WHEN len(string_split(host, '.')) > 1 THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE host END AS site FROM r{levels}),
 pa AS (SELECT coalesce(sum(b) / nullif(sum(l), 0)::DOUBLE, 0) AS p FROM z),
 ps AS (SELECT site, (sum(b) + (SELECT p FROM pa) * 10) / (sum(l) + 10.0::DOUBLE) AS p FROM z GROUP BY site),
 ph AS (SELECT host, (sum(b) + any_value(p) * 10) / (sum(l) + 10.0::DOUBLE) AS p FROM z JOIN ps USING (site) GROUP BY host),
@@ -193,4 +192,7 @@ tp AS (SELECT z.host, segs, purity FROM z JOIN pu USING (host, t))
 SELECT page_id, d.host, path, rule, coalesce(v, CASE WHEN purity >= 0.8::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
 FROM d JOIN tp ON d.host = tp.host AND d.segs = tp.segs
 """
+
+
+OP8 = op8_sql(8)
 ORACLES["op8_urls"] = OP8

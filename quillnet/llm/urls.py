@@ -68,12 +68,15 @@ def _matched(rules: list[Rule], host: Column, path: Column) -> Column:
     return out
 
 
-def _segments(path: Column, max_depth: int) -> Column:
-    """The path's segments without their variable parts; what follows max_depth - 1 of them is one last segment."""
-    parts = F.split(F.substring(path, 2, 1 << 30), "/")
-    last = F.when(F.size(parts) > max_depth, F.array(F.array_join(F.slice(parts, max_depth, 1 << 30), "/")))
-    parts = F.concat(F.slice(parts, 1, max_depth - 1), F.coalesce(last, F.slice(parts, max_depth, 1)))
-    return F.transform(parts, lambda x: F.regexp_replace(x, VARIABLE, "*"))
+def _segments(path: Column) -> Column:
+    """The path's segments without their variable parts."""
+    return F.transform(F.split(F.substring(path, 2, 1 << 30), "/"), lambda x: F.regexp_replace(x, VARIABLE, "*"))
+
+
+def _in_common(least: Column, most: Column) -> Column:
+    """How many segments two paths have in common at their beginnings; of the least and the largest of some paths, all of them have these."""
+    same = F.transform(F.sequence(F.lit(1), F.least(F.size(least), F.size(most))), lambda i: F.try_element_at(least, i) == F.try_element_at(most, i))
+    return F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same).cast("long")).cast("int")
 
 
 def _branches(level: DataFrame, max_children: int, z: float) -> DataFrame:
@@ -112,14 +115,13 @@ def filter_urls(
     max_children: int = 10,
     weight: float = 10.0,
     z: float = 1.96,
-    max_depth: int = 32,
 ) -> DataFrame:
     """Adds host, path, rule, template, purity and verdict (allow or block) to every row.
 
     host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from there up to ``?``, ``#`` or the
     end; both empty for a null url or one without ``://``. A rule's verdict stands; else the template's. Without labelled
-    pages every purity is 0. All segments count; those from max_depth on are one segment together, so that a
-    path's depth bounds the passes. Repeated rows are judged each; an empty table gives no rows; columns that bear a new name are
+    pages every purity is 0. All segments count, however deep a path is. Segments that all pages below a template have in common are
+    levels of the tree like others, but one pass adds them all: passes go by how often paths part, not by their depth. Repeated rows are judged each; an empty table gives no rows; columns that bear a new name are
     replaced, others may have any name.
     """
     rules = RULES if rules is None else rules
@@ -131,7 +133,7 @@ def filter_urls(
         "page", F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path")
     )
     parsed = parsed.select(
-        "*", _matched(rules, F.col("host"), F.col("path")).alias("found"), _segments(F.col("path"), max_depth).alias("segments")
+        "*", _matched(rules, F.col("host"), F.col("path")).alias("found"), _segments(F.col("path")).alias("segments")
     )
     key = ["host", "segments"]
     counts = parsed.groupBy(*key).agg(
@@ -140,18 +142,34 @@ def filter_urls(
         F.count(F.when(F.col("found.verdict") == "block", 1)).alias("blocked"),
     )
     chain = F.array().cast("array<struct<l:bigint,b:bigint>>")
-    tree = cut(counts.select("*", F.lit("").alias("template"), chain.alias("chain")))
-    depth = tree.agg(F.max(F.size("segments"))).first()[0] or 0
-    for k in range(depth):
-        child = F.try_element_at("segments", F.lit(k + 1))
-        deep = tree.withColumn("child", child)
-        there = deep.where(F.size("segments") > k)
-        below = there.join(_branches(there, max_children, z), ["host", "template", "child"]).select(
+    # rest: the segments that are not yet in the template.
+    tree = cut(counts.select("*", F.col("segments").alias("rest"), F.lit("").alias("template"), chain.alias("chain")))
+    parent, done = ["host", "template"], None
+    while True:
+        here = tree.where(F.size("rest") == 0)
+        done = here if done is None else done.unionByName(here)
+        live = tree.where(F.size("rest") > 0)
+        if not live.limit(1).count():
+            break
+        groups = live.groupBy(*parent).agg(F.min("rest").alias("least"), F.max("rest").alias("most"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+        groups = groups.select(*parent, _in_common(F.col("least"), F.col("most")).alias("run"), "l", "b")
+        live = cut(live.join(groups, parent))
+        run = F.col("run")
+        together = live.where(run > 0).select(
+            *key, "n", "labelled", "blocked",
+            F.slice("rest", run + 1, F.size("rest")).alias("rest"),
+            F.concat("template", F.lit("/"), F.array_join(F.slice("rest", F.lit(1), run), "/")).alias("template"),
+            F.concat("chain", F.array_repeat(F.struct("l", "b"), run)).alias("chain"),
+        )
+        parting = live.where(run == 0).drop("l", "b", "run").withColumn("child", F.col("rest")[0])
+        apart = parting.join(_branches(parting, max_children, z), [*parent, "child"]).select(
             *key, "n", "labelled", "blocked",
+            F.slice("rest", F.lit(2), F.size("rest")).alias("rest"),
             F.concat("template", F.lit("/"), "name").alias("template"),
             F.array_append("chain", F.struct("l", "b")).alias("chain"),
         )
-        tree = cut(below.unionByName(deep.where(F.size("segments") <= k).drop("child")))
+        tree = cut(together.unionByName(apart))
+    tree = cut(done.drop("rest"))
     tree = tree.withColumn("site", F.substring_index("host", ".", -2))
 
     def votes(by: list[str], a: str, b: str) -> DataFrame:

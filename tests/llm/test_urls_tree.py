@@ -4,7 +4,7 @@ from oracle import sql_rows
 from pyspark.sql import functions as F
 
 from quillnet.llm.sql import OP8
-from quillnet.llm.urls import Rule, filter_urls
+from quillnet.llm.urls import Rule, _in_common, filter_urls
 
 
 def _pages(spark, urls):
@@ -50,3 +50,32 @@ def test_clashing_names_long_and_repeated_urls(spark):
     assert len(rows) == 3 and {r["found"] for r in rows} == {1} and {r["host"] for r in rows} == {"e.org"}
     assert [r["path"] for r in rows].count(long[12:]) == 2
     assert filter_urls(_pages(spark, ["http://e.org/a"]), []).first()["purity"] == 0
+
+
+def _deep(k):
+    return "/".join(f"s{i}" for i in range(k))
+
+
+def test_depth_is_no_bound(spark):
+    # Forty pages that differ in the forty-second segment, as a driver's own probe had them: two templates, and two verdicts.
+    urls = [f"http://e.org/{_deep(40)}/{('spam', 'ok')[k % 2]}/{'abcdefghijklmnopqrst'[k // 2]}" for k in range(40)]
+    rules = [Rule("block", "e.org", f"/{_deep(40)}/spam/{c}") for c in "abcdefghijklmno"] + [Rule("allow", "e.org", f"/{_deep(40)}/ok/{c}") for c in "abcdefghijklmno"]
+    rows = filter_urls(_pages(spark, urls), rules).collect()
+    free = [r for r in rows if r["rule"] is None]
+    assert len(free) == 10 and all((r["verdict"] == "block") == ("/spam/" in r["url"]) for r in free)
+    assert {("spam" in r["template"], "ok" in r["template"]) for r in rows} == {(True, False), (False, True)}
+
+
+def test_deep_tree_equals_sql(spark, tmp_path):
+    from quillnet.llm.sql import op8_sql
+
+    urls = [f"http://a.example.org/es/{_deep(10 + k % 3)}/{('x', 'y', 'z')[k % 3]}/{_deep(5)}/p{k % 13}" for k in range(120)]
+    urls += [f"http://b.example.com/de/{_deep(18)}", f"http://b.example.com/de/{_deep(17)}", f"http://b.example.com/fr/{_deep(18)}/", "http://b.example.com//", "http://b.example.com"]
+    _pages(spark, urls).write.parquet(f"{tmp_path}/pages.parquet")
+    got = filter_urls(spark.read.parquet(f"{tmp_path}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
+    assert sorted(repr(tuple(r[c] for c in sorted(got.columns))) for r in got.collect()) == sql_rows(op8_sql(22), str(tmp_path), got.columns)
+
+
+def test_what_paths_have_in_common(spark):
+    df = spark.createDataFrame([(["a", "b"], ["a", "b", "c"]), (["a"], ["b"]), (["a", "x"], ["a", "y"]), (["q"], ["q"]), (["*", "a"], ["*", "b"])], "l array<string>, m array<string>")
+    assert [r[0] for r in df.select(_in_common(F.col("l"), F.col("m"))).collect()] == [2, 0, 1, 1, 1]
