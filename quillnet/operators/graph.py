@@ -106,10 +106,12 @@ def giant(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def pagerank(
-    nodes: DataFrame, edges: DataFrame, weighted: bool = True, damping: float = 0.85, tol: float = 1e-6, max_iter: int = 100, fixed_iters: int | None = None
+    nodes: DataFrame, edges: DataFrame, weighted: bool = True, damping: float = 0.85, tol: float = 1e-6, max_iter: int = 100, fixed_iters: int | None = None, small: int = 400_000
 ) -> DataFrame:
     """(id, rank). Power iteration from 1/N; what nodes without edges hold is spread evenly.
 
+    Ranks of a graph of at most ``small`` nodes go to all tasks, so that its edges never move; else both are dealt by node.
+
     Stops when the ranks move by less than N * tol in all, or after fixed_iters rounds. The number of nodes is the only thing that
     the driver learns in fixed rounds; each fifth round is written down, and the one written before goes.
     """
@@ -124,7 +126,7 @@ def pagerank(
     ranks = ranks_written = nodes.select("id", "dangling", F.lit(1.0 / n).alias("rank"))
     lonely = nodes.where("dangling").limit(1).count() > 0
     for k in range(fixed_iters or max_iter):
-        flow = ranks.join(p, "id").groupBy(F.col("other").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("in"))
+        flow = p.join(F.broadcast(ranks) if n <= small else ranks, "id").groupBy(F.col("other").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("in"))
         new = nodes.join(flow, "id", "left")
         spread = F.lit(0.0)
         if lonely:

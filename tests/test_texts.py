@@ -167,3 +167,15 @@ def test_communities_of_a_ring_of_cliques(spark):
     found = G.louvain(nodes, e)
     part = found[0] if isinstance(found, tuple) else found
     assert G.modularity(e, part).first()[0] == pytest.approx(known, abs=1e-9)
+
+
+def test_decades_without_rows_are_zero(spark):
+    years = spark.createDataFrame([(1, 1999), (2, 1987), (3, 2021), (4, 0)], "id int, year int")
+    rows = spark.createDataFrame([(1990,), (1990,)], "group int")
+    assert sorted((r["group"], r["n"], len(r["bar"])) for r in C.group_sizes(rows, years, "year").collect()) == [(1980, 0, 0), (1990, 2, 20)]
+
+
+def test_ranks_dealt_and_sent_are_the_same(spark):
+    e = spark.createDataFrame([(1, 2, 3), (2, 3, 1), (3, 4, 2), (1, 4, 5)], "src long, dst long, weight long")
+    one, two = (sorted((r["id"], round(r["rank"], 12)) for r in G.pagerank(spark.range(1, 7), e, fixed_iters=12, small=k).collect()) for k in (0, 100))
+    assert one == two and sum(r for _, r in one) == pytest.approx(1)
