@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from quillnet.operators.components import connected_components
 from quillnet.operators.relational import percentile_of_score, rank_all
@@ -200,7 +199,10 @@ def ego_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 def ego_links(edges: DataFrame, members: DataFrame) -> DataFrame:
     """Ego edges by position of their ends within the ego."""
-    at = members.withColumn("k", F.row_number().over(W.partitionBy("ego").orderBy("id")) - 1)
+    # A hub's members are ranked with all others, and counted from its first one.
+    ranked = cut(rank_all(members.select("ego", "id"), ["ego", "id"], "_r"))
+    first = ranked.groupBy("ego").agg(F.min("_r").alias("_first"))
+    at = ranked.join(first, "ego").select("ego", "id", (F.col("_r") - F.col("_first")).cast("int").alias("k"))
     e = ego_edges(edges, members)
     return (
         e.join(at.select("ego", F.col("id").alias("src"), F.col("k").alias("source")), ["ego", "src"])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillnet.operators.relational import beside, join_checked, running_sum
 from quillnet.session import cut
 
 XYZ = ("x", "y", "z")
@@ -22,20 +23,37 @@ def cells(points: DataFrame, size: float, shift: tuple[float, float, float] = (0
     return points.select("*", *[F.floor(F.col(c) / size + s).alias(f"c{c}") for c, s in zip(XYZ, shift, strict=True)])
 
 
-def pairs_within(points: DataFrame, size: float) -> DataFrame:
+CELL = ["cx", "cy", "cz"]
+
+
+def dealt(a: DataFrame, b: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """a and b with a column _part. Where a cell holds more than ``hot`` rows of a, these are dealt over parts, and to each of them go
+    the cell's rows of b; so the pairs of a dense cell are made by many tasks."""
+    large = cut(a.groupBy(*CELL).agg(F.ceil(F.count(F.lit(1)) / hot).cast("int").alias("_parts")).where("_parts > 1"))
+    if not large.limit(1).count():
+        return a.withColumn("_part", F.lit(0)), b.withColumn("_part", F.lit(0))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = join_checked(a, large, CELL, "left").withColumn("_part", F.pmod(F.xxhash64("id"), parts).cast("int")).drop("_parts")
+    right = join_checked(b, large, CELL, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left, right
+
+
+def pairs_within(points: DataFrame, size: float, hot: int = 2000) -> DataFrame:
     """Ordered pairs (i, j, dx, dy, dz, d) at most ``size`` apart, met through neighbouring cells."""
     a = cells(points, size)
     around = F.explode(F.array(*[F.struct(*[(F.col(f"c{c}") + o).alias(f"c{c}") for c, o in zip(XYZ, (i, j, k), strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
     b = a.select("id", *XYZ, around.alias("cell")).select("id", *XYZ, "cell.*")
-    j = a.alias("a").join(b.alias("b"), ["cx", "cy", "cz"]).where("a.id <> b.id")
+    a, b = dealt(a.select("id", *XYZ, *CELL), b, hot)
+    j = a.alias("a").join(b.alias("b"), [*CELL, "_part"]).where("a.id <> b.id")
     d = j.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), *_delta("a", "b"))
     return d.withColumn("d", F.sqrt(sum(F.col(f"d{c}") * F.col(f"d{c}") for c in XYZ))).where(F.col("d") <= size)
 
 
-def bin_pairs(points: DataFrame, size: float, link: str = "link") -> DataFrame:
+def bin_pairs(points: DataFrame, size: float, link: str = "link", hot: int = 2000) -> DataFrame:
     """Pairs i < j of one cell that belong to different links."""
-    p = cells(points, size)
-    j = p.alias("a").join(p.alias("b"), ["cx", "cy", "cz"]).where((F.col(f"a.{link}") != F.col(f"b.{link}")) & (F.col("a.id") < F.col("b.id")))
+    p = cells(points, size).select("id", F.col(link).alias("l"), *CELL)
+    a, b = dealt(p, p, hot)
+    j = a.alias("a").join(b.alias("b"), [*CELL, "_part"]).where((F.col("a.l") != F.col("b.l")) & (F.col("a.id") < F.col("b.id")))
     return j.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"))
 
 
@@ -65,9 +83,9 @@ def springs(points: DataFrame, edges: DataFrame, k: float) -> DataFrame:
 
 def link_springs(points: DataFrame, k: float) -> DataFrame:
     """Forces on polyline points (link, seg, x, y, z) from the points beside them."""
-    w = W.partitionBy("link").orderBy("seg")
-    pull = [(k * (F.coalesce(F.lag(c).over(w) - F.col(c), F.lit(0.0)) + F.coalesce(F.lead(c).over(w) - F.col(c), F.lit(0.0)))).alias(f"f{c}") for c in XYZ]
-    return points.select("link", "seg", *pull)
+    there = lambda side, c: F.coalesce(F.col(f"{side}.{c}") - F.col(c), F.lit(0.0))
+    pull = [(k * (there("_before", c) + there("_after", c))).alias(f"f{c}") for c in XYZ]
+    return beside(points.select("link", "seg", *XYZ), "link", "seg", list(XYZ)).select("link", "seg", *pull)
 
 
 def end_forces(link_forces: DataFrame, ends: DataFrame) -> DataFrame:
@@ -102,6 +120,12 @@ def link_length(points: DataFrame, edges: DataFrame) -> DataFrame:
     return d.agg(F.sum(F.sqrt(sum(F.col(f"d{c}") * F.col(f"d{c}") for c in XYZ)) * F.col("weight")).alias("length"))
 
 
+def chain(points: DataFrame, link: str = "link") -> DataFrame:
+    """(src, dst, weight): edges from each point to the next id of its link."""
+    found = beside(points.select("id", link), link, "id", ["id"])
+    return found.select(F.col("id").alias("src"), F.col("_after.id").alias("dst"), F.lit(1).alias("weight")).where("dst is not null")
+
+
 def simulate(points: DataFrame, edges: DataFrame, rounds: int = 5, k: float = 0.01, amplitude: float = 1.0, radius: float = 1.0, reach: float = 3.0, dt: float = 0.1, ct: float = 0.1) -> tuple[DataFrame, list[tuple[int, float]]]:
     """Points after some rounds of short repulsion and springs, and the trace (round, total length)."""
     trace = []
@@ -129,11 +153,11 @@ def resample(path: DataFrame, n: int, by: str = "index", link: str = "link", seg
     order of ``seg``. A path of one point is that point n times.
     """
     rows = path.select(F.col(link).alias("link"), F.col(seg).alias("_seg"), *XYZ)
-    w = W.partitionBy("link").orderBy("_seg")
-    nxt = {c: F.lead(c).over(w) for c in XYZ}
-    gap = F.sqrt(sum((nxt[c] - F.col(c)) * (nxt[c] - F.col(c)) for c in XYZ)) if by == "length" else F.when(F.lead("_seg").over(w).isNotNull(), 1.0)
-    pieces = rows.select("link", "_seg", *XYZ, *[nxt[c].alias(f"_{c}") for c in XYZ], F.coalesce(gap, F.lit(0.0)).alias("_gap"), F.lead("_seg").over(w).isNull().alias("_last"))
-    at = pieces.withColumn("_to", F.sum("_gap").over(w)).withColumn("_from", F.col("_to") - F.col("_gap"))
+    nxt = {c: F.col(f"_after.{c}") for c in XYZ}
+    last = F.col("_after").isNull()
+    gap = F.sqrt(sum((nxt[c] - F.col(c)) * (nxt[c] - F.col(c)) for c in XYZ)) if by == "length" else F.when(~last, 1.0)
+    pieces = beside(rows, "link", "_seg", ["_seg", *XYZ]).select("link", "_seg", *XYZ, *[nxt[c].alias(f"_{c}") for c in XYZ], F.coalesce(gap, F.lit(0.0)).alias("_gap"), last.alias("_last"))
+    at = running_sum(pieces, "link", "_seg", "_gap", "_to").withColumn("_from", F.col("_to") - F.col("_gap"))
     whole = at.groupBy("link").agg(F.max("_to").alias("_all"))
     step = F.col("_all") / (n - 1)
     # A new point on the border of two pieces belongs to the second; the path's end to its last point.
@@ -145,10 +169,11 @@ def resample(path: DataFrame, n: int, by: str = "index", link: str = "link", seg
     return made.select("link", "seg", *[F.when(F.col("_last") | (F.col("_gap") == 0), F.col(c)).otherwise(F.col(c) + (F.col(f"_{c}") - F.col(c)) * t).alias(c) for c in XYZ])
 
 
-def link_repulsion(points: DataFrame, size: float, amplitude: float, power: float = 2.0, link: str = "link", thickness: str = "thickness") -> DataFrame:
+def link_repulsion(points: DataFrame, size: float, amplitude: float, power: float = 2.0, link: str = "link", thickness: str = "thickness", hot: int = 2000) -> DataFrame:
     """(id, fx, fy, fz) of points (id, link, thickness, x, y, z): short repulsion between points of one cell that belong to different links."""
-    p = cells(points, size).select("id", F.col(link).alias("l"), F.col(thickness).alias("t"), *XYZ, "cx", "cy", "cz")
-    j = p.alias("a").join(p.alias("b"), ["cx", "cy", "cz"]).where("a.l <> b.l")
+    p = cells(points, size).select("id", F.col(link).alias("l"), F.col(thickness).alias("t"), *XYZ, *CELL)
+    a, b = dealt(p, p, hot)
+    j = a.alias("a").join(b.alias("b"), [*CELL, "_part"]).where("a.l <> b.l")
     d = j.select(F.col("a.id").alias("i"), (F.col("a.t") + F.col("b.t")).alias("t"), *_delta("a", "b"))
     u = (F.lit(1e-9) + F.sqrt(sum(F.col(f"d{c}") * F.col(f"d{c}") for c in XYZ))) / F.col("t")
     return forces(d, amplitude * F.pow(u, power - 2) / F.col("t") * F.exp(-F.pow(u, power)))

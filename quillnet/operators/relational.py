@@ -80,6 +80,35 @@ def rank_all(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return parts.withColumn("_i", inside).join(F.broadcast(sizes), "_p").withColumn(name, (F.col("_i") + F.col("_before")).cast("long")).drop("_p", "_i", "_before")
 
 
+def beside(df: DataFrame, part: str, order: str, cols: list[str]) -> DataFrame:
+    """df with _before and _after: structs of cols from the rows before and after in each part, null at its ends.
+
+    Rows are ranked over the whole table and meet by rank, so that a part of any size is spread over all tasks. A null part is a part like
+    others; rows that tie in ``order`` stand in any order. An empty table stays empty.
+    """
+    from quillnet.session import cut
+
+    at = ranked = cut(rank_all(df, [part, order], "_r"))
+    near = lambda k, name: ranked.select((F.col("_r") + k).alias("_r"), F.col(part).alias("_q"), F.struct(*cols).alias(name))
+    for k, name in ((1, "_before"), (-1, "_after")):
+        at_k, other = at.alias("a"), near(k, name).alias("b")
+        at = at_k.join(other, (F.col("a._r") == F.col("b._r")) & F.col(f"a.{part}").eqNullSafe(F.col("b._q")), "left").select("a.*", f"b.{name}")
+    return at.drop("_r")
+
+
+def running_sum(df: DataFrame, part: str, order: str, value: str, name: str) -> DataFrame:
+    """df with the sum of value up to each row of its part: sums inside key ranges, and those of the ranges before."""
+    from quillnet.session import cut
+
+    rows = cut(df.repartitionByRange(part, order).withColumn("_p", F.spark_partition_id()))
+    sums = rows.groupBy(part, "_p").agg(F.sum(value).alias("_s"))
+    earlier = W.partitionBy(part).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(F.col(part).alias("_q"), F.col("_p").alias("_o"), F.coalesce(F.sum("_s").over(earlier), F.lit(0.0)).alias("_s"))
+    inside = F.sum(value).over(W.partitionBy(part, "_p").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    both = rows.withColumn("_i", inside).join(sums, F.col(part).eqNullSafe(F.col("_q")) & (F.col("_p") == F.col("_o")))
+    return both.withColumn(name, F.col("_i") + F.col("_s")).drop("_p", "_i", "_s", "_q", "_o")
+
+
 def minmax(df: DataFrame, cols: list[str], lo: float, hi: float) -> DataFrame:
     """Columns scaled to [lo, hi] over the table; a constant column becomes lo."""
     ends = df.agg(*[f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))])

@@ -473,11 +473,7 @@ def repulsion_short(spark, d):
 _CHAIN = _P + ", o AS (SELECT *, lead(id) OVER (PARTITION BY link ORDER BY id) AS nxt FROM p), e AS (SELECT id AS src, nxt AS dst FROM o WHERE nxt IS NOT NULL)"
 
 
-def _chain(points: DataFrame) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    nxt = F.lead("id").over(W.partitionBy("link").orderBy("id"))
-    return points.select(F.col("id").alias("src"), nxt.alias("dst"), F.lit(1).alias("weight")).where("dst is not null")
+_chain = L.chain
 
 
 @query(_CHAIN + """, n AS (SELECT src AS i, dst AS j FROM e UNION ALL SELECT dst, src FROM e) SELECT i AS id, round(sum(-50 * (a.x - b.x)), 6) AS fx, round(sum(-50 * (a.y - b.y)), 6) AS fy, round(sum(-50 * (a.z - b.z)), 6) AS fz
