@@ -99,6 +99,22 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _blocks(grams: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """(phrase, items) and the number of blocks; with more than one, a column block too.
+
+    The benchmark is cut into windows once. Of several blocks each lies together in the written table, so reading one of them
+    skips the others, and the work grows as the benchmark, not as its square.
+    """
+    by_phrase = cut(grams.groupBy("phrase").agg(F.sort_array(F.collect_set("item")).alias("items")))
+    size = F.size("items") * (F.octet_length("phrase") + 4) + F.octet_length(F.array_join("items", ""))
+    total = by_phrase.agg(F.sum(size.cast("long"))).first()[0] or 0
+    n_blocks = max(1, -(-total // block_bytes))
+    if n_blocks > 1:
+        block = F.pmod(F.xxhash64("phrase"), F.lit(n_blocks)).cast("int")
+        by_phrase = cut(by_phrase.withColumn("block", block).repartitionByRange("block").sortWithinPartitions("block"))
+    return by_phrase, n_blocks
+
+
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
@@ -123,10 +139,7 @@ def decontaminate(
     spark = docs.sparkSession
     new = ("n_words", "n_hit", "items", "spans", "contaminated")
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in new]
-    grams = windows(benchmark, window, item_col, bench_text_col)
-    by_phrase = grams.groupBy("phrase").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    total = grams.agg(F.sum(F.octet_length("phrase") + F.octet_length("item") + 4)).first()[0] or 0
-    n_blocks = max(1, -(-total // block_bytes))
+    by_phrase, n_blocks = _blocks(windows(benchmark, window, item_col, bench_text_col), block_bytes)
     blob, got, at = (fresh(docs, c) for c in ("_text", "_items", "_ranges"))
     rows = docs.select(
         *carry,
@@ -135,7 +148,7 @@ def decontaminate(
         F.array().cast("array<int>").alias(at),
     )
     for k in range(n_blocks):
-        mine = by_phrase.where(F.pmod(F.xxhash64("phrase"), F.lit(n_blocks)) == k) if n_blocks > 1 else by_phrase
+        mine = by_phrase.where(F.col("block") == k) if n_blocks > 1 else by_phrase
         phrases = [(r["phrase"], list(r["items"])) for r in mine.collect()]
         sent = spark.sparkContext.broadcast(phrases)
         key = hashlib.sha256(repr(sorted(phrases)).encode()).hexdigest()

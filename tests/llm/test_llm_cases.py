@@ -37,6 +37,46 @@ def test_decontamination_spans_and_blocks(spark, docs):
     assert decontaminate(d.withColumn("n_words", F.lit("old")), b).schema["n_words"].dataType.simpleString() == "bigint"
 
 
+def test_decontamination_of_many_blocks_against_brute_force(spark, docs):
+    """Repeated items, items that share windows, and ids in the order of strings; one block and many say the same."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choices(words, k=rng.choice((0, 2, 5, 14, 30))))) for k in range(40)]
+    items += items[:6] + [(100 + k, t) for k, t in items[:9]]
+    texts = [" ".join(rng.choices(words, k=80)) for _ in range(20)]
+    for k in range(12):
+        w, cut = texts[k].split(), " ".join(items[rng.randrange(40)][1] for _ in range(3)).split()
+        texts[k] = " ".join(w[:20] + cut + w[20:])
+    want = {}
+    for d, text in enumerate(texts):
+        w, hit, found = text.split(), set(), set()
+        for i, t in items:
+            b = t.split()
+            for a in range(max(1, len(b) - 9)) if b else ():
+                win = b[a : a + 10]
+                at = [x for x in range(len(w) - len(win) + 1) if w[x : x + len(win)] == win]
+                found |= {str(i)} if at else set()
+                hit |= {x + y for x in at for y in range(len(win))}
+        want[d] = (len(w), len(hit), sorted(found))
+    b = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    assert sum(len(v[2]) for v in want.values()) > 20
+    for size in (3_000_000, 6000, 2500):
+        got = decontaminate(docs(*texts), b, block_bytes=size).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in got} == want
+
+
+def test_a_block_reads_its_own_windows(spark):
+    from quillnet.llm.decontaminate import _blocks, windows
+
+    b = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(30))) for k in range(200)], "item_id long, text string")
+    grams = windows(b)
+    held, n = _blocks(grams, 50_000)
+    assert n > 3 and [r[0] for r in held.select("block").distinct().orderBy("block").collect()] == list(range(n))
+    assert held.count() == grams.select("phrase").distinct().count()
+    assert "PushedFilters: [IsNotNull(block), EqualTo(block,1)]" in held.where("block = 1")._jdf.queryExecution().toString()
+    assert _blocks(grams.limit(0), 50_000)[1] == 1
+
+
 def test_language_cases(spark, docs):
     train = docs(*["the and of that with this for"] * 3).unionByName(docs(*["der die das und nicht mit für"] * 3, lang="de"))
     r = {x["doc_id"]: x for x in identify_languages(docs(*ODD, "und das mit der", "1234 !"), train, carry=["doc_id"]).collect()}
