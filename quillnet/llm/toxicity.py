@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from quillnet.llm.common import BlobReader, bucket, fresh, join_bounded, map_batches, with_fields
 from quillnet.llm.language import _letters
-from quillnet.session import cut
+from quillnet.session import cut, discard
 
 DISCOUNT = 0.75
 N_FEATURES = 17
@@ -153,7 +153,10 @@ def letter_counts(rows: DataFrame, text_col: str, label_col: str, part_col: str)
         return [(hi[held], lo[held])]
 
     second = _counts(texts.where("label = 0"), second_pass)
-    return first.where(~of_words).unionByName(_summed(first.where(of_words).unionByName(second)))
+    counts = cut(first.where(~of_words).unionByName(_summed(first.where(of_words).unionByName(second))))
+    sieve.destroy()
+    discard(first)
+    return counts
 
 
 def _expressions(codes: dict[int, tuple]) -> tuple[np.ndarray, np.ndarray]:
@@ -229,31 +232,34 @@ def log_ratios(counts: DataFrame, toxic: str = "toxic", ordinary: str = "ordinar
     seen = every.where(F.col("hi") < WORD_KEY)
     ctx_of = F.col("lo").bitwiseOR(ANY).alias("ctx")
 
-    # Shared backoff: continuation counts of orders 4 to 1, each interpolated with the next shorter one.
+    # Shared backoff: continuation counts of orders 4 to 1, each interpolated with the next shorter one. Every level is written
+    # once: in one plan, a level would be counted again for each that leans on it, and the driver would plan, and describe to its
+    # listeners, all of them anew after each stage.
     levels, grams = [], seen.select(*KEY)
     for order in (4, 3, 2, 1):
-        grams = grams.groupBy(*_suffix(order)).agg(F.count(F.lit(1)).alias("n"))
+        grams = cut(grams.groupBy(*_suffix(order)).agg(F.count(F.lit(1)).alias("n")))
         levels.append((order, grams))
-    p = None
+    shared = None
     for order, grams in reversed(levels):
         ctx = grams.withColumn("ctx", ctx_of)
         per = ctx.groupBy("hi", "ctx").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("types"))
-        known = ctx.join(per, ["hi", "ctx"])
-        if p is None:
-            p = known.select(*KEY, (F.col("n") / F.col("all")).alias("p"))
-            continue
-        lower = p.select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.col("p").alias("_p"))
-        hi, lo = _suffix(order - 1)
-        known = known.select("*", hi.alias("_hi"), lo.alias("_lo")).join(lower, ["_hi", "_lo"])
-        p = known.select(
-            *KEY,
-            (F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("all") + discount * F.col("types") / F.col("all") * F.col("_p")).alias("p"),
-        )
-    shared = cut(p.select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.col("p").alias("_p")))
+        known, lower = ctx.join(per, ["hi", "ctx"]), shared
+        if lower is None:
+            p = F.col("n") / F.col("all")
+        else:
+            hi, lo = _suffix(order - 1)
+            known = known.select("*", hi.alias("_hi"), lo.alias("_lo")).join(lower, ["_hi", "_lo"])
+            p = F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("all") + discount * F.col("types") / F.col("all") * F.col("_p")
+        shared = cut(known.select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), p.alias("_p")))
+        for done in (grams, lower):
+            if done is not None:
+                discard(done)
     ctx = seen.withColumn("ctx", ctx_of)
-    per = ctx.groupBy("hi", "ctx").agg(
-        *[F.sum(c).alias(f"{c}_all") for c in ("toxic", "ordinary")],
-        *[F.count(F.when(F.col(c) > 0, 1)).alias(f"{c}_types") for c in ("toxic", "ordinary")],
+    per = cut(
+        ctx.groupBy("hi", "ctx").agg(
+            *[F.sum(c).alias(f"{c}_all") for c in ("toxic", "ordinary")],
+            *[F.count(F.when(F.col(c) > 0, 1)).alias(f"{c}_types") for c in ("toxic", "ordinary")],
+        )
     )
     hi, lo = _suffix(4)
     known = ctx.join(per, ["hi", "ctx"]).select("*", hi.alias("_hi"), lo.alias("_lo")).join(shared, ["_hi", "_lo"])
@@ -466,7 +472,7 @@ def score_toxicity(
     chosen = cut(some(known.where(F.pmod(F.xxhash64("id"), F.lit(5)) == 0)))
     part = F.coalesce("part", F.lit(0)).alias("part")
     parted = join_bounded(known, chosen.select("id", F.lit(1).alias("part")), "id", "left").select("id", "label", part)
-    counts = cut(letter_counts(join_bounded(texts, parted, "id", "inner"), "text", "label", "part"))
+    counts = letter_counts(join_bounded(texts, parted, "id", "inner"), "text", "label", "part")
     sent = send(log_ratios(counts), block_entries)
 
     def described_rows(by: list, which: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -483,7 +489,10 @@ def score_toxicity(
     y = np.empty(0)
     others = counts.agg(F.sum("toxic_0"), F.sum("ordinary_0")).first()
     if all(others):
-        x, y = described_rows(send(log_ratios(counts, "toxic_0", "ordinary_0"), block_entries), chosen)
+        by = send(log_ratios(counts, "toxic_0", "ordinary_0"), block_entries)
+        x, y = described_rows(by, chosen)
+        for block in by:  # no later task reads them
+            block.destroy()
     if min((y == 0).sum(), (y == 1).sum()) < MIN_CALIBRATION_ROWS:
         x, y = described_rows(sent, some(known))
     if len(set(y.tolist())) == 2:

@@ -160,3 +160,27 @@ def test_many_blocks_say_what_one_says_and_come_opened(spark):
     assert all(b.value.at is not None and pickle.loads(pickle.dumps(b.value)).at is not None for b in many)
     texts = [r[0] for r in rows[:20]] + ["", None, "zz top"]
     assert np.allclose(list(described(one, texts)), list(described(many, texts)))
+
+
+def test_no_plan_grows_with_the_orders_and_what_only_calibrates_is_released(spark, docs, monkeypatch):
+    from quillnet.llm import toxicity
+
+    plans, sent = [], []
+
+    def cut(df, of=toxicity.cut):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return of(df)
+
+    def send(*args, of=toxicity.send):
+        sent.append(of(*args))
+        return sent[-1]
+
+    monkeypatch.setattr(toxicity, "cut", cut)
+    monkeypatch.setattr(toxicity, "send", send)
+    texts = [f"{random.Random(k).choice(TOXIC if k % 2 else CALM)} number {k}" for k in range(200)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int")
+    out = score_toxicity(docs(*texts), docs(*texts), labels)
+    assert out.count() == 200
+    assert max(plans) <= 14
+    used, calibrating = sent
+    assert all(b._jbroadcast.isValid() for b in used) and not any(b._jbroadcast.isValid() for b in calibrating)
