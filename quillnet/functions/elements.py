@@ -29,8 +29,8 @@ _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)
 _ATTRIBUTE = re.compile(r"([^\s/=>\"'][^\s/=>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?", re.S)
 
 
-def markup(page: str) -> Iterator[tuple[str, str, dict | None]]:
-    """("text", text, None), ("raw", text, None), ("start", tag, attributes) and ("end", tag, None), in order."""
+def markup(page: str, written: bool = False) -> Iterator[tuple[str, str, dict | None]]:
+    """("text", text, None), ("raw", text, None), ("start", tag, attributes) and ("end", tag, None), in order. written: texts keep their references."""
     at, raw = 0, None
     while at < len(page):
         if raw:
@@ -43,7 +43,7 @@ def markup(page: str) -> Iterator[tuple[str, str, dict | None]]:
         found = _MARKUP.search(page, at)
         end = found.start() if found else len(page)
         if end > at:
-            yield "text", unescape(page[at:end]), None
+            yield "text", page[at:end] if written else unescape(page[at:end]), None
         if not found:
             return
         at = found.end()
@@ -67,10 +67,11 @@ class HtmlElements:
 
     text: all text inside, that of scripts and styles only in their own; a space stands where a tag was. ``only``: tags, separated by
     commas; others are followed but not returned. An opening tag closes what the standard says it closes; an end tag without an
-    open element is passed over, and what is open at the end closes there. Null gives no rows.
+    open element is passed over, and what is open at the end closes there. Null gives no rows. ``written``: texts keep their references
+    (``&amp;`` and such) as they are written.
     """
 
-    def eval(self, page: str, only: str | None = None):
+    def eval(self, page: str, only: str | None = None, written: bool = False):
         if page is None:
             return
         wanted = set(only.lower().split(",")) if only else None
@@ -82,7 +83,7 @@ class HtmlElements:
                 if wanted is None or tag in wanted:
                     yield k, parent, depth, tag, attributes, " ".join(pieces[begin:])
 
-        for kind, value, attributes in markup(page):
+        for kind, value, attributes in markup(page, bool(written)):
             if kind == "text":
                 pieces.append(value)
             elif kind == "raw":
@@ -113,9 +114,9 @@ class HtmlElements:
 HtmlElements = HtmlElements.asDeterministic()
 
 
-def elements(pages: DataFrame, html: str, only: tuple[str, ...] = ()) -> DataFrame:
-    """pages less the html column, a row for each element (of the tags in ``only``, or of all)."""
-    return pages.lateralJoin(HtmlElements(F.col(html).outer(), F.lit(",".join(only) or None).cast("string"))).drop(html)
+def elements(pages: DataFrame, html: str, only: tuple[str, ...] = (), written: bool = False) -> DataFrame:
+    """pages less the html column, a row for each element (of the tags in ``only``, or of all); written: texts keep their references."""
+    return pages.lateralJoin(HtmlElements(F.col(html).outer(), F.lit(",".join(only) or None).cast("string"), F.lit(written))).drop(html)
 
 
 def attribute(name: str) -> Column:

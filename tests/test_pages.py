@@ -130,3 +130,13 @@ def test_larger_table(spark, name):
     df = QUERIES[name](spark, "/root/testdata/sf0.01")
     assert rows_of(df) == sql_rows(ORACLES[name], "/root/testdata/sf0.01", df.columns)
     assert df.select(F.count(F.lit(1))).first()[0] > 20
+
+
+def test_titles_read_only_whole_references(spark, tmp_path):
+    """A title that was cut inside a reference, one with a tag, an empty page and none: as the query's SQL has them."""
+    heads = ["a &amp;&amp", "b &am", "c &lt;x&gt; <b>d</b> that.", "e &amp;lt; &eacute; &copy.", ""]
+    pages = [(k, "u", f"<html><head><title>{t}</title></head><p>x &amp y</p></html>") for k, t in enumerate(heads)] + [(10, "u", "<p>no title</p>"), (11, "u", ""), (12, "u", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    df = QUERIES["html_titles"](spark, str(tmp_path))
+    assert rows_of(df) == sql_rows(ORACLES["html_titles"], str(tmp_path), df.columns)
+    assert [r["text"] for r in E.elements(df.select(F.lit("<p>x &amp y").alias("h")).limit(1), "h").collect()] == ["x & y"]
