@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillnet.operators import blocks
 from quillnet.operators.components import connected_components
-from quillnet.operators.relational import percentile_of_score, rank_all
+from quillnet.operators.relational import percentile, percentile_of_score, rank_all, rank_sum
 from quillnet.session import cut, discard
 
 
-def cooccurrence(members: DataFrame, group: str, item: str, hot: int = 2000) -> DataFrame:
+def _members(members: DataFrame, group: str, item: str) -> DataFrame:
+    return members.select(F.col(group).alias("g"), F.col(item).alias("i")).where("g is not null and i is not null")
+
+
+def _crowded(m: DataFrame, pairs: int) -> bool:
+    """Whether groups are so large that pairs should not be moved: more than ``pairs`` of them, and 64 times as many as members."""
+    size = F.col("n").cast("double")
+    most = m.groupBy("g").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.sum(size * (size - 1) / 2)).first()
+    return (most[1] or 0) > max(pairs, 64 * (most[0] or 0)) and dict(m.dtypes)["i"] in ("tinyint", "smallint", "int", "bigint", "string", "date")
+
+
+#: Pairs from which crowded groups are counted by blocks.
+CROWDED = 50_000_000
+
+
+def cooccurrence(members: DataFrame, group: str, item: str, hot: int = 2000, crowded: int = CROWDED) -> DataFrame:
     """How many groups hold both ends of each pair. Repeated members count once.
 
-    A group of more than ``hot`` members is dealt over several tasks: each takes a part of its left ends and all right ones.
+    A group of more than ``hot`` members is dealt over several tasks: each takes a part of its left ends and all right ones. More than
+    ``crowded`` pairs in large groups are counted by blocks of items (``operators.blocks``).
     """
-    m = members.select(F.col(group).alias("g"), F.col(item).alias("i")).where("g is not null and i is not null").distinct()
+    m = _members(members, group, item)
+    if _crowded(m, crowded):
+        return blocks.edges(*blocks.blocked(m.distinct()))
+    m = m.distinct()
     large = m.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
     on = [F.col("a.g") == F.col("b.g"), F.col("a.i") < F.col("b.i")]
     a = b = m
@@ -152,6 +172,12 @@ def pagerank(
     return ranks.select("id", "rank")
 
 
+def _alpha(digits: int) -> Column:
+    nw = F.col("weight") / F.col("strength")
+    nw = F.when(nw >= 1, F.lit(0.9999)).otherwise(nw)
+    return F.when(F.col("degree") > 1, F.round(F.pow(1 - nw, F.col("degree") - 1), digits)).otherwise(0.0)
+
+
 def disparity(nodes: DataFrame, edges: DataFrame, digits: int = 12) -> tuple[DataFrame, DataFrame]:
     """(edges with alpha and alpha_ptile, population of alphas).
 
@@ -160,10 +186,7 @@ def disparity(nodes: DataFrame, edges: DataFrame, digits: int = 12) -> tuple[Dat
     """
     ds = degree_strength(edges).select("id", "degree", F.col("strength").cast("double").alias("strength"))
     e = ends(edges).join(ds, "id")
-    nw = F.col("weight") / F.col("strength")
-    nw = F.when(nw >= 1, F.lit(0.9999)).otherwise(nw)
-    alpha = F.when(F.col("degree") > 1, F.round(F.pow(1 - nw, F.col("degree") - 1), digits)).otherwise(0.0)
-    e = cut(e.select("id", "other", "weight", "degree", alpha.alias("alpha")))
+    e = cut(e.select("id", "other", "weight", "degree", _alpha(digits).alias("alpha")))
     population = e.where("degree > 1").select("alpha")
     last = e.groupBy(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).agg(
         F.first("weight").alias("weight"), F.max_by("alpha", "id").alias("alpha")
@@ -172,6 +195,40 @@ def disparity(nodes: DataFrame, edges: DataFrame, digits: int = 12) -> tuple[Dat
     return scored.select("src", "dst", "weight", "alpha", (F.col("ptile") / 100).alias("alpha_ptile")), population
 
 
+def _block_scores(items: DataFrame, parts: int, digits: int = 12) -> DataFrame:
+    """(id, weight, alpha, alpha_ptile): what ``disparity`` gives an edge by its weight and its later end, from the counts of weights alone."""
+    w = cut(blocks.weights(items, parts))
+    ds = w.groupBy("id").agg(F.sum("n").alias("degree"), F.sum(F.col("n") * F.col("weight")).cast("double").alias("strength"))
+    e = w.join(ds, "id").select("id", "weight", "n", "degree", _alpha(digits).alias("alpha"))
+    e = cut(e.withColumn("counts", F.when(F.col("degree") > 1, F.col("n")).otherwise(0)))
+    at = rank_sum(e.groupBy(F.col("alpha").alias("v")).agg(F.sum("counts").alias("n"))).withColumnRenamed("v", "alpha").withColumnRenamed("n", "k")
+    total = e.agg(F.sum("counts").alias("_all"))
+    return cut(e.join(at, "alpha").join(F.broadcast(total)).select("id", "weight", "alpha", (percentile("k") / 100).alias("alpha_ptile")))
+
+
+def member_percentiles(members: DataFrame, group: str, item: str, digits: int = 9, crowded: int = CROWDED) -> DataFrame:
+    """(src, dst, alpha_ptile) of the co-occurrence graph, rounded to digits; of crowded groups no edge is written or moved."""
+    m = _members(members, group, item)
+    if _crowded(m, crowded):
+        items, parts = blocks.blocked(m.distinct())
+        scores = _block_scores(items, parts)
+        return blocks.scored(items, parts, scores.select("id", "weight", F.round("alpha_ptile", digits).alias("x")), "alpha_ptile")
+    e = cut(cooccurrence(members, group, item, crowded=crowded))
+    return disparity(e, e)[0].select("src", "dst", F.round("alpha_ptile", digits).alias("alpha_ptile"))
+
+
+def member_backbone(members: DataFrame, group: str, item: str, cutoff: float, min_degree: int, keep: str = "high_alpha", crowded: int = CROWDED) -> DataFrame:
+    """(src, dst, weight): ``backbone_cut`` of the co-occurrence graph; of crowded groups no edge is written or moved."""
+    m = _members(members, group, item)
+    if _crowded(m, crowded):
+        items, parts = blocks.blocked(m.distinct())
+        scores = _block_scores(items, parts).select("id", "weight", F.col("alpha_ptile").alias("x"))
+        low, high = (cutoff, float("inf")) if keep == "high_alpha" else (float("-inf"), cutoff)
+        return blocks.backbone(items, parts, scores, low, high, min_degree)
+    e = cut(cooccurrence(members, group, item, crowded=crowded))
+    return backbone_cut(cut(disparity(e, e)[0]), cutoff, min_degree, keep).select("src", "dst", "weight")
+
+
 def backbone_cut(scored: DataFrame, cutoff: float, min_degree: int, keep: str = "high_alpha") -> DataFrame:
     """Edges whose alpha percentile reaches the cutoff (or, keep="significant", stays within it), less those at nodes left below min_degree."""
     ok = F.col("alpha_ptile") >= cutoff if keep == "high_alpha" else F.col("alpha_ptile") <= cutoff

@@ -147,6 +147,11 @@ def quantiles_nearest(df: DataFrame, col: str, num: int = 10) -> DataFrame:
     return h.join(F.broadcast(at), (F.col("_at") >= F.col("less")) & (F.col("_at") < F.col("less") + F.col("n"))).select("k", F.col("v").alias("value"))
 
 
+def percentile(n: str) -> Column:
+    """(smaller + not larger + 1 if any is equal) * 50 / size of the population, from ``less``, the number of equal values and ``_all``."""
+    return (F.col("less") * 2 + F.col(n) + F.when(F.col(n) > 0, 1).otherwise(0)) * 50.0 / F.col("_all")
+
+
 def percentile_of_score(scores: DataFrame, score: str, population: DataFrame, value: str) -> DataFrame:
     """scores with ptile: (smaller + not larger + 1 if any is equal) * 50 / size of the population."""
     own = population.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), F.lit(1).cast("long").alias("n"))
@@ -154,9 +159,7 @@ def percentile_of_score(scores: DataFrame, score: str, population: DataFrame, va
     # Values of both sides are counted and ranked together, once; those that only scores have count nothing.
     at = rank_sum(own.unionByName(asked).groupBy("v").agg(F.sum("n").alias("n"))).withColumnRenamed("v", score)
     total = population.where(F.col(value).isNotNull()).agg(F.count(F.lit(1)).alias("_all"))
-    return scores.join(at, score).join(F.broadcast(total)).withColumn(
-        "ptile", (F.col("less") * 2 + F.col("n") + F.when(F.col("n") > 0, 1).otherwise(0)) * 50.0 / F.col("_all")
-    ).drop("less", "n", "_all")
+    return scores.join(at, score).join(F.broadcast(total)).withColumn("ptile", percentile("n")).drop("less", "n", "_all")
 
 
 def join_checked(big: DataFrame, small: DataFrame, on: str | list[str], how: str, max_rows: int = 400_000) -> DataFrame:

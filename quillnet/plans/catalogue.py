@@ -54,9 +54,13 @@ GP2 = "WITH RECURSIVE " + _edges_sql("gp") + ", e AS (SELECT * FROM e0 WHERE wei
 ENDS = ", n AS (SELECT src AS id, dst AS other, weight FROM e UNION ALL SELECT dst, src, weight FROM e)"
 
 
+def _hours(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select(F.date_trunc("hour", "ts").alias("g"), "user_id")
+
+
 def _graph(spark: SparkSession, d: str, kind: str) -> DataFrame:
     if kind == "gu":
-        return G.cooccurrence(table(spark, d, "events").select(F.date_trunc("hour", "ts").alias("g"), "user_id"), "g", "user_id")
+        return G.cooccurrence(_hours(spark, d), "g", "user_id")
     return G.cooccurrence(table(spark, d, "lineitem"), "l_orderkey", {"gs": "l_suppkey", "gp": "l_partkey", "gsx": "l_suppkey", "gp2": "l_partkey"}[kind])
 
 

@@ -55,3 +55,50 @@ def test_betweenness_of_more_than_200_000_edges(spark):
     assert df.count() > 200_000
     got = {r["id"]: r["betweenness"] for r in graph.betweenness(ids, df).collect()}
     assert len(got) == 640 and got[0] == pytest.approx(1) and sum(got.values()) == pytest.approx(1)
+
+
+def _memberships(kind):
+    r = random.Random(8)
+    name = str if kind == "string" else int
+    m = [(g, name(k)) for g in range(30) for k in r.sample(range(60), 25)] + [(3, name(7))] * 2 + [(None, name(1)), (4, None), (99, name(100))]
+    return m + [(100, name(0)), (100, name(200)), (101, name(300)), (101, name(301))]
+
+
+@pytest.mark.parametrize(("kind", "product"), [("long", True), ("string", False)])
+def test_crowded_groups_by_blocks(spark, monkeypatch, kind, product):
+    """Edges, percentiles and backbones of crowded groups, as the way over written edges has them; by products of matrices and pair by pair."""
+    made = spark.createDataFrame(_memberships(kind), f"g int, i {kind}")
+    if not product:  # larger blocks of sparse rows
+        made = made.where("g >= 25").unionByName(made.selectExpr("1000 + hash(i) AS g", "i"))
+    few = made.where("i IS NOT NULL")
+    monkeypatch.setattr(graph, "_crowded", lambda m, pairs: pairs == 0)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(graph.cooccurrence(few, "g", "i", crowded=0)) == rows(graph.cooccurrence(few, "g", "i"))
+    got = {r[:2]: r[2] for r in rows(graph.member_percentiles(few, "g", "i", crowded=0))}
+    want = {r[:2]: r[2] for r in rows(graph.member_percentiles(few, "g", "i"))}
+    assert got == want and len(set(got.values())) > 3
+    for cutoff, keep in ((0.5, "high_alpha"), (0.4, "significant")):
+        args = (few, "g", "i", cutoff, 3, keep)
+        got = rows(graph.member_backbone(*args, crowded=0))
+        assert got == rows(graph.member_backbone(*args)) and got
+    assert graph.cooccurrence(made.where("g < 0"), "g", "i", crowded=0).count() == 0
+
+
+def test_counts_by_either_way():
+    import numpy as np
+    import pyarrow as pa
+
+    from quillnet.operators import blocks
+
+    r = random.Random(2)
+    for groups, most in ((20, 15), (5000, 12)):
+        side = lambda n: [sorted(r.sample(range(groups), r.randint(0, most))) for _ in range(n)]  # noqa: E731, B023
+        a, b = side(40), side(30)
+        got = blocks._counts(pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.int32())))
+        assert (got == np.array([[len(set(x) & set(y)) for y in b] for x in a])).all()
+
+
+def test_which_groups_are_crowded(spark):
+    few = spark.range(400).selectExpr("id % 2 AS g", "id AS i")
+    assert graph._crowded(few, 100) and not graph._crowded(few, 10**6)
+    assert not graph._crowded(spark.range(400).selectExpr("id % 40 AS g", "id AS i"), 100)
