@@ -202,7 +202,7 @@ def alpha_quantiles(spark, d):
 
 @query(GU + _ALPHA + " SELECT src, dst, round(alpha_ptile, 9) AS alpha_ptile FROM sc")
 def alpha_percentile(spark, d):
-    return _disparity(spark, d, "gu")[0].select("src", "dst", _r("alpha_ptile"))
+    return G.member_percentiles(_hours(spark, d), "g", "user_id")
 
 
 @query(GU + _ALPHA + """, x AS (SELECT * FROM sc WHERE alpha_ptile >= 0.5), k AS (SELECT id FROM (SELECT src AS id FROM x UNION ALL SELECT dst FROM x) GROUP BY id HAVING count(*) >= 10)
