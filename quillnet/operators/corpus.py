@@ -167,19 +167,63 @@ def lda_topics(docs: DataFrame, doc_id: str, text: str, k: int = 5, passes: int
 MOST_LANGUAGES = 500
 
 
-def _grams(text: str):
-    """All runs of three letters or signs of a lower-cased text."""
-    low = F.lower(text)
-    return F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))
+#: Numbers in a model of letters that goes to all tasks; those of a larger one stay in a table.
+MODEL_CELLS = 8_000_000
+
+#: Letters that are looked at together.
+_LETTERS = 1_000_000
+
+
+def _gram_codes(texts: list[str]):
+    """All runs of three letters or signs of the texts as numbers, 21 bits a sign, and how many each text has."""
+    import numpy as np
+
+    signs = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    size = np.array([len(t) for t in texts], np.int64)
+    if len(signs) < 3:
+        return np.zeros(0, np.int64), np.zeros(len(size), np.int64)
+    codes = signs[:-2] << 42 | signs[1:-1] << 21 | signs[2:]
+    inside = np.ones(len(signs), bool)
+    ends_ = np.cumsum(size)[size > 0]
+    inside[ends_ - 1] = False
+    two = ends_[size[size > 0] > 1]
+    inside[two - 2] = False
+    return codes[inside[:-2]], np.maximum(size - 2, 0)
+
+
+def _some(texts: list[str]):
+    """(first, last) places of texts of about _LETTERS signs together."""
+    begin = n = 0
+    for k, t in enumerate(texts):
+        n += len(t)
+        if n >= _LETTERS:
+            yield begin, k + 1
+            begin, n = k + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+def _count_grams(batches):
+    """(lang, gram, n) of (lang, text)."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for lang in sorted(set(langs)):
+            own = [t for x, t in zip(langs, texts, strict=True) if x == lang]
+            for begin, end in _some(own):
+                gram, n = np.unique(_gram_codes(own[begin:end])[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
 
 
 def letter_model(docs: DataFrame, text: str, lang: str) -> tuple[DataFrame, list[str], DataFrame]:
     """(gram, p0, p1, ...), the languages, and one row of what an unknown gram has: log shares of letter trigrams, one added to each count.
 
-    All texts with a language count, whole.
+    All texts with a language count, whole. A gram is the number that ``_gram_codes`` makes of it.
     """
-    known = docs.where(F.col(lang).isNotNull() & (F.length(text) > 2)).select(F.col(lang).alias("lang"), F.explode(_grams(text)).alias("gram"))
-    counts = cut(known.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")))
+    known = docs.where(F.col(lang).isNotNull() & (F.length(text) > 2)).select(F.col(lang).cast("string").alias("lang"), F.lower(text).alias("text"))
+    counts = cut(known.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     names = [r[0] for r in counts.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
     if len(names) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
@@ -192,13 +236,55 @@ def letter_model(docs: DataFrame, text: str, lang: str) -> tuple[DataFrame, list
     return cut(wide.join(F.broadcast(total)).select("gram", *share)), names, unknown
 
 
-def language_lines(docs: DataFrame, doc_id: str, text: str, lang: str, keep: str) -> DataFrame:
-    """(doc, line, text, p): the lines of more than two characters with the probability that they are in language ``keep``."""
+def _scored_lines(lines: DataFrame, model: DataFrame, unknown: DataFrame, names: list[str], keep: str) -> DataFrame:
+    """lines with p, by a model that goes to all tasks: no gram becomes a row."""
+    import numpy as np
+    import pyarrow as pa
+
+    own = names.index(keep)
+    table = model.orderBy("gram").toArrow()
+    shares = np.column_stack([table[f"p{i}"].to_numpy() for i in range(len(names))])
+    sent = lines.sparkSession.sparkContext.broadcast((table["gram"].to_numpy(), np.vstack([shares, np.array([list(unknown.first())], float)])))
+
+    def score(batches):
+        grams, shares = sent.value
+        for batch in batches:
+            low = batch.column(batch.num_columns - 1).to_pylist()
+            p = np.zeros(len(low))
+            for begin, end in _some(low):
+                codes, size = _gram_codes(low[begin:end])
+                at = np.minimum(np.searchsorted(grams, codes), len(grams) - 1)
+                at[grams[at] != codes] = len(grams)
+                full = np.flatnonzero(size)
+                if len(full):
+                    s = np.add.reduceat(shares[at], (np.cumsum(size) - size)[full], axis=0)
+                    p[begin + full] = 1 / np.exp(np.minimum(s - s[:, own : own + 1], 700.0)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], [*batch.schema.names[:-1], "p"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema.fields)
+    return lines.withColumn("_low", F.lower("text")).mapInArrow(score, f"{schema}, p double")
+
+
+def _gram_rows(text: str):
+    """The numbers of all grams of a lower-cased text."""
+    low = F.split(F.lower(text), "")
+    sign = lambda c: F.ascii(c).cast("long")
+    code = lambda i: F.shiftleft(sign(F.get(low, i)), 42) + F.shiftleft(sign(F.get(low, i + 1)), 21) + sign(F.get(low, i + 2))
+    return F.transform(F.sequence(F.lit(0), F.size(low) - 3), code)
+
+
+def language_lines(docs: DataFrame, doc_id: str, text: str, lang: str, keep: str, most: int = MODEL_CELLS) -> DataFrame:
+    """(doc, line, text, p): the lines of more than two characters with the probability that they are in language ``keep``.
+
+    A model of at most ``most`` numbers goes to all tasks, which read each line once; grams meet a larger one in joins.
+    """
     model, names, unknown = letter_model(docs, text, lang)
     lines = docs.select(F.col(doc_id).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line", "text")).where(F.length("text") > 2)
     if keep not in names:
         return lines.withColumn("p", F.lit(0.0))
-    grams = lines.select("doc", "line", F.explode(_grams("text")).alias("gram"))
+    if model.count() * len(names) <= most:
+        return _scored_lines(lines, model, unknown, names, keep)
+    grams = lines.select("doc", "line", F.explode(_gram_rows("text")).alias("gram"))
     met = join_checked(grams, model, "gram", "left").join(F.broadcast(unknown))
     score = [F.sum(F.coalesce(f"p{i}", f"u{i}")).alias(f"s{i}") for i in range(len(names))]
     own = names.index(keep)

@@ -102,3 +102,27 @@ def test_which_groups_are_crowded(spark):
     few = spark.range(400).selectExpr("id % 2 AS g", "id AS i")
     assert graph._crowded(few, 100) and not graph._crowded(few, 10**6)
     assert not graph._crowded(spark.range(400).selectExpr("id % 40 AS g", "id AS i"), 100)
+
+
+def test_lines_by_either_way(spark):
+    """Probabilities of lines from a model in every task and from joins: signs beyond 16 bits, grams never seen, lines of any length."""
+    from quillnet.operators import corpus as C
+
+    r = random.Random(6)
+    said = {"a": "abcde ß€", "b": "cdefg 😀", "c": "xyzÀ é"}
+    docs = [(k, "\n".join("".join(r.choice(said[x]) for _ in range(r.choice([0, 1, 2, 3, 4, 60]))) for _ in range(12)), x) for k, x in enumerate("aabbccab")]
+    docs += [(90, "QQQQ\nabc", None), (91, "", "a"), (92, "a\nb", "b"), (93, None, "c")]
+    df = spark.createDataFrame(docs, "id long, text string, lang string")
+    ways = [{(x["doc"], x["line"], x["text"]): x["p"] for x in C.language_lines(df, "id", "text", "lang", "b", most=n).collect()} for n in (10**6, 0)]
+    want = {(k, i, t) for k, text, _ in docs if text is not None for i, t in enumerate(text.split("\n")) if len(t) > 2}
+    assert ways[0].keys() == ways[1].keys() == want
+    assert all(ways[0][k] == pytest.approx(ways[1][k], abs=1e-9) for k in want) and max(ways[0].values()) > 0.9
+
+
+def test_long_texts_are_read_once(spark):
+    """One text of a million letters: grams by place within the text took hours."""
+    from quillnet.operators import corpus as C
+
+    df = spark.sql("SELECT 1 AS id, repeat('abcdefgh ', 120000) AS text, 'a' AS lang UNION ALL SELECT 2, 'xyzxyzxyz', 'b'")
+    got = {x["doc"]: x["p"] for x in C.language_lines(df, "id", "text", "lang", "a").collect()}
+    assert got[1] > 0.99 and got[2] < 0.01
