@@ -15,11 +15,35 @@ def _members(members: DataFrame, group: str, item: str) -> DataFrame:
     return members.select(F.col(group).alias("g"), F.col(item).alias("i")).where("g is not null and i is not null")
 
 
-def _crowded(m: DataFrame, pairs: int) -> bool:
+def _sizes(m: DataFrame) -> tuple[int, float, int, bool]:
+    """Members, pairs, the members of the largest group, and whether items are long numbers that fit into 32 bits; repeated members count again."""
+    size, low = F.col("n").cast("double"), F.abs("i") < 2**31 if dict(m.dtypes)["i"] == "bigint" else F.lit(False)
+    found = m.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(low).alias("low")).agg(F.sum("n"), F.sum(size * (size - 1) / 2), F.max("n"), F.min("low"))
+    return tuple(x or 0 for x in found.first())
+
+
+def _crowded(m: DataFrame, pairs: int, sizes: tuple | None = None) -> bool:
     """Whether groups are so large that pairs should not be moved: more than ``pairs`` of them, and 64 times as many as members."""
-    size = F.col("n").cast("double")
-    most = m.groupBy("g").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.sum(size * (size - 1) / 2)).first()
-    return (most[1] or 0) > max(pairs, 64 * (most[0] or 0)) and dict(m.dtypes)["i"] in ("tinyint", "smallint", "int", "bigint", "string", "date")
+    rows, most = (sizes or _sizes(m))[:2]
+    return most > max(pairs, 64 * rows) and dict(m.dtypes)["i"] in ("tinyint", "smallint", "int", "bigint", "string", "date")
+
+
+def _by_lists(m: DataFrame, rows: int, pairs: float, many: int = 1_000_000, share: float = 0.005, parts: int = 32) -> DataFrame:
+    """(src, dst, weight) of groups that fit a row: each member moves with the list of those after it, and pairs are made where all
+    lists of a member have met. Lists of members with more than ``share`` of the rows, found in a sample, are dealt over ``parts`` tasks."""
+    sets = m.repartition("g").groupBy("g").agg(F.sort_array(F.collect_set("i")).alias("a")).where(F.size("a") > 1)
+    at = sets.select(F.posexplode("a").alias("k", "src"), "a").select("src", F.slice("a", F.col("k") + 2, F.size("a")).alias("dst")).where(F.size("dst") > 0)
+    some = min(1.0, many / rows) if rows > many else 0.0
+    hubs = [r["i"] for r in m.sample(some, 7).groupBy("i").count().where(F.col("count") > share * some * rows).collect()] if some else []
+    keys = ["src"]
+    if hubs:
+        keys = ["src", "part"]
+        at = at.select("src", "dst", F.explode(F.when(F.col("src").isin(hubs), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))).alias("part"))
+        own = F.filter("dst", lambda x: F.pmod(F.xxhash64(x), F.lit(parts)) == F.col("part"))
+        at = at.withColumn("dst", F.when(F.col("src").isin(hubs), own).otherwise(F.col("dst")))
+    n = int(pairs / many)
+    dealt = at.repartition(n, *keys) if n > int(m.sparkSession.conf.get("spark.sql.shuffle.partitions")) else at.repartition(*keys)
+    return dealt.select(*keys, F.explode("dst").alias("dst")).groupBy(*keys, "dst").agg(F.count(F.lit(1)).alias("weight")).select("src", "dst", "weight")
 
 
 #: Pairs from which crowded groups are counted by blocks.
@@ -29,12 +53,18 @@ CROWDED = 50_000_000
 def cooccurrence(members: DataFrame, group: str, item: str, hot: int = 2000, crowded: int = CROWDED) -> DataFrame:
     """How many groups hold both ends of each pair. Repeated members count once.
 
-    A group of more than ``hot`` members is dealt over several tasks: each takes a part of its left ends and all right ones. More than
-    ``crowded`` pairs in large groups are counted by blocks of items (``operators.blocks``).
+    Where no group has more than ``hot`` members, members move with lists of those after them. A larger group is dealt over several tasks: each
+    takes a part of its left ends and all right ones. More than ``crowded`` pairs in large groups are counted by blocks of items (``operators.blocks``).
     """
     m = _members(members, group, item)
-    if _crowded(m, crowded):
+    sizes = _sizes(m)
+    if _crowded(m, crowded, sizes):
         return blocks.edges(*blocks.blocked(m.distinct()))
+    if sizes[2] <= hot:
+        if sizes[3]:
+            e = _by_lists(m.withColumn("i", F.col("i").cast("int")), *sizes[:2])
+            return e.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "weight")
+        return _by_lists(m, *sizes[:2])
     m = m.distinct()
     large = m.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
     on = [F.col("a.g") == F.col("b.g"), F.col("a.i") < F.col("b.i")]

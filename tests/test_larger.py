@@ -71,7 +71,7 @@ def test_crowded_groups_by_blocks(spark, monkeypatch, kind, product):
     if not product:  # larger blocks of sparse rows
         made = made.where("g >= 25").unionByName(made.selectExpr("1000 + hash(i) AS g", "i"))
     few = made.where("i IS NOT NULL")
-    monkeypatch.setattr(graph, "_crowded", lambda m, pairs: pairs == 0)
+    monkeypatch.setattr(graph, "_crowded", lambda m, pairs, sizes=None: pairs == 0)
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(graph.cooccurrence(few, "g", "i", crowded=0)) == rows(graph.cooccurrence(few, "g", "i"))
     got = {r[:2]: r[2] for r in rows(graph.member_percentiles(few, "g", "i", crowded=0))}
@@ -126,3 +126,35 @@ def test_long_texts_are_read_once(spark):
     df = spark.sql("SELECT 1 AS id, repeat('abcdefgh ', 120000) AS text, 'a' AS lang UNION ALL SELECT 2, 'xyzxyzxyz', 'b'")
     got = {x["doc"]: x["p"] for x in C.language_lines(df, "id", "text", "lang", "a").collect()}
     assert got[1] > 0.99 and got[2] < 0.01
+
+
+def test_hubs_by_lists(spark):
+    """Members in most groups, whose lists are dealt over tasks; a member alone, repeats and nulls."""
+    r = random.Random(9)
+    m = [(g, i) for g in range(60) for i in {"hub", "zone", *(f"m{r.randrange(40)}" for _ in range(5))}] * 2 + [(70, "alone"), (None, "hub"), (71, None)]
+    df = spark.createDataFrame(m, "g int, i string").where("g IS NOT NULL AND i IS NOT NULL")
+    want = {}
+    for g in {g for g, _ in m if g is not None}:
+        own = sorted({i for h, i in m if h == g and i})
+        for k, a in enumerate(own):
+            for b in own[k + 1 :]:
+                want[a, b] = want.get((a, b), 0) + 1
+    dealt = graph._by_lists(df, df.count(), 0, many=500, share=0.1, parts=4)
+    assert {(x["src"], x["dst"]): x["weight"] for x in dealt.collect()} == want
+    assert {(x["src"], x["dst"]): x["weight"] for x in graph.cooccurrence(spark.createDataFrame(m, "g int, i string"), "g", "i").collect()} == want
+
+
+def test_pairs_are_not_moved_one_by_one(spark):
+    """What is moved is a row for each member and group, not one for each pair."""
+    m = spark.range(3000).selectExpr("id DIV 30 AS g", "id % 30 + id DIV 300 AS i")
+    plan = graph.cooccurrence(m, "g", "i")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "dst" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+
+
+def test_long_numbers_of_any_size_by_lists(spark):
+    for base in (0, 2**31 - 3, -(2**40)):
+        m = spark.range(20).selectExpr("id DIV 4 AS g", f"id % 7 + {base}L AS i")
+        e = graph.cooccurrence(m, "g", "i")
+        groups = [{(k % 7) + base for k in range(g * 4, g * 4 + 4)} for g in range(5)]
+        want = {(a, b): sum({a, b} <= x for x in groups) for a in range(base, base + 7) for b in range(a + 1, base + 7)}
+        assert {(r["src"], r["dst"]): r["weight"] for r in e.collect()} == {k: n for k, n in want.items() if n} and dict(e.dtypes)["src"] == "bigint"
