@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillnet.operators import blocks
 from quillnet.operators.components import connected_components
-from quillnet.operators.relational import percentile, percentile_of_score, rank_all, rank_sum
+from quillnet.operators.relational import join_checked, percentile, percentile_of_score, rank_all, rank_sum
 from quillnet.session import cut, discard
 
 
@@ -362,15 +362,90 @@ def _local_moves(nodes: DataFrame, edges: DataFrame, max_rounds: int, min_gain:
     return part, best, moved
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, max_rounds: int = 20, min_gain: float = 1e-6, max_levels: int = 10) -> DataFrame:
-    """(id, community): local moves, then each community becomes one node, whose inner weight is a loop, and moves again, level after
+def _moves_by_arrays(nodes: DataFrame, edges: DataFrame, max_rounds: int, min_gain: float) -> tuple[DataFrame, float, bool]:
+    """What ``_local_moves`` gives. Lists of neighbours are written once; a round is one pass over them, with the communities of all nodes as arrays in
+    every task, and only moves come back. A list is a row."""
+    import numpy as np
+    import pyarrow as pa
+
+    spark = nodes.sparkSession
+    numbers = cut(rank_all(nodes.select("id"), ["id"], "_r").select("id", (F.col("_r") - 1).cast("int").alias("v")))
+    count = numbers.count()
+    e = join_checked(ends(edges), numbers, "id", "inner").select("v", "other", F.col("weight").cast("double").alias("w"))
+    e = join_checked(e, numbers.select(F.col("id").alias("other"), F.col("v").alias("u")), "other", "inner").select("v", "u", "w").repartition("v")
+    other = lambda c: F.collect_list(F.when(F.col("u") != F.col("v"), F.col(c)))
+    near = cut(e.groupBy("v").agg(F.sum("w").alias("k"), other("u").alias("u"), other("w").alias("w")))
+    strength, k = np.zeros(count), near.select("v", "k").toArrow()
+    strength[k["v"].to_numpy()] = k["k"].to_numpy()
+    m = strength.sum()
+
+    def look(part, r):
+        """Modularity of part, and the moves from it of the half that round r draws."""
+        drawn, found = np.zeros(count, bool), numbers.where(F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0).select("v").toArrow()
+        drawn[found["v"].to_numpy()] = True
+        total, size = np.bincount(part, strength, count), np.bincount(part, minlength=count)
+        sent = spark.sparkContext.broadcast((part, strength, total, size, drawn))
+
+        def go(batches):
+            part, strength, total, size, drawn = sent.value
+            inner = 0.0
+            for batch in batches:
+                v = batch.column(0).to_numpy().astype(np.int64)
+                n = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                u, w = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (1, 2))
+                row, to = np.repeat(np.arange(len(v)), n), part[u].astype(np.int64)
+                # Loops are in the strength and in no list.
+                inner += w[to == part[v[row]]].sum() + strength[v].sum() - w.sum()
+                mine = drawn[v[row]]
+                key, back = np.unique(row[mine] * len(part) + to[mine], return_inverse=True)
+                if not len(key):
+                    continue
+                w, row, to = np.bincount(back, w[mine]), key // len(part), key % len(part)
+                own, k = part[v[row]], strength[v[row]]
+                gain = w - k * (total[to] - np.where(to == own, k, 0.0)) / m
+                order = np.lexsort((to, to == own, gain, row))
+                best = order[np.append(row[order][1:] != row[order][:-1], True)]
+                row, to, own, gain = row[best], to[best], own[best], gain[best]
+                # Of two nodes that stand alone only the larger joins the smaller.
+                moves = (gain > 0) & (to != own) & ~((size[to] == 1) & (size[own] == 1) & (to > own))
+                yield pa.RecordBatch.from_arrays([pa.array(v[row[moves]]), pa.array(to[moves]), pa.array(np.zeros(moves.sum()))], ["v", "c", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([-1]), pa.array([float(inner)])], ["v", "c", "x"])
+
+        back = near.select("v", "u", "w").mapInArrow(go, "v long, c long, x double").toArrow()
+        sent.destroy()
+        v, c = back["v"].to_numpy(), back["c"].to_numpy()
+        return back["x"].to_numpy().sum() / m - ((total / m) ** 2).sum(), v[v >= 0], c[v >= 0]
+
+    part, stale, moved = np.arange(count, dtype=np.int32), 0, False
+    best, v, c = look(part, 0)
+    for r in range(max_rounds):
+        new = part.copy()
+        new[v] = c
+        q, *ahead = look(new, r + 1)
+        stale = 0 if q > best + min_gain else stale + 1
+        if q > best:
+            best, part, moved = q, new, True
+        elif len(v) and stale < 4:
+            _, *ahead = look(part, r + 1)
+        if stale == 4:
+            break
+        v, c = ahead
+    discard(near)
+    to = spark.createDataFrame(pa.table({"v": pa.array(np.arange(count, dtype=np.int32)), "c": pa.array(part)}))
+    named = numbers.join(to, "v").select("id", "c").join(numbers.select(F.col("id").alias("community"), F.col("v").alias("c")), "c")
+    return cut(named.select("id", "community")), best, moved
+
+
+def louvain(nodes: DataFrame, edges: DataFrame, max_rounds: int = 20, min_gain: float = 1e-6, max_levels: int = 10, small: int = 1_000_000) -> DataFrame:
+    """(id, community): local moves (by arrays in every task where a level has at most ``small`` nodes, else by joins), then each community becomes one node, whose inner weight is a loop, and moves again, level after
     level, until none moves. A community bears one of its nodes' ids."""
     found = cut(nodes.select("id", F.col("id").alias("community")))
     if not edges.limit(1).count():
         return found
     level, now = nodes, edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
     for _ in range(max_levels):
-        part, _, moved = _local_moves(level, now, max_rounds, min_gain)
+        moves = _moves_by_arrays if level.count() <= small else _local_moves
+        part, _, moved = moves(level, now, max_rounds, min_gain)
         if not moved:
             break
         to = part.select(F.col("id").alias("community"), F.col("community").alias("_to"))

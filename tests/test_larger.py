@@ -158,3 +158,16 @@ def test_long_numbers_of_any_size_by_lists(spark):
         groups = [{(k % 7) + base for k in range(g * 4, g * 4 + 4)} for g in range(5)]
         want = {(a, b): sum({a, b} <= x for x in groups) for a in range(base, base + 7) for b in range(a + 1, base + 7)}
         assert {(r["src"], r["dst"]): r["weight"] for r in e.collect()} == {k: n for k, n in want.items() if n} and dict(e.dtypes)["src"] == "bigint"
+
+
+def test_louvain_by_either_way(spark):
+    """Moves by arrays and by joins are the same moves, loops and later levels included."""
+    r = random.Random(11)
+    e = [(a, b, r.randint(1, 4)) for a in range(40) for b in range(a + 1, 40) if r.random() < (0.6 if a // 8 == b // 8 else 0.04)] + [(3, 3, 2), (50, 51, 1)]
+    df = spark.createDataFrame(e, "src int, dst int, weight int")
+    nodes = spark.range(52).selectExpr("CAST(id AS INT) AS id")
+    ways = [graph._moves_by_arrays, graph._local_moves]
+    found = [f(nodes, df, 20, 1e-6) for f in ways]
+    assert found[0][1] == pytest.approx(found[1][1], abs=1e-12) and found[0][2] and found[1][2]
+    assert sorted(map(tuple, found[0][0].collect())) == sorted(map(tuple, found[1][0].collect()))
+    assert graph.modularity(df, found[0][0]).first()[0] == pytest.approx(found[0][1], abs=1e-9)
