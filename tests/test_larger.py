@@ -171,3 +171,23 @@ def test_louvain_by_either_way(spark):
     assert found[0][1] == pytest.approx(found[1][1], abs=1e-12) and found[0][2] and found[1][2]
     assert sorted(map(tuple, found[0][0].collect())) == sorted(map(tuple, found[1][0].collect()))
     assert graph.modularity(df, found[0][0]).first()[0] == pytest.approx(found[0][1], abs=1e-9)
+
+
+@pytest.mark.parametrize("tokens", [10**6, 5])
+def test_skipgrams_some_tokens_at_a_time(spark, monkeypatch, tokens):
+    """Pairs within documents of each group, null groups and texts too, however many tokens are counted together."""
+    from collections import Counter
+
+    from quillnet.operators import corpus as C
+
+    monkeypatch.setattr(C, "_TOKENS", tokens)
+    r = random.Random(12)
+    docs = [(r.choice(["x", "y", None]), " ".join(r.choice("Aaé bc  d".split(" ") + ["tok"]) for _ in range(r.choice([0, 1, 2, 5, 30])))) for _ in range(40)] + [("x", None), ("z", "  ")]
+    want = Counter()
+    for g, t in docs:
+        w = (t or "").lower().split()
+        want.update((g, w[i], w[i + k]) for i in range(len(w)) for k in range(1, 5) if i + k < len(w))
+    df = spark.createDataFrame(docs, "g string, t string")
+    assert {(x["group"], x["a"], x["b"]): x["n"] for x in C.skipgrams(df, "t", group="g").collect()} == {k: n for k, n in want.items() if n > 2}
+    plan = C.skipgrams(df, "t")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
